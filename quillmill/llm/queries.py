@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bpe, decontam, sharding
+from . import bagminhash, bpe, decontam, embed_dedup, sharding
 from .common import read
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embedding_classes(read(spark, sf_dir, "embeddings"))
+
+
 def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), shards=24)
 
