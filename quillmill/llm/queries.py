@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, decontam, embed_dedup, sharding
+from . import bagminhash, bpe, decontam, embed_dedup, line_dedup, sharding
 from .common import read
 
 
@@ -20,6 +21,11 @@ def op1_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.embedding_classes(read(spark, sf_dir, "embeddings"))
 
 
+def op3_suffix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.length("text").alias("n_chars"), "n_lines", "n_removed", "removed")
+
+
 def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), shards=24)
 
