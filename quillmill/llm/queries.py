@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, decontam, embed_dedup, langid, line_dedup, sharding
+from . import bagminhash, bpe, decontam, embed_dedup, html_extract, langid, line_dedup, sharding
 from .common import read
 
 
@@ -26,6 +26,10 @@ def op3_suffix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.length("text").alias("n_chars"), "n_lines", "n_removed", "removed")
 
 
+def op4_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(read(spark, sf_dir, "pages"))
+
+
 def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
