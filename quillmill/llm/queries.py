@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, decontam, embed_dedup, html_extract, langid, line_dedup, sharding
+from . import bagminhash, bpe, decontam, embed_dedup, html_extract, langid, line_dedup, pii, sharding
 from .common import read
 
 
@@ -21,6 +21,10 @@ def op1_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.embedding_classes(read(spark, sf_dir, "embeddings"))
 
 
+def op2_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(read(spark, sf_dir, "documents"))
+
+
 def op3_suffix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.length("text").alias("n_chars"), "n_lines", "n_removed", "removed")
