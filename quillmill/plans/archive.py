@@ -1 +1,116 @@
-"""Queries."""
+"""Ingest, identity, write semantics, time and encoding, and the streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import records
+from ..operators import relational as R
+from ..streaming import capture
+from .registry import query, table
+
+
+def _packets(spark, d):
+    message = F.struct(F.col("text"), F.col("role").alias("speaker"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("message_id"), F.col("turn").alias("source_order"))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(message), lambda a, b: F.when(a["source_order"] < b["source_order"], -1).when(a["source_order"] > b["source_order"], 1).otherwise(0)).alias("messages"))
+
+
+@query("""SELECT conv_id, count(*) AS n_messages, CASE WHEN bool_or(text IS NULL OR text = '') THEN 'empty_text' WHEN count(DISTINCT turn) <> count(turn) THEN 'duplicate_message_id' END AS error FROM conversations GROUP BY conv_id""")
+def packet_validation(spark, d):
+    return _packets(spark, d).select("conv_id", F.size("messages").cast("long").alias("n_messages"), records.packet_errors(F.col("messages")).alias("error"))
+
+
+@query("SELECT conv_id, turn, sha256(text) AS text_sha, sha256(CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) || ':' || role) AS entity FROM conversations")
+def revision_identity(spark, d):
+    rows = table(spark, d, "conversations")
+    return rows.select("conv_id", "turn", F.sha2("text", 256).alias("text_sha"), F.sha2(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role"), 256).alias("entity"))
+
+
+@query("""WITH k AS (SELECT sha256(text) AS h, min(conv_id * 1000 + turn) AS first FROM conversations GROUP BY 1)
+SELECT CASE WHEN conv_id * 1000 + turn = first THEN 'added' ELSE 'reused' END AS action, count(*) AS n FROM conversations JOIN k ON sha256(text) = h GROUP BY 1""")
+def import_counters(spark, d):
+    rows = table(spark, d, "conversations").select(F.sha2("text", 256).alias("h"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"))
+    first = rows.groupBy("h").agg(F.min("at").alias("first"))
+    return rows.join(first, "h").groupBy(F.when(F.col("at") == F.col("first"), "added").otherwise("reused").alias("action")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c_custkey, c_nationkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND (c_acctbal < 0 OR s_acctbal < 0 OR abs(c_acctbal - s_acctbal) < 10)""")
+def compatible_pairs(spark, d):
+    """Equal key and a residual test in which an unknown side agrees with anything."""
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    known = lambda x: F.when(x >= 0, x)
+    near = F.abs(known(c.c_acctbal) - known(s.s_acctbal)) < 10
+    return c.join(s, (c.c_nationkey == s.s_nationkey) & F.coalesce(near, F.lit(True))).select("c_custkey", "c_nationkey", "s_suppkey")
+
+
+@query("""WITH o AS (SELECT doc_id, lang, source FROM documents WHERE lang = 'en'), n AS (SELECT doc_id, lang, 'new' AS source FROM documents WHERE source = 'src0')
+SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc_id = o.doc_id)""")
+def upsert_last_writer(spark, d):
+    docs = table(spark, d, "documents")
+    return R.upsert(docs.where("lang = 'en'").select("doc_id", "lang", "source"), docs.where("source = 'src0'").select("doc_id", "lang", F.lit("new").alias("source")), ["doc_id"])
+
+
+@query("""WITH o AS (SELECT doc_id, lang, source FROM documents WHERE lang = 'en'), n AS (SELECT doc_id, lang, 'new' AS source FROM documents WHERE source = 'src0')
+SELECT * FROM o UNION ALL SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE n.doc_id = o.doc_id)""")
+def insert_if_absent(spark, d):
+    docs = table(spark, d, "documents")
+    return R.insert_new(docs.where("lang = 'en'").select("doc_id", "lang", "source"), docs.where("source = 'src0'").select("doc_id", "lang", F.lit("new").alias("source")), ["doc_id"])
+
+
+@query("SELECT d.doc_id, coalesce(CASE WHEN d.lang = 'en' THEN d.lang END, CASE WHEN l.toxic = 1 THEN 'held' ELSE 'open' END) AS lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.lang = 'en' OR l.doc_id IS NOT NULL")
+def fill_unknown_fields(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    old = docs.join(labels.select("doc_id", F.lit(1).alias("k")), "doc_id", "left").where("lang = 'en' OR k = 1").select("doc_id", F.when(F.col("lang") == "en", F.col("lang")).alias("lang"))
+    new = labels.select("doc_id", F.when(F.col("toxic") == 1, "held").otherwise("open").alias("lang"))
+    return R.fill_unknown(old, new, ["doc_id"], ["lang"])
+
+
+@query("SELECT doc_id, lang FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE length(text) > 60000)")
+def delete_by_subquery(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.join(docs.where(F.length("text") > 60000).select("source"), "source", "left_anti").select("doc_id", "lang")
+
+
+@query("""SELECT user_id, event_type, count(*) AS writes, CASE WHEN count(DISTINCT props) > 1 THEN 'conflict' ELSE 'replay' END AS verdict FROM events GROUP BY user_id, event_type HAVING count(*) > 1""")
+def write_once(spark, d):
+    """A key written again with the same content is a replay, with other content a conflict."""
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("writes"), F.when(F.countDistinct("props") > 1, "conflict").otherwise("replay").alias("verdict")).where("writes > 1")
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS seconds, CAST(least(3600, 600 * pow(2, least(event_id % 9, 6))) AS BIGINT) AS retry_s FROM events""")
+def time_and_backoff(spark, d):
+    t = F.col("ts").cast("timestamp")
+    return table(spark, d, "events").select("event_id", F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"), F.unix_seconds(t).alias("seconds"), F.least(F.lit(3600), 600 * F.pow(F.lit(2), F.least(F.col("event_id") % 9, F.lit(6)))).cast("long").alias("retry_s"))
+
+
+@query("""SELECT doc_id, replace(replace(rtrim(base64(encode('v1:' || CAST(doc_id AS VARCHAR) || ':' || source)), '='), '+', '-'), '/', '_') AS cursor, 'copy:' || substr(sha256('["copy","' || source || '"]'), 1, 20) AS group_key FROM documents""")
+def cursors_and_keys(spark, d):
+    raw = F.base64(F.concat_ws(":", F.lit("v1"), F.col("doc_id").cast("string"), "source").cast("binary"))
+    key = F.concat(F.lit("copy:"), F.substring(F.sha2(F.to_json(F.array(F.lit("copy"), F.col("source"))), 256), 1, 20))
+    return table(spark, d, "documents").select("doc_id", F.translate(F.rtrim(raw, F.lit("=")), "+/", "-_").alias("cursor"), key.alias("group_key"))
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') AS k_text FROM events""")
+def json_paths(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.k").alias("k_text"))
+
+
+@query("""SELECT n_name, count(DISTINCT c_custkey) AS customers, count(DISTINCT s_suppkey) AS suppliers FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_name""")
+def chained_left_joins(spark, d):
+    n = table(spark, d, "nation")
+    c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.countDistinct("c_custkey").alias("customers"))
+    s = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.countDistinct("s_suppkey").alias("suppliers"))
+    out = n.join(c, n.n_nationkey == c.c_nationkey, "left").join(s, n.n_nationkey == s.s_nationkey, "left")
+    return out.select("n_name", F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
+
+
+@query("""SELECT event_id, user_id, coalesce(last_value(CASE event_type WHEN 'purchase' THEN true WHEN 'view' THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS paused FROM events""")
+def stream_privacy(spark, d):
+    """The privacy state as a stream keeps it, which equals the batch window."""
+    return capture.run_to_end(spark, f"{d}/events.parquet", capture.privacy_stream, ["event_id", "user_id", "paused"])
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+def stream_dedup(spark, d):
+    """One row for each receipt (user, type), however often it is delivered."""
+    return capture.run_to_end(spark, f"{d}/events.parquet", capture.receipt_stream, ["user_id", "event_type", "event_id"])
