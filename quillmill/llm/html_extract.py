@@ -174,8 +174,8 @@ def extract(source: str, path: str | None) -> tuple[str, str]:
         walk(root)
         if text := " ".join(filter(None, map(text_of, nodes))):
             return text, path
-    best = max(score(root), key=lambda n: n.score, default=None)
-    return (text_of(best), best.path) if best else ("", "")
+    best = max(score(root), key=lambda n: n.score, default=root)  # a page without containers is one itself
+    return text_of(best), best.path
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
