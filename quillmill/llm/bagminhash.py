@@ -6,8 +6,9 @@ thinned by their place. The earliest point that falls on each register is the si
 weighted Jaccard similarity without bias. Bands of registers are joined, and each candidate pair's multisets are compared.
 
 Documents with equal multisets are one class from the start. Within a band's bucket each text is first compared with the
-bucket's smallest, not with all others; only pairs whose texts are still in different classes after that are compared one
-by one, so no link is lost and a bucket of near copies costs one comparison a member.
+bucket's smallest, not with all others. Buckets whose texts are still in different classes after that are compared whole,
+in pairs of tiles of bounded size that emit a spanning forest of their links; so no link is lost, and no list of pairs is
+ever made.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_lists, cut_lineage, in_steps, map_rows
-from .graph import connected_components
+from .graph import connected_components, forest
 from .tokens import Words, mix, window_hash
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
+TILE_SHINGLES, TILE_ROWS = 150_000, 400
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -128,6 +130,85 @@ def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return map_rows(joined, each, f"a {kind}, b {kind}")
 
 
+def unary(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each multiset as a set: a shingle's n-th occurrence is an element of its own. Elements, and how many each text has."""
+    doc, element, weight = multisets(texts)
+    nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    own = np.repeat(doc, weight)
+    return np.repeat(element, weight) + mix(nth.astype(np.uint64)), np.bincount(own, minlength=len(texts))
+
+
+def shared_counts(a: np.ndarray, rows_a: np.ndarray, b: np.ndarray, rows_b: np.ndarray, shape: tuple[int, int], width: int = 4096) -> np.ndarray:
+    """How many elements each row of one tile shares with each of another: products of 0/1 matrices, some columns at a time."""
+    names = np.intersect1d(a, b)
+    out = np.zeros(shape, np.float32)
+    sides = []
+    for elements, rows in ((a, rows_a), (b, rows_b)):
+        at = np.minimum(np.searchsorted(names, elements), max(0, len(names) - 1))
+        there = names[at] == elements if len(names) else np.zeros(len(elements), bool)
+        order = np.argsort(at[there], kind="stable")
+        sides.append((at[there][order], rows[there][order]))
+    for low in range(0, len(names), width):
+        parts = []
+        for (at, rows), n in zip(sides, shape, strict=True):
+            i, j = np.searchsorted(at, [low, low + width])
+            m = np.zeros((n, min(width, len(names) - low)), np.float32)
+            m[rows[i:j], at[i:j] - low] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _links_within(groups: DataFrame, sizes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Edges (a, b) of a spanning forest of the links in each group of (node, component), all pairs of it being compared.
+
+    A group is dealt into tiles of a bounded number of shingles and rows; each pair of tiles is one row of work.
+    """
+    member = groups.join(sizes, groups.node == sizes.id).select("id", F.col("component").alias("group"), "n")
+    tiles = member.groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / TILE_SHINGLES), F.ceil(F.count("*") / TILE_ROWS)).cast("int").alias("tiles"))
+    dealt = cut_lineage(member.join(tiles, "group").select("id", "group", "tiles", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int").alias("tile")))
+    rows = docs.join(dealt, "id").dropDuplicates(["id"]).select("id", "group", "tile", "text")
+
+    def pack(pdf):
+        import pandas as pd
+
+        elements, counts = [], []
+        for _, texts in in_steps(pdf.text.tolist()):
+            own, n = unary(texts)
+            elements.append(own)
+            counts.append(n)
+        return pd.DataFrame([{"group": pdf["group"].iloc[0], "tile": pdf.tile.iloc[0], "ids": pdf.id.tolist(), "counts": np.concatenate(counts).tolist(), "elements": np.concatenate(elements).tobytes()}])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    packed = cut_lineage(rows.groupBy("group", "tile").applyInPandas(pack, f"group {kind}, tile int, ids array<{kind}>, counts array<long>, elements binary"))
+    a, b = (packed.select("group", F.col("tile").alias(f"tile_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in ("ids", "counts", "elements"))) for k in "ab")
+    pairs = dealt.select("group", "tiles").distinct().select("group", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile_a"), "tiles").select("group", "tile_a", F.explode(F.sequence("tile_a", F.col("tiles") - 1)).alias("tile_b"))
+    joined = pairs.join(a, ["group", "tile_a"]).join(b, ["group", "tile_b"]).select((F.col("tile_a") == F.col("tile_b")).alias("same"), *(f"{c}_{k}" for k in "ab" for c in ("ids", "counts", "elements")))
+
+    def each(batch: pa.RecordBatch):
+        for r in range(batch.num_rows):
+            ids, counts, elements, owner = [], [], [], []
+            for k in (1, 4):
+                ids.append(batch.column(k)[r].as_py())
+                counts.append(np.asarray(batch.column(k + 1)[r].as_py()))
+                elements.append(np.frombuffer(batch.column(k + 2)[r].as_py(), np.uint64))
+                owner.append(np.repeat(np.arange(len(counts[-1])), counts[-1]))
+            both = shared_counts(elements[0], owner[0], elements[1], owner[1], (len(ids[0]), len(ids[1])))
+            total = counts[0][:, None] + counts[1][None, :]
+            i, j = np.nonzero(both >= THRESHOLD * (total - both) - 1e-6)
+            if not batch.column(0)[r].as_py():
+                j = j + len(ids[0])
+                names = ids[0] + ids[1]
+            else:
+                names = ids[0]
+            root = forest(i, j, len(names))
+            at = np.flatnonzero(root != np.arange(len(names)))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([names[root[x]] for x in at]), pa.array([names[x] for x in at])], ["a", "b"])
+
+    return map_rows(joined, each, f"a {kind}, b {kind}")
+
+
 def _even_steps(texts: list[str], limit: int = 600_000):
     """Ends of runs of whole pairs of texts, each of about `limit` code points at most."""
     size = 0
@@ -161,14 +242,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = shared.where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     links = cut_lineage(_similar(first, texts))
     classes = cut_lineage(connected_components(links))
-    # what the centers left apart: pairs of one bucket whose classes differ, each compared once
+    # what the centers left apart: buckets that hold several classes, compared whole, tile by tile
     placed = shared.join(classes, shared.id == classes.node, "left").select("id", "band", "bucket", F.coalesce("component", "id").alias("class"))
     torn = placed.groupBy("band", "bucket").agg((F.min("class") != F.max("class")).alias("torn"), F.min("id").alias("center")).where("torn").drop("torn")
-    open_rows = cut_lineage(placed.join(torn, ["band", "bucket"]).select("id", "band", "bucket", "class", "center"))
-    x, y = (open_rows.select(F.col("id").alias(k), "band", "bucket", F.col("class").alias(f"class_{k}"), "center") for k in "ab")
-    rest = x.join(y, ["band", "bucket", "center"]).where("a < b and class_a != class_b and a != center").select("a", "b").distinct()
-    more = _similar(rest, texts)
-    classes = connected_components(cut_lineage(classes.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)))
+    star = placed.join(torn, ["band", "bucket"]).select(F.col("center").alias("a"), F.col("id").alias("b"))
+    more = cut_lineage(_links_within(connected_components(star), reps.select("id", "n"), source))
+    classes = connected_components(classes.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
     found = member.join(classes, member.rep == classes.node, "left").select("id", F.coalesce("component", "rep").alias("class_id")).distinct()
     out = signed.select("id", "n").join(found, "id", "left")
     own = F.coalesce("class_id", "id")

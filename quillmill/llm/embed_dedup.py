@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut_lineage, map_rows
-from .graph import connected_components
+from .graph import connected_components, forest
 
 THRESHOLD = 0.93
 TILE_ROWS = 512
@@ -76,20 +76,6 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) ->
     return i, j
 
 
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """The smallest index that each of n nodes reaches over the edges."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def embedding_classes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS) -> DataFrame:
     """For each vector: n_links (others of its label with cosine >= threshold), component_id (smallest reachable id), kept.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         now = cut_lineage(_small_star(_large_star(now)))
     pairs = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return pairs.union(pairs.select(F.col("component"), F.col("component")).distinct())
+
+
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The smallest index that each of n nodes reaches over the edges."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
