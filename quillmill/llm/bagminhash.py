@@ -40,8 +40,11 @@ def multisets(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.nda
 
 
 def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, registers: int) -> np.ndarray:
-    """The earliest points, one row of registers for each document; infinite where it has no shingles."""
-    out = np.full(n_docs * registers, np.inf)
+    """The earliest points, one row of registers for each document; the largest number where it has no shingles.
+
+    Times are whole multiples of 2^-36, so that their sums are the same however the points are dealt into blocks.
+    """
+    out = np.full(n_docs * registers, np.iinfo(np.int64).max)
     layers = [(doc, element, weight, 0, 1)]
     low = 1
     while (more := weight > low).any():
@@ -50,13 +53,13 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs:
     doc, element, weight, low, high = (np.concatenate([np.broadcast_to(np.asarray(x[k]), x[0].shape) for x in layers]) for k in range(5))
     seed = mix(element ^ (low.astype(np.uint64) * _SALT))
     rate = (high - low).astype(float)
-    time, made = np.zeros(len(doc)), 0
+    time, made = np.zeros(len(doc), np.int64), 0
     while len(doc):
         block = int(np.clip(2048 // len(doc), 1, 64))
         steps = (np.arange(made, made + block, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
         draw = mix(seed[:, None] + steps[None, :])
         gap = -np.log(((draw >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / rate[:, None]
-        when = np.cumsum(gap, axis=1) + time[:, None]
+        when = np.cumsum(np.rint(gap * 2.0**36).astype(np.int64), axis=1) + time[:, None]
         other = mix(draw ^ _SALT)
         register = (other >> np.uint64(40)) % np.uint64(registers)
         place = low[:, None] + np.floor((other & np.uint64(0xFFFFFF)).astype(float) * 2.0**-24 * rate[:, None])
