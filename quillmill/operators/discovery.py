@@ -1,0 +1,85 @@
+"""Predicates and orders that turn hits into ranked, grouped evidence."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+# Textual cues of claims.
+QUALIFIED = r"\b(?:not|never|no|failed|fails|failure|unverified|untested|maybe|might|could|if|would|should|will|plan|planned|proposed|says?|prints?|example|expected|hypothetical)\b|n't\b"
+TESTED = r"\b(?:tests? passed|all tests pass|verified working|tested successfully|test succeeded|confirmed working)\b"
+CORRECTED = r"\b(?:correction:|corrected (?:the|my|that|this)|previous (?:answer|claim|statement) was (?:wrong|incorrect))"
+SUPERSEDED = r"\b(?:superseded|replaced by|obsolete|deprecated)\b"
+UNREAL = r"\b(?:if|would|might|could|maybe|hypothetical|example)\b"
+RESULT = r"\b(?:tests? (?:failed|fails)|result(?:s)? (?:was|were|showed)|observed (?:that|the))\b"
+DECIDED = r"\b(?:decided to|approved (?:the|this)|chose to|agreed to)\b"
+NEGATED = r"\b(?:not|never|no)\b|n't\b"
+TRIED = r"\b(?:tried|attempted|attempting)\b"
+TROUBLE = r"\b(?:problem|error|exception|crash|failure|fails|broken)\b"
+INTENT = ("handoff", "handoffs", "note", "notes", "saved", "save", "document", "documents", "file", "files", "latest", "recent", "current", "summary", "summaries", "instructions")
+LABEL_ORDER = ("corrected_as_reported", "superseded_as_reported", "tested_as_reported", "proposed", "unknown")
+
+
+def evidence_label(quote: Column, kind: Column) -> Column:
+    """What a quote claims; a question or a qualified quote proves nothing."""
+    low = F.lower(quote)
+    open_ = quote.contains("?") | (kind == "question") | low.rlike(QUALIFIED)
+    claim = F.when(low.rlike(TESTED), "tested_as_reported").when(low.rlike(CORRECTED), "corrected_as_reported").when(low.rlike(SUPERSEDED), "superseded_as_reported")
+    return F.coalesce(F.when(~open_, claim), F.when(kind == "proposed", "proposed").otherwise("unknown"))
+
+
+def outcome_role(quote: Column, kind: Column) -> Column:
+    low, label = F.lower(quote), evidence_label(quote, kind)
+    role = (
+        F.when(label.isin("tested_as_reported", "corrected_as_reported", "superseded_as_reported") | low.rlike(RESULT), "result")
+        .when((kind == "decided") & low.rlike(DECIDED) & ~low.rlike(NEGATED), "decision")
+        .when(low.rlike(TRIED) | (kind == "proposed"), "attempt")
+        .when(low.rlike(TROUBLE), "problem")
+    )
+    return F.when(~(quote.contains("?") | (kind == "question") | low.rlike(UNREAL)), role)
+
+
+def artifact_relevance(subject: list[str], title: Column, body: Column) -> Column:
+    """'title' if the title has every subject word; 'body' if the text has, and has them convincingly; else null.
+
+    `title` and `body` are token arrays. One word counts if the title says nothing itself or the word is repeated.
+    """
+    wanted = F.array(*map(F.lit, subject))
+    generic = F.size(F.array_except(title, F.array(*map(F.lit, (*INTENT, "memory", "untitled"))))) == 0
+    repeated = F.lit(True)
+    for w in subject:
+        repeated = repeated & (F.size(F.filter(body, _is(w))) >= 2)
+    convincing = F.lit(len(subject) > 1) | generic | repeated
+    return F.when(F.size(F.array_except(wanted, title)) == 0, "title").when((F.size(F.array_except(wanted, body)) == 0) & convincing, "body")
+
+
+def _is(word: str):
+    return lambda x: x == word
+
+
+def prefix_score(query: list[str], name: Column) -> Column:
+    """Query words of which one is the beginning of the other, for a token array `name`."""
+    return sum((F.when(F.exists(name, _begins(w)), 1).otherwise(0) for w in query), F.lit(0)).cast("long")
+
+
+def _begins(word: str):
+    return lambda h: h.startswith(word) | ((F.length(h) >= 3) & F.startswith(F.lit(word), h))
+
+
+def within_budget(df: DataFrame, keys: list[str], order: list[Column], size: Column, cap: int) -> DataFrame:
+    """The longest prefix of each key's rows whose sizes add up to no more than the cap."""
+    run = F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("used", run.cast("long")).where(F.col("used") <= cap)
+
+
+def evenly_spaced(items: Column, n: int) -> Column:
+    """n elements from first to last at even steps, all of a shorter array."""
+    size = F.size(items)
+    picked = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.element_at(items, F.floor(i * (size - 1) / (n - 1) + 0.5).cast("int") + 1))
+    return F.when(size <= n, items).otherwise(picked)
+
+
+def discovery_order(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Final place of each hit (id, position, keyword, preference, notice): a bonus may move it ahead by a few places."""
+    order = [F.col("notice").asc(), F.col("preference").desc(), (F.col("position") - F.col("keyword")).asc(), F.col("keyword").desc(), F.col("position").asc(), F.col(id_col).asc()]
+    return hits.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # a candidate list of bounded length
