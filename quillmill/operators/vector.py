@@ -24,7 +24,8 @@ def cosine(v: Column, query: list[float]) -> Column:
     if not size or not all(map(math.isfinite, query)):
         raise ValueError("the query vector must be finite and not zero")
     dot = F.aggregate(F.zip_with(v, F.array(*(F.lit(float(x)) for x in query)), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot, norm(v) * size)))
+    raw = F.try_divide(dot, norm(v) * size)
+    return F.when(raw.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))  # greatest and least pass over nulls
 
 
 def top_k(df: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
