@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import archive, discovery, evidence, rollups, search  # noqa: F401
+    from . import archive, discovery, evidence, maintenance, rollups, search  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
