@@ -5,6 +5,7 @@ A query has few terms, so each row keeps only its own counts of them; collection
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,21 +32,26 @@ def _score(tf: Column, dl: Column, idf: float, average: float) -> Column:
     return F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(average)))
 
 
-def bm25(df: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
-    """(id, score) of the rows that hold any term of the query, or with `every` all of them. Larger is better."""
+def scored(df: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score, whole) of the rows that hold any term of the query; `whole` if they hold all. Larger scores are better."""
     terms, _ = query_plan(query)
+    nothing = df.select(F.col(id_col), F.lit(0.0).alias("score"), F.lit(False).alias("whole")).where(F.lit(False))
     if not terms:
-        return df.select(F.col(id_col).alias(id_col), F.lit(0.0).alias("score")).where(F.lit(False))
+        return nothing
     counts = term_counts(df, id_col, text_col, terms)
     sums = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("a"), *(F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"n{i}") for i in range(len(terms)))).first()
     if not sums.n or not sums.a:
-        return counts.select(F.col("id").alias(id_col), F.lit(0.0).alias("score")).where(F.lit(False))
-    import math
-
+        return nothing
     idf = [max(math.log((sums.n - sums[f"n{i}"] + 0.5) / (sums[f"n{i}"] + 0.5)), LEAST_IDF) for i in range(len(terms))]
     score = reduce(lambda a, b: a + b, (_score(F.col("tf")[i], F.col("dl"), idf[i], sums.a) for i in range(len(terms))))
-    test = F.forall("tf", lambda x: x > 0) if every else F.exists("tf", lambda x: x > 0)
-    return counts.where(test).select(F.col("id").alias(id_col), F.round(score, 6).alias("score"))
+    rows = counts.where(F.exists("tf", lambda x: x > 0))
+    return rows.select(F.col("id").alias(id_col), F.round(score, 6).alias("score"), F.forall("tf", lambda x: x > 0).alias("whole"))
+
+
+def bm25(df: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
+    """(id, score) of the rows that hold any term of the query, or with `every` all of them."""
+    rows = scored(df, query, id_col, text_col)
+    return (rows.where("whole") if every else rows).drop("whole")
 
 
 def phrase(df: DataFrame, words: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,8 +72,8 @@ def tiered(df: DataFrame, query: str, limit: int, id_col: str = "doc_id", text_c
     tiers = [df.where(F.col(id_col).cast("string") == query).select(id_col, F.lit(0).alias("tier"), F.lit(0.0).alias("score"))]
     for p in phrases:
         tiers.append(phrase(df, p, id_col, text_col).select(id_col, F.lit(len(tiers)).alias("tier"), F.col("n").cast("double").alias("score")))
-    for every in (True, False):
-        tiers.append(bm25(df, query, id_col, text_col, every).select(id_col, F.lit(len(tiers)).alias("tier"), "score"))
+    words = F.when(F.col("whole"), len(tiers)).otherwise(len(tiers) + 1)
+    tiers.append(scored(df, query, id_col, text_col).select(id_col, words.alias("tier"), "score"))
     first = reduce(DataFrame.unionByName, tiers).groupBy(id_col).agg(F.min(F.struct("tier", (-F.col("score")).alias("s"))).alias("best"))
     rows = first.select(id_col, F.col("best.tier").cast("long").alias("tier"), (-F.col("best.s")).alias("score"))
     return rows.orderBy("tier", F.desc("score"), id_col).limit(limit)
