@@ -83,3 +83,46 @@ def discovery_order(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Final place of each hit (id, position, keyword, preference, notice): a bonus may move it ahead by a few places."""
     order = [F.col("notice").asc(), F.col("preference").desc(), (F.col("position") - F.col("keyword")).asc(), F.col("keyword").desc(), F.col("position").asc(), F.col(id_col).asc()]
     return hits.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # a candidate list of bounded length
+
+
+def navigation_notice(text: Column) -> Column:
+    """struct(event, subject) of a text that is nothing but an interface notice; null for any other text."""
+    plain = F.trim(F.regexp_replace(text, "[*`_]", ""))
+    asked = F.regexp_extract(plain, r"(?i)^Did you mean\s*:?\s*(.{1,120}?)\?\s*$", 1)
+    opened = F.regexp_extract(plain, r"(?i)^\w{2,20}\s*(?:→|->)\s*(.+?)\s*·[^\r\n]*\b(?:new|existing)\s+conversation[.!]?(?:\s+It finishes its current reply in [^\r\n.!?]{1,100} first\.)?$", 1)
+    found = F.when(asked != "", F.struct(F.lit("clarification").alias("event"), F.trim(asked).alias("subject"))).when(opened != "", F.struct(F.lit("conversation_opened").alias("event"), F.trim(opened).alias("subject")))
+    return F.when(F.length(text) <= 400, found)
+
+
+# Words by which a question asks for more than one version.
+COMPARING = frozenset("compare compared versus vs between difference differences changed changes and or".split())
+
+
+def version_mention(query: str) -> tuple[list[str], int] | None:
+    """The query's words and the one version vN it names; null if it names none or several, or compares."""
+    words = query.casefold().replace("|", " ").split()
+    found = [w.strip(".,;:?!()") for w in words]
+    versions = [w for w in found if len(w) > 1 and w[0] == "v" and w[1:].isdigit() and w[1] != "0"]
+    if len(versions) != 1 or COMPARING & set(found):
+        return None
+    return found, int(versions[0][1:])
+
+
+def resolve_version(documents: DataFrame, query: str, id_col: str = "id") -> DataFrame:
+    """(id, name, status) for documents (id, name, version): the one whose name stands right before or after the version.
+
+    `version_not_found` if the name is known in other versions only; no row if the query names no single version, or if more
+    than one name fits.
+    """
+    mention = version_mention(query)
+    if mention is None:
+        return documents.select(F.col(id_col).alias("id"), "name", F.lit("").alias("status")).where(F.lit(False))
+    words, number = mention
+    at = words.index(f"v{number}")
+    before, after = " " + " ".join(words[:at]), " ".join(words[at + 1 :]) + " "
+    plain = F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", " "))
+    fits = (plain != "") & (F.endswith(F.lit(before), F.concat(F.lit(" "), plain)) | F.startswith(F.lit(after), F.concat(plain, F.lit(" "))))
+    named = documents.where(fits)
+    exact = named.groupBy("name").agg(F.max(F.when(F.col("version") == number, F.col(id_col))).alias("id"))
+    alone = exact.withColumn("names", F.count("*").over(Window.partitionBy(F.lit(1))))  # the few names that the query spells out
+    return alone.where("names = 1").select("id", "name", F.when(F.col("id").isNull(), "version_not_found").otherwise("ok").alias("status"))

@@ -1,0 +1,19 @@
+"""Notices and exact versions."""
+
+from pyspark.sql import functions as F
+
+from quillmill.operators import discovery as D
+
+
+def test_notices(spark):
+    rows = [("Did you mean: **fox trap**?",), ("Did you mean what you said? I wonder.",), ("Helper → Build plan · opens a new conversation.",), ("x" * 500,), (None,), ("Did you mean\nmany\nlines?",)]
+    got = [r.n for r in spark.createDataFrame(rows, "t string").select(D.navigation_notice(F.col("t")).alias("n")).collect()]
+    assert [tuple(n) if n else None for n in got] == [("clarification", "fox trap"), None, ("conversation_opened", "Build plan"), None, None, None]
+
+
+def test_versions(spark):
+    docs = spark.createDataFrame([("a1", "Build Plan", 1), ("a2", "Build Plan", 2), ("b2", "Test", 2)], "id string, name string, version int")
+    say = lambda q: [tuple(r) for r in D.resolve_version(docs, q).collect()]
+    assert say("open build plan v2 please") == [("a2", "Build Plan", "ok")] and say("v2 test") == [("b2", "Test", "ok")]
+    assert say("build plan v9") == [(None, "Build Plan", "version_not_found")]
+    assert say("compare build plan v1 and v2") == say("build plan") == say("other v2") == say("build plan v2 test") == []
