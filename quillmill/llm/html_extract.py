@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import cut_lineage, map_rows
 
 # Element names of HTML and the words by which sites name what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -30,6 +30,8 @@ WANTED = re.compile(r"article|content|entry|main|post|story|text|body", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Hosts up to which the winning paths are sent to every executor (some 10 MB); beyond, the join is salted.
+BROADCAST_HOSTS, SALTS = 100_000, 64
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 
@@ -204,9 +206,15 @@ def host_of(url_col: str):
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars, path) of each page. A null page has an empty text; rows that repeat each keep their own."""
-    winners = host_paths(pages, url_col, html_col).withColumnRenamed("host", "__host").withColumnRenamed("path", "__path")
+    winners = cut_lineage(host_paths(pages, url_col, html_col)).select(F.col("host").alias("__host"), F.col("path").alias("__path"))
     keyed = pages.select(F.col(id_col), F.col(url_col), F.col(html_col), host_of(url_col).alias("__key"))
-    rows = keyed.join(winners, F.col("__key") == F.col("__host"), "left").select(id_col, url_col, html_col, "__path")
+    at_host = F.col("__key") == F.col("__host")
+    if winners.count() <= BROADCAST_HOSTS:
+        joined = keyed.join(F.broadcast(winners), at_host, "left")
+    else:  # one host may have a third of all pages: its pages are dealt out by salt, its one row is copied
+        salted = winners.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn("__salt", F.pmod(F.xxhash64(id_col, url_col), F.lit(SALTS)).cast("int")).join(salted, at_host & (F.col("__salt") == F.col("__copy")), "left")
+    rows = joined.select(id_col, url_col, html_col, "__path")
 
     def each(batch: pa.RecordBatch):
         found = [extract(source or "", path) for source, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]

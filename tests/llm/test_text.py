@@ -11,6 +11,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from helpers import docs_frame
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -208,7 +209,9 @@ def test_licences(spark, words):
     assert license_scan.scan_documents(docs_frame(spark, []), license_scan.train(docs_frame(spark, []))).count() == 0
 
 
-def test_html(spark):
+@pytest.mark.parametrize("hosts", [100_000, 0])
+def test_html(spark, monkeypatch, hosts):
+    monkeypatch.setattr(html_extract, "BROADCAST_HOSTS", hosts)
     side = '<div class="side menu-2"><p>' + "other words here, many of them, " * 12 + "</p></div>"
     page = lambda i, body: (i, f"https://Host{i % 2}.example.com/a?b", f'<html><head><title>t</title></head><body><nav>n</nav>{side}<div class="post p{i}"><h1>Head &amp; {i}</h1>{body}</div><div id="comments"><p>me too, me too, me too</p></div><footer>f</footer></body></html>')
     pages = [page(i, f"<p>One,  two<br>three&nbsp;{i} <b>x</b>y<p>last<script>if(a</p>)</script>") for i in range(8)]
