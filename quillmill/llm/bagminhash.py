@@ -234,11 +234,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = cut_lineage(_signed(source))
     some = signed.where("n > 0 and id is not null")
-    firsts = some.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+    # aggregates are cut before they are joined back, so that the join has exchanges of its own, which Spark can split
+    firsts = cut_lineage(some.groupBy("k1", "k2").agg(F.min("id").alias("rep")))
     member = some.select("id", "k1", "k2").join(firsts, ["k1", "k2"]).select("id", "rep")
     reps = some.join(firsts.select("rep"), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"])
     banded = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
-    centers = banded.groupBy("band", "bucket").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
+    centers = cut_lineage(banded.groupBy("band", "bucket").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n"))
     shared = cut_lineage(banded.join(centers, ["band", "bucket"]).select("id", "band", "bucket", "center"))
     involved = shared.select("id").distinct()
     texts = source.join(involved, "id", "left_semi")

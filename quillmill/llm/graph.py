@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
 
+#: Edges that one task contracts.
+TASK_EDGES = 500_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -22,15 +26,34 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _contracted(edges: DataFrame, tasks: int) -> DataFrame:
+    """Each of so many tasks replaces its edges by stars: one edge from each node to the smallest it reaches by them."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def each(batches):
+        parts = [(x.column(0).to_numpy(zero_copy_only=False), x.column(1).to_numpy(zero_copy_only=False)) for x in batches if x.num_rows]
+        if parts:
+            a, b = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+            root = forest(place[: len(a)], place[len(a) :], len(nodes))
+            at = np.flatnonzero(root != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[root[at]])], ["a", "b"])
+
+    return edges.coalesce(tasks).mapInArrow(each, f"a {kind}, b {kind}")
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, component) for every node of an edge; a component is named by its smallest node.
 
-    Alternating large-star and small-star rounds, each a few joins on the edges; nothing is collected but two numbers a
-    round. Edges from a node to itself and nulls are ignored.
+    Edges are first contracted in tasks of about `task_edges` each. What is left goes through alternating large-star and
+    small-star rounds, each a few joins, until nothing changes; if one task held all edges, nothing is left to do. Only two
+    numbers a round come to the driver. Edges from a node to itself and nulls are ignored.
     """
-    now = cut_lineage(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct())
+    given = cut_lineage(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b"))
+    tasks = max(1, -(-given.count() // task_edges))
+    now = cut_lineage(_contracted(given, tasks))
     sign = None
-    while True:
+    while tasks > 1:
         new = now.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
         if (new.n, new.h) == sign or not new.n:
             break

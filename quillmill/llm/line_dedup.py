@@ -147,7 +147,8 @@ def _later_copies(runs: DataFrame, levels: DataFrame, min_words: int) -> DataFra
 
     kind = runs.schema["id"].dataType.simpleString()
     found = cut_lineage(map_rows(both, each, f"id {kind}, tk long, seq int, begin int, end int, n int, a long, b long"))
-    firsts = found.groupBy("n", "a", "b").agg(F.min(F.struct("id", "tk", "seq")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    # cut, so that the join below reads both sides from exchanges of its own, which Spark can split where an interval is hot
+    firsts = cut_lineage(found.groupBy("n", "a", "b").agg(F.min(F.struct("id", "tk", "seq")).alias("first"), F.count("*").alias("copies")).where("copies > 1"))
     later = found.join(firsts, ["n", "a", "b"]).where(F.struct("id", "tk", "seq") != F.col("first"))
     return later.groupBy("id", "tk").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
 

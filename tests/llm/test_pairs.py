@@ -31,9 +31,10 @@ def closure(ids, links):
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(i, i + 1) for i in range(500, 540)] + [(7, 7)]
-    found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = closure({x for e in edges for x in e}, edges)
-    assert found == {k: v for k, v in want.items() if k in {x for e in edges if e[0] != e[1] for x in e}}
+    for size in (500_000, 60):
+        found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), task_edges=size).collect()}
+        assert found == {k: v for k, v in want.items() if k in {x for e in edges if e[0] != e[1] for x in e}}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
