@@ -209,6 +209,47 @@ def test_licences(spark, words):
     assert license_scan.scan_documents(docs_frame(spark, []), license_scan.train(docs_frame(spark, []))).count() == 0
 
 
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or""",
+    "LGPL": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either""",
+}
+
+
+def test_wrapped_licences(spark, words):
+    rows = [(i, "\n".join(words(12, 50 * i + k) for k in range(4))) for i in range(30)]
+    marks = ("", " * ", "# ")
+    for k, (i, notice) in enumerate(enumerate(WRAPPED.values())):
+        lines = [marks[k % 3] + x for x in notice.split("\n")]
+        before = rows[i][1].split("\n")
+        rows[i] = (i, "\n".join([*before[:2], *lines, *before[2:]] if k % 2 else [before[0], "", *lines, marks[k % 3], *before[1:]]))
+    twice = WRAPPED["ISC"] + "\n" + words(12, 1) + "\n" + WRAPPED["ISC"]
+    torn = WRAPPED["BSD"].replace("modification", "\n\n" + words(30, 2) + "\n\nmodification")
+    docs = docs_frame(spark, [*rows, (40, twice), (41, torn)])
+    got = sorted((r.doc_id, r.line, r.family) for r in license_scan.scan_documents(docs, license_scan.train(docs)).collect())
+    assert got == [*((i, 2, f) for i, f in enumerate(WRAPPED)), (40, 0, "ISC"), (40, 4, "ISC")]
+
+
 @pytest.mark.parametrize("hosts", [100_000, 0])
 def test_html(spark, monkeypatch, hosts):
     monkeypatch.setattr(html_extract, "BROADCAST_HOSTS", hosts)
