@@ -70,25 +70,38 @@ def conversations(files: DataFrame) -> DataFrame:
 
 
 def branches(found: DataFrame) -> DataFrame:
-    """Each node with its depth on the branch from the current node to the root; nodes off that branch have none.
+    """Each node with its distance from the current node on the branch to the root; nodes off that branch have none.
 
-    The walk is a recursive query over (conversation, node); a parent that does not exist, or a ring, ends it.
+    A conversation is one row, so that its branch is walked within the row, however long it is. Where the walk meets a ring
+    or a parent that does not exist, all nodes of the conversation have an error and no distance.
     """
-    spark = found.sparkSession
-    nodes = found.where("error IS NULL").select("sha256", "conversation_id", "current_node", F.explode("nodes").alias("n")).select("sha256", "conversation_id", "current_node", "n.*")
-    nodes.createOrReplaceTempView("quillmill_nodes")
-    walk = spark.sql("""
-        WITH RECURSIVE walk(sha256, conversation_id, id, up, steps) AS (
-            SELECT sha256, conversation_id, id, parent, 0 FROM quillmill_nodes WHERE id = current_node
-            UNION ALL
-            SELECT w.sha256, w.conversation_id, n.id, n.parent, w.steps + 1 FROM walk w
-            JOIN quillmill_nodes n ON n.sha256 = w.sha256 AND n.conversation_id = w.conversation_id AND n.id = w.up WHERE w.steps < 90
-        ) SELECT sha256, conversation_id, id, min(steps) AS steps FROM walk GROUP BY sha256, conversation_id, id""")
-    return nodes.join(walk, ["sha256", "conversation_id", "id"], "left")
+    node = pa.struct([("id", pa.string()), ("parent", pa.string()), ("role", pa.string()), ("text", pa.string()), ("created", pa.float64()), ("refused", pa.string())])
+    rest = [pa.field("steps", pa.int32()), pa.field("error", pa.string())]
+    schema = pa.schema([pa.field("sha256", pa.string()), pa.field("conversation_id", pa.string()), *node, pa.field("current_node", pa.string()), *rest])
+
+    def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for sha, conversation, current, nodes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parents = {n["id"]: n["parent"] for n in nodes or ()}
+                steps, at, error = {}, current, None
+                while at is not None:
+                    if at in steps or at not in parents:
+                        steps, error = {}, "cycle_or_missing_parent"
+                        break
+                    steps[at] = len(steps)
+                    at = parents[at]
+                yield pa.RecordBatch.from_pylist([{"sha256": sha, "conversation_id": conversation, "current_node": current, **n, "steps": steps.get(n["id"]), "error": error} for n in nodes or ()], schema)
+
+    rows = found.where("error IS NULL").select("sha256", "conversation_id", "current_node", "nodes")
+    return rows.mapInArrow(each, "sha256 string, conversation_id string, id string, parent string, role string, text string, created double, refused string, current_node string, steps int, error string")
 
 
 def runs(nodes: DataFrame) -> DataFrame:
-    """Branch messages in order with the number of their packet: a refused node ends a packet; others stand alone."""
+    """Branch messages in order with the number of their packet: a refused node ends a packet; others stand alone.
+
+    Conversations with an error in their tree give no messages; `branches` names them.
+    """
+    nodes = nodes.where("error IS NULL")
     w = Window.partitionBy("sha256", "conversation_id").orderBy(F.desc("steps"))
     on = nodes.where("steps IS NOT NULL").withColumn("packet", F.sum(F.col("refused").isNotNull().cast("int")).over(w)).withColumn("source_order", F.row_number().over(w) - 1)
     off = nodes.where("steps IS NULL").withColumn("packet", F.lit(None).cast("long")).withColumn("source_order", F.lit(None).cast("int"))

@@ -4,7 +4,7 @@ import hashlib
 import json
 import zipfile
 
-from quillmill.operators import ingest
+from quillmill.operators import ingest, relational
 from quillmill.sources import exports, packets, transcripts
 
 
@@ -56,6 +56,25 @@ def test_export_tree(spark, tmp_path):
     assert rows["A"][1] < rows["B"][1] < rows["C"][1]
 
 
+def test_long_and_broken_trees(spark):
+    node = lambda i, parent: (i, parent, "user", i, None, None)
+    chain = [node(f"n{i}", f"n{i - 1}" if i else None) for i in range(3000)]
+    rows = [("s", "long", None, "n2999", chain, None), ("s", "ring", None, "b", [node("a", "b"), node("b", "a")], None), ("s", "gap", None, "b", [node("b", "gone")], None), ("s", "none", None, None, [node("a", None)], None)]
+    nodes = exports.branches(spark.createDataFrame(rows, f"sha256 string, conversation_id string, title string, current_node string, nodes array<{exports.NODE}>, error string"))
+    assert {r.conversation_id for r in nodes.where("error = 'cycle_or_missing_parent'").collect()} == {"ring", "gap"}
+    got = exports.runs(nodes).collect()
+    assert [r.source_order for r in sorted((r for r in got if r.conversation_id == "long"), key=lambda r: int(r.id[1:]))] == list(range(3000))
+    assert {r.conversation_id for r in got} == {"long", "none"}
+
+
+def test_canonical_roots_of_long_chains(spark):
+    rows = [(i, i - 1 if i else None) for i in range(1000)] + [(2000, 2001), (2001, 2000), (2002, 2001), (3000, 2999), (3001, 3000)]
+    got = {r.id: (r.root, r.error) for r in relational.canonical_roots(spark, spark.createDataFrame(rows, "id long, parent long"), "id", "parent").collect()}
+    want = {i: (0, None) for i in range(1000)} | dict.fromkeys((2000, 2001, 2002), (None, "ring")) | dict.fromkeys((3000, 3001), (2999, "missing_parent"))
+    assert got == want
+    assert relational.canonical_roots(spark, spark.createDataFrame([], "id long, parent long"), "id", "parent").count() == 0
+
+
 def test_transcripts(spark, tmp_path):
     item = lambda i, text, kind="UserMessage", **more: json.dumps({"type": "event_msg", "payload": {"type": "item_completed", "thread_id": "s", "item": {"type": kind, "id": i, "content": [{"type": "text", "text": text}], **more}}})
     lines = [json.dumps({"type": "session_meta", "payload": {"id": "s"}}), item("1", "hello"), item("2", "hi", "AgentMessage", phase="final"), item("3", "Please don't save this"), item("4", "hidden"), item("5", "/memory on"), item("6", "seen"), item("7", "password = abcdefgh1"), item("8", "end"), item("8", "end"), item("9", "noise", "ToolCall")]
