@@ -12,6 +12,8 @@ dates of 1700 to 2099 as y-m-d, with a dot or an over-12 first number as d.m.y,
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +30,16 @@ _PATTERNS = (
     r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     r"(?<![A-Za-z0-9+])\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?![A-Za-z0-9])",
     r"(?<![A-Za-z0-9+(])\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}(?![A-Za-z0-9])",
-    r"(?<![A-Za-z0-9.])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])",
+    # Groups of digits, 13 digits at least, up to a group where mail, address, date or number of another format begins.
+    r"(?<![A-Za-z0-9.])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ -](?!{OTHER})[0-9]++(?![A-Za-z]))*+",
+)
+_OTHER = "|".join((*_PATTERNS[:1], *_PATTERNS[3:5], *(_PATTERNS[5].replace(r"([./])", mark).replace(r"\1", mark) for mark in (r"\.", "/")), *_PATTERNS[6:7], *_PATTERNS[8:9]))
+PATTERN = "|".join(_PATTERNS).replace("{OTHER}", f"(?:{_OTHER})")
+#: Where cards may stand in such groups: in the groupings that cards have, from any group on, and in the longest spans of any grouping.
+_CARDS = (
+    *(rf"(?<![0-9])(?=({body})(?![0-9]))" for body in ("[ -]".join(f"[0-9]{{{n}}}" for n in sizes) for sizes in ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3), ("13,19",)))),
+    r"(?<![0-9])([0-9](?:[ -]?[0-9]){12,18})(?![0-9])",
 )
-PATTERN = "|".join(_PATTERNS)
 #: What any of the patterns needs; most texts end here.
 _CUE = r"[0-9@]|AKIA|(?i:password|passwd|secret|token|api[_-]?key)"
 
@@ -104,8 +113,23 @@ def _card(m: Column, key: str) -> Column:
     pair = feistel(_part(d, 2, a), _part(d, a + 2, b), _ten_to(a), _ten_to(b), key, "card")
     body = _let(pair, lambda s: F.concat(F.substring(d, 1, 1), _padded(s["l"], a), _padded(s["r"], b)))
     whole = _let(body, lambda x: F.concat(x, F.pmod(10 - luhn_sum(x, True) % 10, F.lit(10)).cast("string")))
-    valid = d.rlike("^[2-6]") & (n >= 13) & (luhn_sum(d, False) % 10 == 0)
-    return F.when(valid, _refill(m, whole))
+    return _refill(m, whole)
+
+
+def _is_card(m: Column) -> Column:
+    return _let(_digits(m), lambda d: d.rlike("^[2-6]") & F.length(d).between(13, 19) & (luhn_sum(d, False) % 10 == 0))
+
+
+def _cards(m: Column, key: str) -> Column:
+    """struct(new, n): the groups of digits with the pseudonyms of all cards among them, and their number; of cards that overlap the first in the order of `_CARDS` stays."""
+    spans = F.array_distinct(F.concat(*(F.regexp_extract_all(m, F.lit(p), F.lit(1)) for p in _CARDS)))
+
+    def put(s: Column, card: Column) -> Column:
+        place = F.concat(F.lit("(?<![0-9#])"), card, F.lit("(?![0-9#])"))
+        return F.when(F.rlike(s["rest"], place), F.struct(F.regexp_replace(s["new"], place, _card(card, key)).alias("new"), F.regexp_replace(s["rest"], place, F.regexp_replace(card, "[0-9]", "#")).alias("rest"), (s["n"] + F.regexp_count(s["rest"], place)).alias("n"))).otherwise(s)
+
+    start = F.struct(m.alias("new"), m.alias("rest"), F.lit(0).alias("n"))
+    return F.aggregate(F.filter(spans, _is_card), start, put)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -182,19 +206,21 @@ def _secret(m: Column, key: str) -> Column:
 
 
 def _replaced(m: Column, key: str) -> Column:
-    """struct(kind, new): new is null where the match is not valid in its format."""
+    """struct(kind, new, n): new is null where the match is not valid in its format; n values of the kind stand in it."""
     kinds = (
         ("email", m.contains("@"), _email(m, key)),
         ("secret", m.rlike("^(?:AKIA|[a-zA-Z])"), _secret(m, key)),
         ("ip", m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), _ip(m, key)),
         ("date", m.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4})$"), _date(m, key)),
         ("ssn", m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), _ssn(m, key)),
-        ("phone", m.rlike(r"^[+(]") | (F.length(_digits(m)) == 10), _phone(m, key)),
+        ("phone", m.rlike(r"^[+(]|^[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}$"), _phone(m, key)),
     )
     kind, new = F, F
     for name, test, value in kinds:
         kind, new = kind.when(test, F.lit(name)), new.when(test, value)
-    return F.struct(kind.otherwise("card").alias("kind"), new.otherwise(_card(m, key)).alias("new"))
+    other = functools.reduce(lambda a, b: a | b, (test for _, test, _ in kinds))
+    cards = F.when(~other, _cards(m, key))
+    return _let(cards, lambda c: F.struct(kind.otherwise("card").alias("kind"), new.otherwise(F.when(c["n"] > 0, c["new"])).alias("new"), F.coalesce(c["n"], F.lit(1)).alias("n")))
 
 
 def pseudonymize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "quillmill") -> DataFrame:
@@ -210,5 +236,5 @@ def pseudonymize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     said = found.select(id_col, "text", "__m", F.transform("__m", lambda m: _replaced(m, key)).alias("__r"))
     new = F.concat(F.zip_with("__m", "__r", lambda m, r: F.coalesce(r["new"], m)), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(F.split("text", PATTERN, -1), new, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")
-    kinds = F.transform(F.filter("__r", lambda r: r["new"].isNotNull()), lambda r: r["kind"])
+    kinds = F.flatten(F.transform(F.filter("__r", lambda r: r["new"].isNotNull()), lambda r: F.array_repeat(r["kind"], r["n"])))
     return said.select(id_col, F.when(F.size("__m") > 0, joined).otherwise(F.col("text")).alias("text"), F.size(kinds).cast("long").alias("n_pii"), kinds.alias("kinds"))

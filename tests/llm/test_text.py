@@ -320,3 +320,20 @@ def test_pseudonyms(spark):
     assert got[303].kinds == ["ssn", "email", "secret", "secret"] and not re.search(r"123-45|me\.too|ABCDEFGH|hunter", got[303].text)
     assert got[304].text == "$1 \\ (x)" and got[900].text is None and got[901].text == ""
     assert pii.pseudonymize(docs_frame(spark, [])).count() == 0
+
+
+def test_cards_beside_other_numbers(spark):
+    card, amex = "4111111111111111", "378282246310005"
+    spaced = "4111 1111 1111 1111"
+    texts = [card, f"{spaced} 12/27", f"{card} 123", f"order 12 {spaced}", f"2024 {spaced}", f"3782 822463 10005 1234 {card}", f"no {spaced} {spaced} 7", f"{spaced} 123-45-6789", f"12345678901234 {spaced} 5th", "41 11 1111 1111 1111", "1234567890 123abc", f"5 5 5 5 5 5 5 5 5 5 5 5 5 5 5 5 5 5 5 5 {card}", f"x {'7' * 9000}", f"4111-1111-1111-1111 0199 at 212-555-0199 {amex}"]
+    rows = sorted(pii.pseudonymize(docs_frame(spark, list(enumerate(texts))), key=KEY).collect(), key=lambda r: r.doc_id)
+    got = [r.text for r in rows]
+    new = got[0]
+    left = " ".join(new[k : k + 4] for k in range(0, 16, 4))
+    assert new != card and luhn(new)
+    assert got[1:5] == [f"{left} 12/27", f"{new} 123", f"order 12 {left}", f"2024 {left}"]
+    assert got[5].endswith(f" 1234 {new}") and not got[5].startswith("3782 822463") and luhn(got[5].split(" 1234 ")[0].replace(" ", ""))
+    assert got[6] == f"no {left} {left} 7" and got[7].startswith(left + " ") and "123-45-6789" not in got[7]
+    assert got[8] == f"12345678901234 {left} 5th" and got[9].replace(" ", "") == new and got[10] == texts[10] and got[11].endswith(" " + new) and got[12] == texts[12]
+    assert got[13].startswith(left.replace(" ", "-") + " 0199 at ") and "212-555-0199" not in got[13] and amex not in got[13]
+    assert [rows[i].kinds for i in (5, 6, 7, 10)] == [["card", "card"], ["card", "card"], ["card", "ssn"], []]
