@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterable
@@ -22,6 +23,38 @@ from .common import map_rows
 #: Words whose codes a task remembers before it starts anew.
 REMEMBERED_WORDS = 300_000
 
+# Fixed values from the Unicode data: what the library's tables, older or newer than Python's, see otherwise.
+#: Combining marks assigned after Unicode 9, and the parts of the one pair composed since: they neither reorder nor compose.
+LATE_MARKS = (
+    "07FD 0898-089F 08CA-08D3 09FE 0C3C 0D3B-0D3C 0EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF "
+    "10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 "
+    "11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
+#: Letters and numbers assigned after Unicode 16: not yet letters or numbers.
+LATE_LETTERS = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 "
+    "10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 "
+    "16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 "
+    "1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F "
+    "2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+#: Capitals assigned after Unicode 15: ranges and how far on their small letters stand.
+LATE_CAPITALS = (("1C89 A7CC A7CE A7D2 A7D4 A7DA", 1), ("A7CB", 0x264 - 0xA7CB), ("A7DC", 0x19B - 0xA7DC), ("10D50-10D65", 0x20), ("16EA0-16EB8", 0x1B))
+
+
+def code_points(ranges: str) -> list[int]:
+    """The code points of ranges such as `07FD 0898-089F`."""
+    return [i for part in ranges.split() for a, _, b in [part.partition("-")] for i in range(int(a, 16), int(b or a, 16) + 1)]
+
+
+def _one_of(ranges: str) -> str:
+    return "[" + "".join(f"\\U{a:0>8}-\\U{b or a:0>8}" for part in ranges.split() for a, _, b in [part.partition("-")]) + "]"
+
+
+_SMALL = {i: i + step for ranges, step in LATE_CAPITALS for i in code_points(ranges)}
+_late_marks = re.compile(f"({_one_of(LATE_MARKS)})")
+_late = re.compile(_one_of(f"{LATE_MARKS} {LATE_LETTERS} {' '.join(r for r, _ in LATE_CAPITALS)}")).search
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
@@ -44,7 +77,13 @@ class WordBpe:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"], regex.V1).findall
+        pattern = split["pattern"]["Regex"]
+        self.words = regex.compile(pattern, regex.V1).findall
+        new = _one_of(LATE_LETTERS)
+        for kind in "LN":
+            pattern = pattern.replace(f"[\\p{{{kind}}}]", f"(?:(?!{new})\\p{{{kind}}})")
+        #: For texts with code points that the library's tables do not know: those are neither letters nor numbers.
+        self.late_words = regex.compile(pattern.replace("[^\\s\\p{L}\\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|{new})"), regex.V1).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         self.symbols = byte_symbols()
 
@@ -54,10 +93,21 @@ class WordBpe:
             return cls(json.load(f))
 
     def normalize(self, text: str) -> str:
-        """NFC, white space to a blank, lower case one character at a time (a final sigma is no exception)."""
-        text = unicodedata.normalize("NFC", text)
+        """NFC and lower case one character at a time (a final sigma is no exception)."""
+        if text.isascii():
+            return text.lower()
+        if _late(text):
+            parts = _late_marks.split(text)
+            parts[::2] = (unicodedata.normalize("NFC", x) for x in parts[::2])
+            text = "".join(parts).translate(_SMALL)
+        else:
+            text = unicodedata.normalize("NFC", text)
         return (text.replace("Σ", "σ") if "Σ" in text else text).lower()
 
+    def split(self, text: str) -> list[str]:
+        """The words of a text, normalised; white space parts them, of whatever kind it is."""
+        return (self.late_words if _late(text) else self.words)(self.normalize(text))
+
     def encode_word(self, word: str) -> list[int]:
         symbols = [self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
         symbols[-1] += self.suffix
@@ -86,13 +136,13 @@ class WordBpe:
     def parts(self, text: str) -> Iterable[str]:
         """The words of a text and, as they stand, the special strings in it."""
         if self.specials is None:
-            return self.words(self.normalize(text))
+            return self.split(text)
         pieces = self.specials(text)
         if len(pieces) == 1:
-            return self.words(self.normalize(text))
+            return self.split(text)
         out: list[str] = []
         for k, piece in enumerate(pieces):
-            out += [piece] if k % 2 else self.words(self.normalize(piece))
+            out += [piece] if k % 2 else self.split(piece)
         return out
 
     def encode(self, text: str) -> list[int]:

@@ -63,6 +63,15 @@ def test_bpe_words(text):
     assert own[0].encode(text) == own[1].encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_every_code_point():
+    from tokenizers import Tokenizer
+
+    own, theirs = bpe.WordBpe.from_file(PATH), Tokenizer.from_file(PATH)
+    points = [i for i in (*range(0x33500), *range(0xE0000, 0xE0200)) if not 0xD800 <= i < 0xE000]
+    texts = [f"a{chr(i)}1 {chr(i)}a" for i in points] + [f"e{chr(i)}\u0316 \u00e1{chr(i)}\u0301" for i in points]
+    assert [x for x, e in zip(texts, theirs.encode_batch(texts, add_special_tokens=False), strict=True) if own.encode(x) != e.ids] == []
+
+
 def line_windows(rows, least):
     first, windows, gone = {}, [], defaultdict(set)
     for d, t in sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: r[0]):
