@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,15 +18,43 @@ STEP_CHARS = 600_000
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder that the cluster names and go on from there.
 
-    Only where the session names none (tests on one machine) is a temporary folder set.
+    Only on one machine, where the session names none, is a temporary folder set.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written as a table in the shared folder and read again: for loops of joins.
+
+    A checkpoint keeps the plan's size estimates, which grow with every join; a table has the size that it has.
+    """
+    at = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see, as the session names it; on one machine, where none is named, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
+def fresh(df: DataFrame, *names: str, hidden: bool = True) -> list[str]:
+    """The names, with underscores around (or after, if not hidden) where a column of the rows has one of them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        own = f"__{name}" if hidden else name
+        while own.lower() in taken:
+            own += "_"
+        out.append(own)
+    return out
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, stored
 
 #: Edges that one task contracts.
 TASK_EDGES = 500_000
@@ -46,19 +46,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", task_edge
     """(node, component) for every node of an edge; a component is named by its smallest node.
 
     Edges are first contracted in tasks of about `task_edges` each. What is left goes through alternating large-star and
-    small-star rounds, each a few joins, until nothing changes; if one task held all edges, nothing is left to do. Only two
-    numbers a round come to the driver. Edges from a node to itself and nulls are ignored.
+    small-star rounds, each a few joins, until the edges stay the same; if one task held all edges, nothing is left to do. Only
+    counts come to the driver. Edges from a node to itself and nulls are ignored.
     """
     given = cut_lineage(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b"))
     tasks = max(1, -(-given.count() // task_edges))
     now = cut_lineage(_contracted(given, tasks))
-    sign = None
     while tasks > 1:
-        new = now.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
-        if (new.n, new.h) == sign or not new.n:
+        new = stored(_small_star(_large_star(now)))
+        same = new.count() == now.count() and new.join(now, ["a", "b"], "left_anti").isEmpty()
+        now = new
+        if same:
             break
-        sign = (new.n, new.h)
-        now = cut_lineage(_small_star(_large_star(now)))
     pairs = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return pairs.union(pairs.select(F.col("component"), F.col("component")).distinct())
 

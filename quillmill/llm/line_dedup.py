@@ -2,13 +2,15 @@
 
 Every line that is not blank becomes an id; lines that occur once end a run and leave at once. The suffixes that start at
 the other lines are ranked by their first 1, 2, 4, ... lines: a round pairs the rank at a line with the rank at the line
-2^k further on, keeps pairs that occur more than once, and ranks them by a global sort. Ranks stay exact at every depth, so
-two overlapping ranks name the longest-common-prefix interval of any depth.
-
-A run counts as repeated when it has at least `min_words` words. Its shortest prefixes and suffixes of that many words
-cover the same lines as the run, so only their intervals are looked up: all but the earliest member of an interval are
-later copies, and the union of their lines, the maximal repeated runs, is deleted. Doubling thus ends at the depth that
-holds `min_words` words, however long the runs are.
+2^k further on, keeps pairs that occur more than once, and ranks them by a global sort. Rounds end when no pair repeats, so
+the last rank of a suffix is its place in the suffix array, and the ranks of a round name the intervals of suffixes that
+share 2^k lines.
+
+From these ranks each suffix gets the length of the longest prefix that it shares with an earlier suffix: the levels are
+walked down from the deepest, and at each the members of a longest-common-prefix interval are split by the rank of what
+follows. All but the earliest of a part move on into it, as their prefix has an earlier copy; the earliest stays and stands
+for its part at the levels below. That prefix, if it has `min_words` words at least, is a later copy of a repeated run; the
+union of all such prefixes is deleted.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, map_rows
+from .common import cut_lineage, fresh, map_rows, stored
 
+#: Words of a run from which its later copies go. Shorter ones are common phrases: see the README for what each size deletes.
 MIN_WORDS = 50
 _WORD = re.compile(r"\w+")
 
@@ -53,15 +56,21 @@ def line_ids(docs: DataFrame) -> DataFrame:
     return map_rows(docs, each, f"id {kind}, tk long, seq int, line int, h1 long, h2 long, words int")
 
 
-def dense_rank(keys: DataFrame, *columns: str) -> DataFrame:
-    """The distinct rows `keys` with their rank in the order of `columns`, from 0, by a range sort and one offset a partition."""
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cut_lineage(keys.repartitionByRange(n, *columns).sortWithinPartitions(*columns))
-    counts = {r.p: r.n for r in ordered.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}  # a number for each partition
+def _offsets(ordered: DataFrame) -> dict[int, int]:
+    """Rows before each partition; one number a partition comes to the driver."""
+    counts = {r.p: r.n for r in ordered.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
     offsets, total = {}, 0
     for p in sorted(counts):
         offsets[p] = total
         total += counts[p]
+    return offsets
+
+
+def dense_rank(keys: DataFrame, *columns: str) -> DataFrame:
+    """The distinct rows `keys` with their rank in the order of `columns`, from 0, by a range sort and one offset a partition."""
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = cut_lineage(keys.repartitionByRange(n, *columns).sortWithinPartitions(*columns))
+    offsets = _offsets(ordered)
 
     def number(batches):
         from pyspark import TaskContext
@@ -74,100 +83,100 @@ def dense_rank(keys: DataFrame, *columns: str) -> DataFrame:
     return ordered.mapInArrow(number, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema.fields) + ", rank long")
 
 
-def windows_of(seq: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """(first, count) of the shortest runs of consecutive lines of at least `min_words` words, from each line and to each line."""
-    found: set[tuple[int, int]] = set()
-    begin = np.flatnonzero(np.diff(seq, prepend=seq[0] - 2) != 1)
-    for a, b in zip(begin, np.append(begin[1:], len(seq)), strict=True):
-        sums = np.concatenate([[0], np.cumsum(words[a:b])])
-        ends = np.searchsorted(sums, sums[:-1] + min_words)  # shortest from each line
-        found.update((a + i, int(e - i)) for i, e in enumerate(ends) if e <= b - a)
-        starts = np.searchsorted(sums, sums[1:] - min_words, side="right") - 1  # shortest to each line
-        found.update((a + int(s), int(e + 1 - s)) for e, s in enumerate(starts) if s >= 0 and sums[e + 1] - sums[s] >= min_words)
-    return sorted(found)
-
-
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, tk, spans) for each document of (id, tk, text) with lines to delete; a span is the first and last line."""
-    lines = cut_lineage(line_ids(docs.where("id is not null")))
-    often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    ranked = dense_rank(often, "h1", "h2")
-    active = cut_lineage(lines.join(ranked, ["h1", "h2"]).select("id", "tk", "seq", "line", "words", "rank").dropDuplicates(["id", "tk", "seq"]))
-    levels = [active.select("id", "tk", "seq", F.lit(0).alias("level"), "rank")]
-    now, k = active.select("id", "tk", "seq", "rank"), 0
-    runs = active.select("id", "tk", F.struct("seq", "line", "words").alias("x"))
-    deepest = _deepest(runs, min_words)
-    while 2 << k <= deepest:
-        step = Window.partitionBy("id", "tk").orderBy("seq").rangeBetween(1 << k, 1 << k)
-        paired = cut_lineage(now.select("id", "tk", "seq", F.col("rank").alias("r1"), F.first("rank").over(step).alias("r2")).where("r2 is not null"))
-        often = paired.groupBy("r1", "r2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        now = cut_lineage(paired.join(dense_rank(often, "r1", "r2"), ["r1", "r2"]).select("id", "tk", "seq", "rank"))
-        k += 1
-        levels.append(now.select("id", "tk", "seq", F.lit(k).alias("level"), "rank"))
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    return _later_copies(runs, every, min_words)
-
+def numbered(active: DataFrame) -> DataFrame:
+    """The lines in the order of (id, tk, seq) with their number `p`, that of the first line of their run, and `upto`, the words of the run before them.
 
-def _grouped(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("id", "tk").agg(F.sort_array(F.collect_list("x")).alias("xs")).select("id", "tk", *(F.col(f"xs.{c}").alias(c) for c in ("seq", "line", "words")))
+    A run is a row of consecutive lines of one document; a document is within one task.
+    """
+    n = int(active.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = cut_lineage(active.repartitionByRange(n, "id", "tk").sortWithinPartitions("id", "tk", "seq"))
+    offsets = _offsets(ordered)
 
+    def number(batches):
+        from pyspark import TaskContext
 
-def _deepest(runs: DataFrame, min_words: int) -> int:
-    """Lines in the longest of the windows."""
+        at = offsets.get(TaskContext.get().partitionId(), 0)
+        last, run, upto = None, at, 0
+        for batch in batches:
+            starts, before = [], []
+            for k, (own, tk, seq, words) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "tk", "seq", "words")), strict=True)):
+                if last != (own, tk, seq - 1):
+                    run, upto = at + k, 0
+                last = (own, tk, seq)
+                starts.append(run)
+                before.append(upto)
+                upto += words
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(at, at + batch.num_rows)), pa.array(starts, pa.int64()), pa.array(before, pa.int64())], [*batch.schema.names, "p", "run", "upto"])
+            at += batch.num_rows
 
-    def each(batch: pa.RecordBatch):
-        most = 0
-        for seq, words in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
-            most = max([most, *(n for _, n in windows_of(np.asarray(seq), np.asarray(words), min_words))])
-        yield pa.RecordBatch.from_arrays([pa.array([most])], ["most"])
+    return ordered.mapInArrow(number, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in active.schema.fields) + ", p long, run long, upto long")
 
-    return map_rows(_grouped(runs), each, "most long").agg(F.max("most").alias("n")).first().n or 0
 
+def prefix_levels(placed: DataFrame) -> list[DataFrame]:
+    """(p, run, rank) by the first 1, 2, 4, ... lines, for the suffixes that share so many lines with another."""
+    levels = [placed.select("p", "run", "rank")]
+    while True:
+        now, step = levels[-1], 1 << len(levels) - 1
+        ahead = now.select((F.col("p") - step).alias("p"), "run", F.col("rank").alias("r2"))
+        paired = stored(now.withColumnRenamed("rank", "r1").join(ahead, ["p", "run"]))
+        often = paired.groupBy("r1", "r2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        level = stored(paired.join(dense_rank(often, "r1", "r2"), ["r1", "r2"]).select("p", "run", "rank"))
+        if level.isEmpty():
+            return levels
+        levels.append(level)
+
+
+def earlier_prefixes(levels: list[DataFrame]) -> DataFrame:
+    """(p, length): lines of the longest prefix of suffix p that an earlier suffix has too; none where there is no such line."""
+    state = None
+    for k in reversed(range(len(levels))):
+        level = levels[k]
+        if state is None:
+            keyed = level.select("p", "run", F.lit(0).cast("long").alias("length"), F.lit(-1).cast("long").alias("first"), "rank")
+        else:
+            known = level.select("p", "run").join(state, "p", "left").select("p", "run", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("first", F.lit(-1)).alias("first"))
+            ahead = level.select(F.col("p").alias("q"), F.col("run").alias("of"), "rank")
+            keyed = stored(known.join(ahead, (F.col("p") + F.col("length") == F.col("q")) & (F.col("run") == F.col("of")), "left").select("p", "run", "length", "first", "rank"))
+        interval = ["first", "length", "rank"]
+        parts = stored(keyed.where("rank is not null").groupBy(*interval).agg(F.min("p").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
+        on = keyed.join(parts, interval, "left")
+        later = F.col("least").isNotNull() & (F.col("least") < F.col("p"))
+        state = stored(on.select("p", (F.col("length") + F.when(later, 1 << k).otherwise(0)).alias("length"), F.when(later, F.col("least")).otherwise(F.col("first")).alias("first")))
+    return state.where("length > 0").select("p", "length")
 
-def _later_copies(runs: DataFrame, levels: DataFrame, min_words: int) -> DataFrame:
-    ranks = levels.groupBy("id", "tk").agg(F.collect_list(F.struct("level", "seq", "rank")).alias("r")).select("id", "tk", *(F.col(f"r.{c}").alias(f"r_{c}") for c in ("level", "seq", "rank")))
-    both = _grouped(runs).join(ranks, ["id", "tk"])
 
-    def each(batch: pa.RecordBatch):
-        at: list[int] = []
-        out: list[list] = [[] for _ in range(6)]
-        for i, (seq, line, words, level, where, rank) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True)):
-            of = dict(zip(zip(level, where, strict=True), rank, strict=True))
-            for first, n in windows_of(np.asarray(seq), np.asarray(words), min_words):
-                k = n.bit_length() - 1
-                a, b = of.get((k, seq[first])), of.get((k, seq[first] + n - (1 << k)))
-                if a is not None and b is not None:
-                    at.append(i)
-                    for column, x in zip(out, (seq[first], line[first], line[first + n - 1], n, a, b), strict=True):
-                        column.append(x)
-        ids = [batch.column(k).take(pa.array(at, pa.int64())) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, pa.int32()) for c in out[:4]), *(pa.array(c, pa.int64()) for c in out[4:])], ["id", "tk", "seq", "begin", "end", "n", "a", "b"])
-
-    kind = runs.schema["id"].dataType.simpleString()
-    found = cut_lineage(map_rows(both, each, f"id {kind}, tk long, seq int, begin int, end int, n int, a long, b long"))
-    # cut, so that the join below reads both sides from exchanges of its own, which Spark can split where an interval is hot
-    firsts = cut_lineage(found.groupBy("n", "a", "b").agg(F.min(F.struct("id", "tk", "seq")).alias("first"), F.count("*").alias("copies")).where("copies > 1"))
-    later = found.join(firsts, ["n", "a", "b"]).where(F.struct("id", "tk", "seq") != F.col("first"))
-    return later.groupBy("id", "tk").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, tk, spans) for each document of (id, tk, text) with lines to delete; a span is the first and last line."""
+    lines = cut_lineage(line_ids(docs.where("id is not null")))
+    often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    ranked = dense_rank(often, "h1", "h2")
+    active = lines.join(ranked, ["h1", "h2"]).select("id", "tk", "seq", "line", "words", "rank").dropDuplicates(["id", "tk", "seq"])
+    placed = stored(numbered(active))
+    copies = earlier_prefixes(prefix_levels(placed))
+    ends = placed.select((F.col("p")).alias("q"), F.col("line").alias("end"), (F.col("upto") + F.col("words")).alias("through"))
+    found = placed.join(copies, "p").withColumn("q", F.col("p") + F.col("length") - 1).join(ends, "q").where(F.col("through") - F.col("upto") >= min_words)
+    spans = found.groupBy("id", "tk", "end").agg(F.min("line").alias("begin"))
+    return spans.groupBy("id", "tk").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, outputs: tuple[str, str, str] = ("n_lines", "n_removed", "removed")) -> DataFrame:
     """The rows with later copies of repeated line runs deleted from the text, and n_lines, n_removed, removed (line numbers).
 
-    The earliest copy, by id, then text hash, then line, stays whole or survives in one still earlier. Lines are compared
-    without the white space around them; blank lines are no part of a run but go with the run around them. Null texts and
-    rows without id stay as they are; rows that repeat id and text are one document and stay alike.
+    A run counts from `min_words` words; with 1, every later copy of a line that holds a word goes. The earliest copy, by
+    id, then text hash, then line, stays whole or survives in one still earlier. Lines are compared without the white space
+    around them; blank lines are no part of a run but go with the run around them. Null texts and rows without id stay as
+    they are; rows that repeat id and text are one document and stay alike. All columns stay; an output whose name is taken
+    gets underscores after it (`outputs` may give others).
     """
-    keyed = docs.withColumn("__tk", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    spans = repeated_runs(keyed.select(F.col(id_col).alias("id"), F.col("__tk").alias("tk"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), min_words)
-    spans = spans.select(F.col("id").alias("__id"), F.col("tk").alias("__tk2"), F.col("spans").alias("__spans"))
-    joined = keyed.join(spans, (F.col(id_col) == F.col("__id")) & (F.col("__tk") == F.col("__tk2")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    gone = F.array_distinct(F.flatten(F.transform("__spans", lambda s: F.sequence(s["begin"], s["end"]))))
-    removed = F.coalesce(gone, F.array().cast("array<int>"))
-    kept = F.when(F.size("__gone") > 0, F.array_join(F.filter(F.col("__lines"), lambda x, i: ~F.array_contains("__gone", i)), "\n")).otherwise(F.col(text_col))
-    out = joined.withColumn("__gone", removed).withColumn("__lines", lines)
-    columns = [kept.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
-    return out.select(*columns, F.coalesce(F.size("__lines"), F.lit(0)).alias("n_lines"), F.size("__gone").alias("n_removed"), F.col("__gone").alias("removed"))
+    tk, own_id, own_tk, spans_col, gone, lines = fresh(docs, "tk", "own_id", "own_tk", "spans", "gone", "lines")
+    keyed = docs.withColumn(tk, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    spans = repeated_runs(keyed.select(F.col(id_col).alias("id"), F.col(tk).alias("tk"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), min_words)
+    spans = spans.select(F.col("id").alias(own_id), F.col("tk").alias(own_tk), F.col("spans").alias(spans_col))
+    joined = keyed.join(spans, (F.col(id_col) == F.col(own_id)) & (F.col(tk) == F.col(own_tk)), "left")
+    numbers = F.array_distinct(F.flatten(F.transform(spans_col, lambda s: F.sequence(s["begin"], s["end"]))))
+    out = joined.withColumn(gone, F.coalesce(numbers, F.array().cast("array<int>"))).withColumn(lines, F.split(F.col(text_col), "\n", -1))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = F.when(F.size(gone) > 0, F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n")).otherwise(F.col(text_col))
+    columns = [kept.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    names = fresh(docs, *outputs, hidden=False)
+    return out.select(*columns, *(x.alias(n) for x, n in zip((F.coalesce(F.size(lines), F.lit(0)), F.size(gone), F.col(gone)), names, strict=True)))

@@ -114,6 +114,14 @@ def test_line_dedup(spark, words):
     assert line_dedup.dedup_lines(docs_frame(spark, [])).count() == 0
 
 
+def test_line_dedup_of_single_lines_and_taken_names(spark):
+    rows = [(1, "a b\nc\na b\n--\nd", 7, "x"), (2, "c\n\nd e\na b\nc", 8, "y"), (3, "q\n" * 300, 9, "z")]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_removed long, __tk string"), min_words=1).collect()}
+    want = line_windows([r[:2] for r in rows], 1)
+    assert {d: set(r.removed) for d, r in got.items()} == {d: want.get(d, set()) for d in got} == {1: {2}, 2: {0, 3, 4}, 3: set(range(1, 300))}
+    assert [(got[d].n_removed, got[d]["__tk"], got[d].n_removed_) for d in (1, 2, 3)] == [(7, "x", 1), (8, "y", 3), (9, "z", 299)]
+
+
 def test_masks_find_every_placement():
     for size, misses in ((decontam.WINDOW, 4), (decontam.TOLERANT_WORDS, 3)):
         for gone in itertools.combinations(range(size), misses):
