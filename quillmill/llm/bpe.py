@@ -53,7 +53,14 @@ def _one_of(ranges: str) -> str:
 
 _SMALL = {i: i + step for ranges, step in LATE_CAPITALS for i in code_points(ranges)}
 _late_marks = re.compile(f"({_one_of(LATE_MARKS)})")
-_late = re.compile(_one_of(f"{LATE_MARKS} {LATE_LETTERS} {' '.join(r for r, _ in LATE_CAPITALS)}")).search
+_LATE = frozenset(map(chr, code_points(f"{LATE_MARKS} {LATE_LETTERS} {' '.join(r for r, _ in LATE_CAPITALS)}")))
+_beyond = re.compile(f"[{min(_LATE)}-\U0010ffff]").search
+
+
+def _late(text: str) -> bool:
+    """Whether any of these code points stands in the text."""
+    return not text.isascii() and _beyond(text) is not None and not _LATE.isdisjoint(text)
+
 
 
 def byte_symbols() -> list[str]:
