@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder, spread, stored  # noqa: F401
+
 #: Code points that one vectorised step holds; a longer text is a step of its own.
 STEP_CHARS = 600_000
 
@@ -26,24 +26,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, written as a table in the shared folder and read again: for loops of joins.
-
-    A checkpoint keeps the plan's size estimates, which grow with every join; a table has the size that it has.
-    """
-    at = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see, as the session names it; on one machine, where none is named, a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named or tempfile.mkdtemp(prefix="spark-checkpoint-")
-
-
 def fresh(df: DataFrame, *names: str, hidden: bool = True) -> list[str]:
     """The names, with underscores around (or after, if not hidden) where a column of the rows has one of them."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -1,149 +1,192 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks over consecutive words ignore some positions; hashes of the words at the others join the benchmark's with
-every document's. Around each hit the two texts are aligned on the hit's diagonal and compared word for word, so that
-substituted words are tolerated.
-
-The two masks find every aligned window of 20 words with up to 4 substitutions and every one of 15 words with up to 3:
-this was checked over all placements of the substitutions, and a test repeats it.
+Fixed masks over consecutive words ignore some positions; the hashes of the words at the others are the seeds of a text.
+Spark joins the seeds of the benchmark with those of the documents; a bit for each seed prefix of the benchmark, in a table
+of fixed size, keeps seeds that cannot join out of the shuffle. Around the hits the two texts are aligned on the hits'
+diagonals and compared word for word, so that substituted words are tolerated.
+
+One rule holds for items of every length: an aligned window of 20 of the item's words (all, if it has fewer) must agree in
+at least 0.8 of them. The masks for each length find every such window, also one that hangs over an end of the document;
+a test goes through all placements of the substitutions.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_steps, map_rows
+from .common import in_steps, map_rows, stored
 from .tokens import Words, mix
 
-MASKS = ("11111", "110111")
 WINDOW = 20
-MATCHED = 0.8
-#: An item of fewer words than this must be found whole and unchanged; one of fewer than the least isn't sought.
-TOLERANT_WORDS, LEAST_WORDS = 15, 5
-#: Bytes of benchmark text that are sent to the executors at once; a larger benchmark goes in several blocks.
-BLOCK_BYTES = 8 << 20
+#: The share of a window that must agree, as a fraction: 0.8.
+MATCHED = (4, 5)
+#: Masks for items of at least so many words; an item takes those of the greatest number that it reaches.
+MASKS: dict[int, tuple[str, ...]] = {
+    15: ("11111", "110111"),
+    5: ("1111", "10111", "11011", "11101"),
+    4: ("1111",),
+    3: ("111",),
+    2: ("11",),
+    1: ("1",),
+}
+#: The table of bits has 2 to the power of this: 2 MB, whatever the size of the benchmark.
+FILTER_BITS = 24
+#: Words that are compared at once.
+CELLS = 1_000_000
 
-_BITS = 22
 _COEFFICIENTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
-def seed_hashes(h: np.ndarray, room: np.ndarray, mask: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions from which the mask fits into its text, and the hash of the words that it looks at there."""
-    at = np.flatnonzero(room >= len(mask))
-    out = np.full(len(at), k, np.uint64)
-    for j, seen in enumerate(mask):
-        if seen == "1":
-            out += h[at + j] * _COEFFICIENTS[j]
-    return at, mix(out)
+def tier_of(n: np.ndarray) -> np.ndarray:
+    """For word counts of 1 or more, the key of their masks."""
+    out = np.zeros(len(n), np.int64)
+    for least in sorted(MASKS):
+        out[n >= least] = least
+    return out
+
+
+def seeds_of(words: Words, room: np.ndarray, tier: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words from which a mask of the tier fits, and the hash of the words that it looks at; `room` is what is left of the text."""
+    places, found = [], []
+    for k, mask in enumerate(MASKS[tier]):
+        at = np.flatnonzero(room >= len(mask))
+        out = np.full(len(at), tier * 8 + k, np.uint64)
+        for j, seen in enumerate(mask):
+            if seen == "1":
+                out += words.hash[at + j] * _COEFFICIENTS[j]
+        places.append(at)
+        found.append(mix(out))
+    return np.concatenate(places), np.concatenate(found)
 
 
 def _room(words: Words) -> np.ndarray:
     return np.repeat(words.first + words.counts, words.counts) - np.arange(len(words.hash))
 
 
-@dataclass
-class Index:
-    """One block of the benchmark: word hashes of its items and the sorted seed hashes with their places."""
-
-    ids: list
-    items: list[np.ndarray]
-    seeds: np.ndarray
-    item: np.ndarray
-    offset: np.ndarray
-    filter: np.ndarray
-
-    @classmethod
-    def of(cls, ids: list, texts: list[str]) -> Index:
-        words = Words(texts or [""])
-        items = [words.hash[a : a + n] for a, n in zip(words.first, words.counts, strict=True)][: len(texts)]
-        long_enough = words.counts[words.doc] >= LEAST_WORDS
-        seeds, places = [], []
-        for k, mask in enumerate(MASKS):
-            at, found = seed_hashes(words.hash, np.where(long_enough, _room(words), 0), mask, k)
-            seeds.append(found)
-            places.append(at)
-        seeds, places = np.concatenate(seeds), np.concatenate(places)
-        order = np.argsort(seeds)
-        seeds, places = seeds[order], places[order]
-        there = np.zeros(1 << _BITS, bool)
-        there[seeds >> np.uint64(64 - _BITS)] = True
-        item = words.doc[places]
-        return cls(ids, items, seeds, item, places - words.first[item], there)
-
-
-def verified(index: Index, item: int, begin: int, doc_words: np.ndarray) -> tuple[int, float]:
-    """Words of the item that stand on this diagonal of the document, and the best share over its windows; (0, 0) if too few."""
-    own = index.items[item]
-    n = len(own)
-    same = np.zeros(n, bool)
-    a, b = max(0, -begin), min(n, len(doc_words) - begin)
-    same[a:b] = own[a:b] == doc_words[begin + a : begin + b]
-    size = min(n, WINDOW)
-    sums = np.cumsum(np.concatenate([[0], same]))
-    best = int((sums[size:] - sums[:-size]).max())
-    enough = best >= MATCHED * size if n >= TOLERANT_WORDS else best == n
-    return (int(sums[-1]), best / size) if enough else (0, 0.0)
-
-
-def _search(index: Index, texts: list[str]):
-    words = Words(texts)
-    room = _room(words)
-    at_all, entry_all = [], []
-    for k, mask in enumerate(MASKS):
-        at, found = seed_hashes(words.hash, room, mask, k)
-        near = np.flatnonzero(index.filter[found >> np.uint64(64 - _BITS)])
-        low = np.searchsorted(index.seeds, found[near], "left")
-        high = np.searchsorted(index.seeds, found[near], "right")
-        n = high - low
-        at_all.append(np.repeat(at[near], n))
-        entry_all.append(np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum()))
-    at, entry = np.concatenate(at_all), np.concatenate(entry_all)
-    doc, item = words.doc[at], index.item[entry]
-    begin = at - words.first[doc] - index.offset[entry]
-    best: dict[tuple[int, int], tuple[int, float, int]] = {}
-    if len(at):
-        for d, i, b in np.unique(np.stack([doc, item, begin], 1), axis=0).tolist():
-            own = words.hash[words.first[d] : words.first[d] + words.counts[d]]
-            n, share = verified(index, i, b, own)
-            if n:
-                best[d, i] = max(best.get((d, i), (0, 0.0, 0)), (n, share, -b))
-    return best
+def diagonals(hits: list[tuple[np.ndarray, np.ndarray]], n_doc: int, n_item: int) -> np.ndarray:
+    """Where the item may begin in the document, from the places of each shared seed in both: at most all ways to lay one on the other."""
+    if sum(len(p) * len(q) for p, q in hits) > n_doc + n_item:
+        return np.arange(1 - n_item, n_doc)
+    return np.unique(np.concatenate([np.subtract.outer(p, q).ravel() for p, q in hits]))
+
+
+def best_match(item: np.ndarray, doc: np.ndarray, begins: np.ndarray) -> tuple[int, float, int] | None:
+    """(words that agree on the diagonal, best share over its windows, begin) of the best diagonal with a sufficient window."""
+    n, size = len(item), min(len(item), WINDOW)
+    best = None
+    step = max(1, CELLS // n)
+    for k in range(0, len(begins), step):
+        part = begins[k : k + step]
+        at = part[:, None] + np.arange(n)[None, :]
+        same = (at >= 0) & (at < len(doc))
+        same &= doc[np.clip(at, 0, len(doc) - 1)] == item[None, :]
+        sums = np.zeros((len(part), n + 1), np.int32)
+        np.cumsum(same, axis=1, out=sums[:, 1:])
+        window = (sums[:, size:] - sums[:, :-size]).max(axis=1)
+        for i in np.flatnonzero(MATCHED[1] * window >= MATCHED[0] * size):
+            own = (int(sums[i, -1]), float(window[i] / size), -int(part[i]))
+            best = own if best is None else max(best, own)
+    return best and (best[0], best[1], -best[2])
+
+
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """(seed, tier, item key, offset) of each seed of (i1, i2, text)."""
+
+    def each(batch: pa.RecordBatch):
+        for first, texts in in_steps(batch.column(2).to_pylist()):
+            words = Words(texts)
+            tier = tier_of(words.counts)
+            room = _room(words)
+            for own in np.unique(tier[tier > 0]).tolist():
+                at, found = seeds_of(words, np.where(tier[words.doc] == own, room, 0), own)
+                doc = words.doc[at]
+                keys = [batch.column(k).take(pa.array(first + doc)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(at), own)), *keys, pa.array((at - words.first[doc]).astype(np.int32))], ["seed", "tier", "i1", "i2", "offset"])
+
+    return map_rows(items, each, "seed long, tier long, i1 long, i2 long, offset int")
+
+
+def _document_seeds(texts: DataFrame, tiers: list[int], bits: np.ndarray) -> DataFrame:
+    """(d1, d2, seed, places) of those seeds of (d1, d2, text) whose prefix the benchmark has."""
+    sent = texts.sparkSession.sparkContext.broadcast(bits)  # 2 MB
+
+    def each(batch: pa.RecordBatch):
+        table = sent.value
+        for first, part in in_steps(batch.column(2).to_pylist()):
+            words = Words(part)
+            room = _room(words)
+            for tier in tiers:
+                at, found = seeds_of(words, room, tier)
+                prefix = found >> np.uint64(64 - FILTER_BITS)
+                near = np.flatnonzero(table[prefix >> np.uint64(6)] >> (prefix & np.uint64(63)) & np.uint64(1))
+                at, found = at[near], found[near]
+                doc = words.doc[at]
+                keys = [batch.column(k).take(pa.array(first + doc)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(found.view(np.int64)), pa.array((at - words.first[doc]).astype(np.int32))], ["d1", "d2", "seed", "place"])
+
+    hits = map_rows(texts, each, "d1 long, d2 long, seed long, place int")
+    return hits.groupBy("d1", "d2", "seed").agg(F.collect_set("place").alias("places"))
+
+
+def _filter_bits(seeds: DataFrame) -> np.ndarray:
+    """One bit for each seed prefix; at most 2^18 words of 64 bits come to the driver."""
+    prefix = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
+    rows = seeds.select(prefix.alias("b")).selectExpr("shiftright(b, 6) as word", "shiftleft(1L, cast(b & 63 as int)) as bit")
+    found = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    out[found.word.to_numpy(np.int64)] = found.bits.to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def _verified(pairs: DataFrame) -> DataFrame:
+    """(d1, d2, i1, i2, n_words, n_matched, overlap, word_start) of the pairs with both texts and hits that hold."""
+
+    def each(batch: pa.RecordBatch):
+        kept: list[int] = []
+        out: list[list] = [[], [], [], []]
+        last, doc = None, None
+        for r in range(batch.num_rows):
+            key = (batch.column(0)[r].as_py(), batch.column(1)[r].as_py())
+            if key != last:
+                last, doc = key, Words([batch.column(4)[r].as_py()]).hash
+            item = Words([batch.column(5)[r].as_py()]).hash
+            hits = [(np.asarray(h["places"], np.int64), np.asarray(h["offsets"], np.int64)) for h in batch.column(6)[r].as_py()]
+            if found := best_match(item, doc, diagonals(hits, len(doc), len(item))):
+                kept.append(r)
+                for column, x in zip(out, (len(item), *found), strict=True):
+                    column.append(x)
+        keys = [batch.column(k).take(pa.array(kept, pa.int64())) for k in range(4)]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.int64())], ["d1", "d2", "i1", "i2", "n_words", "n_matched", "overlap", "word_start"])
+
+    return map_rows(pairs, each, "d1 long, d2 long, i1 long, i2 long, n_words long, n_matched long, overlap double, word_start long")
+
+
+def _keyed(rows: DataFrame, id_col: str, text_col: str, name: str, letter: str) -> DataFrame:
+    """(id under `name`, two hashes that stand for the text, text) of the rows with a text."""
+    text = F.col(text_col)
+    return rows.where(text.isNotNull()).select(F.col(id_col).alias(name), F.xxhash64(text).alias(f"{letter}1"), F.xxhash64(F.lit(7), text).alias(f"{letter}2"), text.alias("text"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and benchmark item found in it.
 
-    An item is found where an aligned window of 20 of its words (all, if it has fewer) agrees in at least 0.8 of them.
-    Null and empty texts hold nothing and are not sought; repeated items each count; equal documents each get their rows.
-    Columns: id, item id, n_words of the item, n_matched on the best diagonal, overlap (best window's share), word_start.
+    An item is found where an aligned window of 20 of its words (all, if it has fewer) agrees in at least 0.8 of them; an
+    item of fewer than five words thus only whole. Null texts and texts without words hold nothing and are not sought;
+    repeated items each count; equal documents each get their rows, and so do rows without an id. Equal texts are compared
+    once. Columns: id, item id, n_words of the item, n_matched on the best diagonal, overlap (best window's share), word_start.
     """
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("words")).where(F.col("words").isNotNull())
-    size = items.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("n")).first().n
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    rows = docs.select(id_col, text_col)
-    kind, item_kind = rows.schema[id_col].dataType.simpleString(), items.schema["item"].dataType.simpleString()
-    found = None
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k)
-        block = part.orderBy("item", "words").toPandas()  # about BLOCK_BYTES of text, by the count above
-        index = docs.sparkSession.sparkContext.broadcast(Index.of(block["item"].tolist(), block["words"].tolist()))
-
-        def each(batch: pa.RecordBatch, index=index):
-            out: list[list] = [[] for _ in range(6)]
-            ids = batch.column(0)
-            for first, texts in in_steps(batch.column(1).to_pylist()):
-                for (d, i), (n, share, begin) in sorted(_search(index.value, texts).items()):
-                    for column, x in zip(out, (ids[first + d].as_py(), index.value.ids[i], len(index.value.items[i]), n, share, -begin), strict=True):
-                        column.append(x)
-            kinds = (batch.schema.field(0).type, None, pa.int64(), pa.int64(), pa.float64(), pa.int64())
-            item_type = pa.array(index.value.ids).type if index.value.ids else pa.int64()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t or item_type) for c, t in zip(out, kinds, strict=True)], [id_col, item_col, "n_words", "n_matched", "overlap", "word_start"])
-
-        own = map_rows(rows, each, f"{id_col} {kind}, {item_col} {item_kind}, n_words long, n_matched long, overlap double, word_start long")
-        found = own if found is None else found.unionByName(own)
-    return found
+    all_docs, all_items = _keyed(docs, id_col, text_col, "doc", "d"), _keyed(benchmark, item_col, item_text, "item", "i")
+    items = stored(all_items.select("i1", "i2", "text").dropDuplicates(["i1", "i2"]))
+    seeds = stored(_item_seeds(items))
+    tiers = [r.tier for r in seeds.select("tier").distinct().collect()]  # at most as many as MASKS has
+    hits = _document_seeds(all_docs.select("d1", "d2", "text"), sorted(tiers), _filter_bits(seeds))
+    placed = seeds.groupBy("seed", "i1", "i2").agg(F.collect_set("offset").alias("offsets"))
+    shared = stored(hits.join(placed, "seed").groupBy("d1", "d2", "i1", "i2").agg(F.collect_list(F.struct("places", "offsets")).alias("hits")))
+    texts = all_docs.join(shared.select("d1", "d2").distinct(), ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
+    pairs = shared.join(texts.select("d1", "d2", F.col("text").alias("doc_text")), ["d1", "d2"]).join(items.withColumnRenamed("text", "item_text"), ["i1", "i2"])
+    found = stored(_verified(pairs.select("d1", "d2", "i1", "i2", "doc_text", "item_text", "hits")))
+    rows = found.join(all_items.select("item", "i1", "i2"), ["i1", "i2"]).join(all_docs.select("doc", "d1", "d2"), ["d1", "d2"])
+    return rows.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_words", "n_matched", "overlap", "word_start")

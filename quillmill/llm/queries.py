@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bagminhash, bpe, decontam, embed_dedup, html_extract, langid, license_scan, line_dedup, pii, sharding
-from .common import read
+from .common import read, spread
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -22,20 +22,20 @@ def op1_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(read(spark, sf_dir, "documents"))
+    return pii.pseudonymize(spread(read(spark, sf_dir, "documents")))
 
 
 def op3_suffix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_lines(spread(read(spark, sf_dir, "documents")))
     return out.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.concat_ws(",", "removed").alias("removed"))
 
 
 def op4_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.main_text(read(spark, sf_dir, "pages"))
+    return html_extract.main_text(spread(read(spark, sf_dir, "pages")))
 
 
 def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents"))
     return langid.identify(docs, langid.train(docs))
 
 
@@ -44,20 +44,20 @@ def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents"))
     return license_scan.scan_documents(docs, license_scan.train(docs))
 
 
 def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontam.contaminated(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
 
 
 def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bagminhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return bagminhash.near_duplicates(spread(read(spark, sf_dir, "documents")))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+    return bpe.encode_documents(spread(read(spark, sf_dir, "documents")), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -89,10 +89,10 @@ SELECT d.doc_id, sha256(coalesce(t.text, '')) AS text_sha256, CASE WHEN d.text I
 
 _OP8 = r"""
 WITH d AS (SELECT doc_id, unnest(k) AS w, unnest(range(len(k))) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS k FROM documents)),
-b AS (SELECT item_id, len(k) AS n, least(len(k), 20) AS size, unnest(k) AS w, unnest(range(len(k))) AS q FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS k FROM benchmark) WHERE len(k) >= 5),
+b AS (SELECT item_id, len(k) AS n, least(len(k), 20) AS size, unnest(k) AS w, unnest(range(len(k))) AS q FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS k FROM benchmark) WHERE len(k) > 0),
 m AS (SELECT doc_id, item_id, d.p - b.q AS diag, any_value(n) AS n, any_value(size) AS size, list(b.q) AS places FROM d JOIN b ON d.w = b.w GROUP BY doc_id, item_id, d.p - b.q HAVING count(*) >= 0.8 * any_value(size)),
 s AS (SELECT doc_id, item_id, diag, n, size, len(places) AS n_matched, list_max(list_transform(range(0, n - size + 1), lambda k: len(list_filter(places, lambda x: x >= k AND x < k + size)))) AS best FROM m)
-SELECT doc_id, item_id, n AS n_words, n_matched, best::DOUBLE / size AS overlap, diag AS word_start FROM s WHERE CASE WHEN n >= 15 THEN best >= 0.8 * size ELSE best = n END
+SELECT doc_id, item_id, n AS n_words, n_matched, best::DOUBLE / size AS overlap, diag AS word_start FROM s WHERE best >= 0.8 * size
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matched DESC, best DESC, diag) = 1"""
 
 _OP9 = r"""
