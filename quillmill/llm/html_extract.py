@@ -1,8 +1,12 @@
 """Main text of web pages by consensus host paths.
 
-Each page's containers are scored by the text blocks below them; the page votes for the generalised tag-class path of its
-best one. Spark adds the votes up for each host, and every page is extracted again from the elements on its host's winning
-path. A page without such an element falls back on its own best container.
+Each page's containers are scored by the text blocks below them. The best one is widened to the article around it: its
+nearest `article` or `main`, else ancestors that are named like content or hold the heading, as long as what they add is not
+mostly links. The page votes for the generalised tag-class path of the result; Spark adds the votes up for each host, and
+every page is extracted again from the elements on its host's winning path. A page without such elements, or where they hold
+less than half of what its own best container holds, falls back on that; pages without a host do not vote and do the same.
+
+No step recurses and none is more than linear in the page, however deep it is nested.
 """
 
 from __future__ import annotations
@@ -28,67 +32,110 @@ SCOPES = frozenset("article aside body div dl form header footer html main nav o
 UNWANTED = re.compile(r"(?:^|[-_ ])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|side-?bar\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|pagination|pager|masthead|site-?header|page-?header|footer\w*|cookies?\w*|consent|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|sign-?up|login|share|sharing|social\w*|related\w*|recommend\w*|comments?|comment-?list|respond|disqus\w*|widget\w*|skip-?link|toolbar|tags?-?list|author-?box)(?:$|[-_ ])", re.I)
 WANTED = re.compile(r"article|content|entry|main|post|story|text|body", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Hosts up to which the winning paths are sent to every executor (some 10 MB); beyond, the join is salted.
 BROADCAST_HOSTS, SALTS = 100_000, 64
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     names: str
-    path: str
+    step: str  # its part of the path; empty where it has none
+    parent: Node | None
+    up: Node | None  # nearest container above
+    key: int  # hash of the path
     dropped: bool
+    article: bool  # is or stands in an article or main
     score: float = 0.0
+    own: int = 0  # characters of text directly in it
+    size: int = 0  # characters of its block: of its own and of what is no block below
+    linked: int = 0
+    total: int = 0  # characters below it that are not dropped, and those of them in links
+    total_linked: int = 0
+    blocks: bool = False  # whether a block stands below
+    heading: bool = False  # whether an h1 stands below
     parts: list = field(default_factory=list)  # strings and Nodes in page order
 
 
-def parse(source: str) -> Node:
-    """The page as a tree; tags that are never closed end where HTML ends them."""
-    root = Node("", "", "", False)
-    stack, at = [root], 0
+_CLOSES = {tag: [c for c, by in CLOSED_BY.items() if tag in by] for tag in frozenset().union(*CLOSED_BY.values())}
+_INLINE = frozenset("p li b i a span em strong".split())
+
+
+class _Open:
+    """The open elements: a stack that knows where each tag and each scope was opened last."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def scope(self) -> int:
+        return self.scopes[-1] if self.scopes else 0
+
+
+def parse(source: str) -> list[Node]:
+    """The nodes of the page in page order, the first being the page itself; tags that are never closed end where HTML ends them."""
+    root = Node("", "", "", None, None, 0, False, False)
+    nodes, at, opened = [root], 0, _Open(root)
     while True:
         m = _TOKEN.search(source, at)
         text = source[at : m.start()] if m else source[at:]
         if text:
-            stack[-1].parts.append(html.unescape(text) if "&" in text else text)
+            text = html.unescape(text) if "&" in text else text
+            top = opened.stack[-1]
+            top.parts.append(text)
+            top.own += len(text.strip())
         if not m:
-            return root
+            return nodes
         at = m.end()
         closing, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
             continue
         tag = tag.lower()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in ("p", "li", "b", "i", "a", "span", "em", "strong") and stack[i].tag in SCOPES:
-                    break
+            if (place := opened.last(tag)) and not (tag in _INLINE and opened.scope() > place):
+                opened.cut(place)
             continue
-        for i in range(len(stack) - 1, 0, -1):
-            if tag in CLOSED_BY.get(stack[i].tag, ()):
-                del stack[i:]
-                break
-            if stack[i].tag in SCOPES:
-                break
+        if tag in _CLOSES and (place := max(map(opened.last, _CLOSES[tag]))) and place >= opened.scope():
+            opened.cut(place)
         names = " ".join(a or b or c for _, a, b, c in _NAMES.findall(rest)) if rest else ""
-        kind = re.sub(r"\d+", "#", _first_class(rest)) if rest else ""
-        parent = stack[-1]
-        node = Node(tag, names, f"{parent.path}>{tag}{'.' + kind if kind else ''}" if tag in CONTAINERS or tag in SCOPES else parent.path, False)
-        inside = any(x.tag in ("article", "main") for x in stack)
-        node.dropped = tag in DROPPED and not (tag == "header" and inside) or bool(names and tag not in ("body", "html", "article", "main") and UNWANTED.search(names))
+        parent = opened.stack[-1]
+        step = ""
+        if tag in CONTAINERS or tag in SCOPES:
+            kind = re.sub(r"\d+", "#", re.sub(r"[^\w-]", "_", _first_class(rest))) if rest else ""
+            step = f"{tag}.{kind}" if kind else tag
+        own = tag in ("article", "main")
+        dropped = tag in DROPPED and not (tag == "header" and parent.article) or bool(names and not own and tag not in ("body", "html") and UNWANTED.search(names))
+        node = Node(tag, names, step, parent, parent if parent.tag in CONTAINERS else parent.up, hash((parent.key, step)) if step else parent.key, parent.dropped or dropped, parent.article or own)
         parent.parts.append(node)
+        nodes.append(node)
         if tag in VOID or rest.rstrip().endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             at = end.end() if end else len(source)
             continue
-        stack.append(node)
+        opened.push(node)
 
 
 def _first_class(rest: str) -> str:
@@ -98,95 +145,129 @@ def _first_class(rest: str) -> str:
     return ""
 
 
-def score(root: Node) -> list[Node]:
-    """Containers with text below them, scored: a block counts for its parent in full and for the next container by half."""
-    found: dict[int, Node] = {}
+def path_of(node: Node | None) -> str:
+    steps = []
+    while node is not None:
+        if node.step:
+            steps.append(node.step)
+        node = node.parent
+    return ">".join(reversed(steps))
+
+
+def _key_of(path: str) -> int:
+    key = 0
+    for step in path.split(">"):
+        key = hash((key, step))
+    return key
 
-    def walk(node: Node, above: tuple[Node, ...]) -> tuple[int, int, bool]:
-        """Characters, those in links, and whether a block stands below."""
+
+def score(nodes: list[Node]) -> list[Node]:
+    """Containers with text below them, scored: a block counts for its own container in full and for the next one by half."""
+    found: dict[int, Node] = {}
+    for node in reversed(nodes):  # what stands below a node comes after it
         if node.dropped:
-            return 0, 0, True
-        here = (*above, node) if node.tag in CONTAINERS else above
-        size = linked = 0
-        block_below = False
-        for part in node.parts:
-            if isinstance(part, str):
-                size += len(part.strip())
-            else:
-                n, of_links, blocks = walk(part, here)
-                if not blocks:
-                    size += n
-                    linked += n if part.tag == "a" else of_links
-                block_below |= blocks
+            if node.parent is not None:
+                node.parent.blocks = True
+            continue
+        node.size += node.own
+        node.total += node.own
         block = node.tag in BLOCKS
-        if block and size:
-            worth = (1 + min(size / 100, 5)) * (1 - linked / size)
-            owners = (here if node.tag not in CONTAINERS else above if not block_below else here)[::-1][:2]
-            for share, owner in zip((1.0, 0.5), owners, strict=False):
-                owner.score += share * worth
-                found[id(owner)] = owner
-        return size, linked, block or block_below
-
-    walk(root, ())
+        if block and node.size:
+            worth = (1 + min(node.size / 100, 5)) * (1 - node.linked / node.size)
+            owner = node if node.tag in CONTAINERS and node.blocks else node.up
+            for share in (1.0, 0.5):
+                if owner is not None:
+                    owner.score += share * worth
+                    found[id(owner)] = owner
+                    owner = owner.up
+        if (above := node.parent) is not None:
+            link = node.tag == "a"
+            if not (block or node.blocks):
+                above.size += node.size
+                above.linked += node.size if link else node.linked
+            above.blocks |= block or node.blocks
+            above.total += node.total
+            above.total_linked += node.total if link else node.total_linked
+            above.heading |= node.heading or node.tag == "h1"
     for node in found.values():
         node.score *= (1.5 if node.tag in ("article", "main") else 1.0) * (1.2 if node.names and WANTED.search(node.names) else 1.0)
     return list(found.values())
 
 
+def widened(best: Node) -> Node:
+    """The article around the best container: see above."""
+    node = best
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.up
+    if node is not None:
+        return node
+    node = best
+    while (above := node.up) is not None and above.tag != "body":
+        more, links = above.total - node.total, above.total_linked - node.total_linked
+        wanted = above.names and WANTED.search(above.names) or above.heading and not node.heading
+        if more and not (wanted and links <= 0.3 * more):
+            break
+        node = above
+    return best if node.total == best.total else node
+
+
 def text_of(node: Node) -> str:
     """Blocks in page order: white space made one blank, trimmed, joined by one blank."""
     out: list[str] = []
-
-    def walk(x: Node) -> None:
-        for part in x.parts:
+    walks = [iter(node.parts)]
+    edges = [False]
+    while walks:
+        for part in walks[-1]:
             if isinstance(part, str):
                 out.append(part)
             elif not part.dropped:
                 edge = part.tag in BLOCKS
                 if edge:
                     out.append("\n")
-                walk(part)
-                if edge:
-                    out.append("\n")
-
-    walk(node)
+                walks.append(iter(part.parts))
+                edges.append(edge)
+                break
+        else:
+            walks.pop()
+            if edges.pop():
+                out.append("\n")
     return " ".join("".join(out).split())
 
 
+def own_container(nodes: list[Node]) -> Node:
+    """The page's best container, widened; the page itself where it has none."""
+    best = max(score(nodes), key=lambda n: n.score, default=None)
+    return nodes[0] if best is None else widened(best)
+
+
 def vote(source: str) -> tuple[str, float]:
-    """Path and score of the page's best container; empty for a page without text."""
-    best = max(score(parse(source)), key=lambda n: n.score, default=None)
-    return (best.path, best.score) if best else ("", 0.0)
+    """Path and score of the page's own container; empty for a page without text."""
+    node = own_container(parse(source))
+    return (path_of(node), node.score) if node.parent is not None else ("", 0.0)
 
 
 def extract(source: str, path: str | None) -> tuple[str, str]:
-    """The text below the host's winning path, or below the page's own best container, and the path used."""
-    root = parse(source)
-    nodes: list[Node] = []
-
-    def walk(node: Node) -> None:
-        for part in node.parts:
-            if isinstance(part, Node) and not part.dropped:
-                if part.path == path and part.tag in CONTAINERS:
-                    nodes.append(part)
-                else:
-                    walk(part)
-
+    """The text below the host's winning path, or below the page's own container, and the path used."""
+    nodes = parse(source)
+    best = own_container(nodes)
     if path:
-        walk(root)
-        if text := " ".join(filter(None, map(text_of, nodes))):
+        key, texts, size = _key_of(path), [], 0
+        for node in nodes:  # in page order; elements on one path never stand in each other
+            if node.key == key and node.step and node.tag in CONTAINERS and not node.dropped and path_of(node) == path:
+                texts.append(text_of(node))
+                size += node.total
+        if 2 * size >= best.total and (text := " ".join(filter(None, texts))):
             return text, path
-    best = max(score(root), key=lambda n: n.score, default=root)  # a page without containers is one itself
-    return text_of(best), best.path
+    return text_of(best), path_of(best)
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path) that wins each host's vote: most pages, then the higher sum of scores, then the smaller path."""
+    """(host, path) that wins each host's vote: most pages, then the higher sum of scores, then the smaller path; none for no host."""
 
     def each(batch: pa.RecordBatch):
         votes: dict[tuple, list] = {}
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            path, worth = vote(source or "")
+            path, worth = vote(source or "") if host else ("", 0.0)
             if path:
                 own = votes.setdefault((host, path), [0, 0.0])
                 own[0] += 1
@@ -205,7 +286,10 @@ def host_of(url_col: str):
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text, n_chars, path) of each page. A null page has an empty text; rows that repeat each keep their own."""
+    """(id, url, text, n_chars, path) of each page. A null page has an empty text; rows that repeat each keep their own.
+
+    Of attributes given twice the first class names the path; a quote that is never closed ends with its tag.
+    """
     winners = cut_lineage(host_paths(pages, url_col, html_col)).select(F.col("host").alias("__host"), F.col("path").alias("__path"))
     keyed = pages.select(F.col(id_col), F.col(url_col), F.col(html_col), host_of(url_col).alias("__key"))
     at_host = F.col("__key") == F.col("__host")
