@@ -3,10 +3,10 @@
 Numbers and dates that pass their own check (Luhn digit, octets, calendar, number plan) are permuted by a keyed Feistel
 network over exactly the values of their format: the halves are added to modulo the sizes of the two parts, so that the
 permutation needs no power of two and gives a valid value of the same format. Equal values get equal pseudonyms in every
-document, other values others. Mail addresses and secrets have no number to permute; a keyed digest stands for them.
+document, other values of a format others; of slashed dates, those that are read alike (see below). Mail addresses and secrets have no number to permute; a keyed digest stands for them.
 
-Formats: payment cards (first digit kept, check digit made anew), telephone numbers (North American plan after +1, else
-all digits after the first two), IPv4 addresses, social security numbers (area, group and serial stay in their ranges),
+Formats: payment cards (first digit kept, check digit made anew), telephone numbers (after +1 by the North American plan,
+those outside it among themselves, else all digits after the first two), IPv4 addresses, social security numbers (area, group and serial stay in their ranges),
 dates of 1700 to 2099 as y-m-d, with a dot or an over-12 first number as d.m.y, otherwise as m/d/y.
 """
 
@@ -139,11 +139,15 @@ def _phone(m: Column, key: str) -> Column:
     american = ~m.startswith("+") | ((F.length(d) == 11) & (country == "1"))
     pair = feistel((_part(own, 1, 1) - 2) * 100 + _part(own, 2, 2), (_part(own, 4, 1) - 2) * 1000000 + _part(own, 5, 6), 800, 8000000, key, "nanp")
     planned = _let(pair, lambda s: F.concat(country, (s["l"] + 200).cast("string"), (s["r"] + 2000000).cast("string")))
+    # numbers after +1 that the plan does not allow are permuted among themselves, so that no two of all +1 numbers meet
+    outside = feistel((_part(own, 1, 1) - 2) * 100 + _part(own, 2, 2), _part(own, 4, 7), 800, 2000000, key, "nanp-outside")
+    unplanned = _let(outside, lambda s: F.concat(country, (s["l"] + 200).cast("string"), _padded(s["r"], 7)))
     n = F.length(d) - 2
     a = F.floor(n / 2).cast("int")
     other = feistel(_part(d, 3, a), _part(d, a + 3, n - a), _ten_to(a), _ten_to(n - a), key, "phone")
     plain = _let(other, lambda s: F.concat(F.substring(d, 1, 2), _padded(s["l"], a), _padded(s["r"], n - a)))
-    return _refill(m, F.when(american & own.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"), planned).otherwise(plain))
+    new = F.when(american & own.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"), planned).when(american & own.rlike("^[2-9][0-9]{2}[01][0-9]{6}$"), unplanned).otherwise(plain)
+    return _refill(m, new)
 
 
 def _ip(m: Column, key: str) -> Column:
