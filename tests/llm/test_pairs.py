@@ -63,6 +63,28 @@ def test_embeddings(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (degree[i], want[i], want[i] == i)
 
 
+def test_embeddings_just_below_the_threshold_and_of_any_size(spark):
+    near = lambda c: [c, math.sqrt(1 - c * c)]
+    rows = [(1, [1.0, 0.0], 0), (2, near(0.9299999995), 0), (3, near(0.9300000005), 1), (4, [1.0, 0.0], 1)]
+    rows += [(5, [1e-200, 0.0], 2), (6, [1e200, 1e199], 2), (7, [5e-324, 0.0], 2), (8, [-0.0, 1.0], 3), (9, [0.0, 2.0], 3), (10, [0.0, 1.0], 3)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.embedding_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (0, 1), 2: (0, 2), 3: (1, 3), 4: (1, 3), 5: (2, 5), 6: (2, 5), 7: (2, 5), 8: (2, 8), 9: (2, 8), 10: (2, 8)}
+
+
+def test_tiles_of_blocks(monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(9, 16))
+    x, y = (base[rng.integers(0, 9, n)] + rng.normal(size=(n, 16)) * 0.15 for n in (150, 90))
+    monkeypatch.setattr(embed_dedup, "BLOCK_ROWS", 32)
+    axes = np.linalg.qr(rng.normal(size=(16, 16)))[0]
+    exact = lambda a, b: (a @ b.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)) >= 0.93
+    for a, b, same in ((x, y, False), (x, x, True)):
+        want = {(i, j) for i, j in zip(*np.nonzero(exact(a, b)), strict=True) if not same or i < j}
+        for turned in (axes, None):
+            i, j = embed_dedup.tile_links(a, b, turned, 0.93, same)
+            assert len(want) > 100 and set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(i) == len(want)
+
+
 def test_embeddings_empty(spark):
     assert embed_dedup.embedding_classes(spark.createDataFrame([], EMBEDDINGS)).count() == 0
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import DOCS
 
 import corpus_pipeline
@@ -39,3 +40,18 @@ def test_stages(spark, folder):
     assert left[0] - left[1] == {101}
     assert left[1] - left[2] <= {100} and left[2] - left[3] == {102} and left[3] == left[4]
     assert sorted(r.ids_sha256 for r in corpus_pipeline.run(spark, at).collect()) == sorted(r.ids_sha256 for r in now.collect())
+
+
+@pytest.mark.parametrize("copies", [0, 2])
+def test_stages_on_odd_tables(spark, words, tmp_path, copies):
+    """No n_chars, columns of the operators' own names, repeated rows, a long text; and no rows at all."""
+    rows = [(i, words(40 if i else 4000, i), 7, True, 5) for i in range(12) for _ in range(copies)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed int, __keep boolean, __id int")
+    spark.createDataFrame([(1, words(30, 3))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = docs.withColumn("lang", F.lit("aa"))
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "encode":
+            assert now.columns == [*docs.columns, "lang"] and {tuple(r)[2:] for r in now.collect()} <= {(7, True, 5, "aa")}
+    assert sorted(r.doc_id for r in now.collect()) == sorted(i for i in range(12) if i != 3 for _ in range(copies))
