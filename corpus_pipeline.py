@@ -6,14 +6,13 @@ checkpoints, and read again for the next stage.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import bagminhash, bpe, decontam, langid, line_dedup
-from quillmill.llm.common import read
+from quillmill.llm.common import fresh, read, shared_folder, spread
 from quillmill.llm.queries import tokenizer_path
 
 #: A document goes if its language has a smaller share of its words than this, or none can be told.
@@ -22,8 +21,9 @@ LEAST_SHARE = 0.4
 
 def _keyed(docs: DataFrame, verdict: DataFrame, keep) -> DataFrame:
     """The documents whose verdict (by doc_id) is to be kept; those without id or verdict stay."""
-    marked = verdict.select(F.col("doc_id").alias("__id"), keep.alias("__keep")).groupBy("__id").agg(F.max("__keep").alias("__keep"))
-    return docs.join(marked, docs.doc_id == F.col("__id"), "left").where(F.coalesce("__keep", F.lit(True))).select(docs.columns)
+    own, kept = fresh(docs, "id", "keep")
+    marked = verdict.select(F.col("doc_id").alias(own), keep.alias(kept)).groupBy(own).agg(F.max(kept).alias(kept))
+    return docs.join(marked, docs.doc_id == F.col(own), "left").where(F.coalesce(F.col(kept), F.lit(True))).select(docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +34,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of repeated line runs; a document of which nothing is left goes, one that was empty stays."""
-    out = line_dedup.dedup_lines(docs)
-    emptied = (F.col("n_removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
+    names = fresh(docs, "n_lines", "n_removed", "removed")
+    out = line_dedup.dedup_lines(docs, outputs=tuple(names))
+    cut = F.col(names[1]) > 0
+    emptied = cut & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
     kept = out.where(~F.coalesce(emptied, F.lit(False)))
-    size = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", size).select(docs.columns)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +51,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    found = decontam.contaminated(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs.doc_id == F.col("__id"), "left_anti")
+    (own,) = fresh(docs, "id")
+    found = decontam.contaminated(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(found, docs.doc_id == F.col(own), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +69,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-pipeline-")
-    docs = read(spark, sf_dir, "documents")
-    at = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = spread(read(spark, sf_dir, "documents"))
+    at = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -30,8 +31,10 @@ def split_text(text: str, max_bytes: int = MAX_BYTES) -> Iterator[tuple[int, int
 
 
 _NEWLINE = re.compile("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")
-_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)", re.S)
-_HEADING = re.compile(r" {0,3}#{1,6}(?:\s+|$)(.*)", re.S)
+# What opens a fence and what is a heading.
+_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})([^\r\n]*)")
+_HEADING = re.compile(r" {0,3}#{1,6}\s+(.+?)(?:\r?\n)?$")
+_LABEL = 80
 
 
 def _lines(text: str) -> Iterator[tuple[int, int]]:
@@ -43,44 +46,54 @@ def _lines(text: str) -> Iterator[tuple[int, int]]:
         yield at, len(text)
 
 
-def split_blocks(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, label), without gaps: fenced code stays whole, headings begin sections, the rest in windows."""
-    units: list[tuple[int, int, str, str]] = []
-    begin, label, fence, fenced_from = 0, "", "", 0
-    for a, b in _lines(text):
-        body = text[a:b].rstrip("\r\n")
-        m = _FENCE.match(body)
+def _units(text: str) -> Iterator[tuple[int, int, int, str, str]]:
+    """(start, end, first line, kind, label): sections between headings, and fenced code up to the fence that closes it."""
+    begins: list[tuple[int, int, str, str]] = [(0, 1, "section", "Text")]
+    fence = ""
+    for number, (a, b) in enumerate(_lines(text), 1):
+        line = text[a:b]
         if fence:
-            if m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not m[2].strip():
-                units.append((fenced_from, b, "fenced_code", label))
-                fence, begin = "", b
-        elif m and not (m[1][0] == "`" and "`" in m[2]):
-            if a > begin:
-                units.append((begin, a, "section", label))
-            fence, fenced_from, begin = m[1], a, a
-        elif h := _HEADING.match(body):
-            if a > begin:
-                units.append((begin, a, "section", label))
-            begin, label = a, h[1].strip()[:80]
-    if begin < len(text):
-        units.append((begin, len(text), "fenced_code" if fence else "section", label))
-    out: list[tuple[int, int, str, str]] = []
-    for a, b, kind, name in units:
-        if kind == "fenced_code" or b - a <= BLOCK_CHARS:
-            out.append((a, b, kind, name))
-            continue
-        while a < b:
-            end = min(b, a + BLOCK_CHARS)
-            if end < b:
-                cut = text.rfind("\n", a, end)
-                end = cut + 1 if cut >= a else end
-                if text[end - 1 : end + 1] == "\r\n":
-                    end += 1
-            out.append((a, end, "section_window", name))
-            a = end
+            mark = line.rstrip("\r\n").rstrip(" \t")
+            bare = mark.lstrip(" ")
+            if len(mark) - len(bare) <= 3 and len(bare) >= len(fence) and not bare.strip(fence[0]):
+                fence = ""
+                begins.append((b, number + 1, "section", "Text"))
+        elif m := _FENCE.match(line):
+            fence = m[1]
+            begins.append((a, number, "fenced_code", f"Code {m[2].strip()}"[:_LABEL]))
+        elif h := _HEADING.match(line):
+            begins.append((a, number, "section", h[1].strip()[:_LABEL]))
+    for (a, number, kind, label), (b, *_) in zip(begins, (*begins[1:], (len(text),)), strict=True):
+        if a < b:
+            yield a, b, number, kind, label
+
+
+def split_blocks(text: str) -> list[tuple[int, int, str, str, int, int]]:
+    """(start, end, kind, label, first line, last line), without gaps: fenced code stays whole, long sections go in windows.
+
+    A window ends after the last line end within `BLOCK_CHARS`; a carriage return and its line feed are never parted.
+    """
+    out = []
+    for begin, end, number, kind, label in _units(text):
+        a = begin
+        while a < end:
+            stop = end if kind == "fenced_code" else min(end, a + BLOCK_CHARS)
+            if stop < end:
+                stop = max((m.end() for m in _NEWLINE.finditer(text, a, stop)), default=stop)
+                if text[stop - 1 : stop + 1] == "\r\n":
+                    stop = stop - 1 if stop - 1 > a else stop + 1
+            ends = [m.end() for m in _NEWLINE.finditer(text[a:stop])]
+            last = number + len(ends) - (ends[-1:] == [stop - a])
+            out.append((a, stop, kind if (a, stop) == (begin, end) else f"{kind}_window", label, number, max(number, last)))
+            number += len(ends)
+            a = stop
     return out
 
 
+def block_id(revision: str, start: int, end: int) -> str:
+    return "b" + hashlib.sha256(f"{revision}:{start}:{end}".encode()).hexdigest()[:20]
+
+
 def chunks(df: DataFrame, id_col: str, text_col: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
     """(id, part, start, end, body) of every text; none for a null or blank one."""
 
@@ -99,17 +112,19 @@ def chunks(df: DataFrame, id_col: str, text_col: str = "text", max_bytes: int =
 
 
 def blocks(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, start, end, kind, label, body) of every text, without gaps."""
+    """(id, start, end, kind, label, first_line, last_line, block_id, body) of every text, without gaps."""
 
     def run(batches):
         for batch in batches:
-            at, rows = [], ([], [], [], [], [])
+            at, rows = [], ([], [], [], [], [], [], [], [])
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for a, b, kind, label in split_blocks(text or ""):
+                text = text or ""
+                revision = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+                for a, b, kind, label, first, last in split_blocks(text):
                     at.append(i)
-                    for column, x in zip(rows, (a, b, kind, label, text[a:b]), strict=True):
+                    for column, x in zip(rows, (a, b, first, last, kind, label, block_id(revision, a, b), text[a:b]), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int32()) for c in rows[:2]), *(pa.array(c, pa.string()) for c in rows[2:])], [id_col, "start", "end", "kind", "label", "body"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int32()) for c in rows[:4]), *(pa.array(c, pa.string()) for c in rows[4:])], [id_col, "start", "end", "first_line", "last_line", "kind", "label", "block_id", "body"])
 
     rows = df.select(id_col, text_col)
-    return rows.mapInArrow(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, start int, end int, kind string, label string, body string")
+    return rows.mapInArrow(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, start int, end int, first_line int, last_line int, kind string, label string, block_id string, body string")

@@ -48,3 +48,16 @@ def packet_errors(messages: Column, limit: int = 10000) -> Column:
         .when(repeated("message_id"), "duplicate_message_id")
         .when(repeated("source_order"), "duplicate_source_order")
     )
+
+
+def packet_checks(messages: DataFrame, packet: str, text: str, message_id: str, source_order: str, limit: int = 10000) -> DataFrame:
+    """(packet, n_messages, error) by counts alone, as `packet_errors` says of an array: no packet is held in one row."""
+    def repeats(name: str, alias: str) -> DataFrame:
+        often = messages.where(F.col(name).isNotNull()).groupBy(packet, name).agg(F.count("*").alias("n")).where("n > 1")
+        return often.select(F.col(packet).alias("of"), F.lit(alias).alias("what")).distinct()
+
+    empty = F.max((F.col(text).isNull() | (F.col(text) == "")).cast("int"))
+    counts = messages.groupBy(packet).agg(F.count("*").alias("n_messages"), empty.alias("empty"))
+    found = repeats(message_id, "duplicate_message_id").unionByName(repeats(source_order, "duplicate_source_order")).groupBy("of").agg(F.min("what").alias("what"))
+    error = F.when(F.col("n_messages") > limit, "too_many_messages").when(F.col("empty") == 1, "empty_text").otherwise(F.col("what"))
+    return counts.join(found, counts[packet] == F.col("of"), "left").select(packet, "n_messages", error.alias("error"))

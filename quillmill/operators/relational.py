@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 
 def newest_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key in the given order."""
@@ -91,15 +91,6 @@ def conflicts(facts: DataFrame, keys: list[str], value: str, member: str) -> Dat
     return facts.groupBy(*(F.lower(k).alias(k) for k in keys)).agg(F.countDistinct(F.lower(value)).alias("n_values"), F.array_sort(F.collect_set(member)).alias("members")).where("n_values > 1")
 
 
-def _cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder of the session, or a temporary one where it names none, and go on from there."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
 def canonical_roots(spark, links: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     """(id, root, error) by following parents to the end; a row without parent is its own root. Ids are unique.
 
@@ -108,7 +99,7 @@ def canonical_roots(spark, links: DataFrame, id_col: str, parent_col: str) -> Da
     there has the id of that parent and the error `missing_parent`.
     """
     start = links.select(F.col(id_col).alias("id"), F.coalesce(parent_col, id_col).alias("at"), F.when(F.col(parent_col).isNull(), F.lit("root")).alias("end"))
-    moving = _cut_lineage(start)
+    moving = stored(start)
     n = max(2, moving.count())
     left = moving.where("end IS NULL").count()
     for _ in range(n.bit_length() + 1):
@@ -116,7 +107,7 @@ def canonical_roots(spark, links: DataFrame, id_col: str, parent_col: str) -> Da
             break
         known = moving.select(F.col("id").alias("at"), F.col("at").alias("__at"), F.coalesce("end", F.lit("")).alias("__end"))
         ahead = moving.where("end IS NULL").join(known, "at", "left").select("id", F.coalesce("__at", "at").alias("at"), F.when(F.col("__end").isNull(), F.lit("missing_parent")).when(F.col("__end") != "", F.col("__end")).alias("end"))
-        moving = _cut_lineage(moving.where("end IS NOT NULL").unionByName(ahead))
+        moving = stored(moving.where("end IS NOT NULL").unionByName(ahead))
         left = moving.where("end IS NULL").count()
     error = F.when(F.col("end").isNull(), F.lit("ring")).when(F.col("end") != "root", F.col("end"))
     return moving.select("id", F.when(F.col("end").isNotNull(), F.col("at")).alias("root"), error.alias("error"))

@@ -4,20 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import records
 from ..operators import relational as R
 from ..streaming import capture
 from .registry import query, table
 
 
-def _packets(spark, d):
-    message = F.struct(F.col("text"), F.col("role").alias("speaker"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("message_id"), F.col("turn").alias("source_order"))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(message), lambda a, b: F.when(a["source_order"] < b["source_order"], -1).when(a["source_order"] > b["source_order"], 1).otherwise(0)).alias("messages"))
-
-
 @query("""SELECT conv_id, count(*) AS n_messages, CASE WHEN bool_or(text IS NULL OR text = '') THEN 'empty_text' WHEN count(DISTINCT turn) <> count(turn) THEN 'duplicate_message_id' END AS error FROM conversations GROUP BY conv_id""")
 def packet_validation(spark, d):
-    return _packets(spark, d).select("conv_id", F.size("messages").cast("long").alias("n_messages"), records.packet_errors(F.col("messages")).alias("error"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("message_id"))
+    return records.packet_checks(rows, "conv_id", "text", "message_id", "turn")
 
 
 @query("SELECT conv_id, turn, sha256(text) AS text_sha, sha256(CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) || ':' || role) AS entity FROM conversations")
@@ -107,7 +104,14 @@ def chained_left_joins(spark, d):
 @query("""SELECT event_id, user_id, coalesce(last_value(CASE event_type WHEN 'purchase' THEN true WHEN 'view' THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS paused FROM events""")
 def stream_privacy(spark, d):
     """The privacy state as a stream keeps it, which equals the batch window."""
-    return capture.run_to_end(spark, f"{d}/events.parquet", capture.privacy_stream, ["event_id", "user_id", "paused"])
+    toggle = F.when(F.col("event_type") == "purchase", True).when(F.col("event_type") == "view", False)
+    return capture.run_privacy(spark, f"{d}/events.parquet", "user_id", ["ts", "event_id"], toggle).select("event_id", "user_id", "paused")
+
+
+@query(f"""SELECT conv_id, turn, role, coalesce(last_value(CASE WHEN regexp_matches(text, '{X.PRIVACY_OFF.replace("'", "''")}') THEN true WHEN regexp_matches(text, '{X.PRIVACY_ON}') THEN false END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS paused FROM conversations""")
+def stream_privacy_text(spark, d):
+    """The same over texts, where the privacy switches themselves pause and lift."""
+    return capture.run_privacy(spark, f"{d}/conversations.parquet", "conv_id", ["turn", "role", "text"], capture.privacy_toggle(F.col("text"))).select("conv_id", "turn", "role", "paused")
 
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")

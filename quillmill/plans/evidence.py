@@ -23,10 +23,10 @@ def timeline_position(spark, d):
 
 
 @query("""WITH p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS position FROM conversations)
-SELECT p.conv_id, p.turn, p.position, a.position AS anchor FROM p JOIN p a ON p.conv_id = a.conv_id AND p.position BETWEEN a.position - 1 AND a.position + 1 WHERE a.position = 2""")
+SELECT p.conv_id, p.turn, p.position, a.position AS anchor FROM p JOIN p a ON p.conv_id = a.conv_id AND p.position BETWEEN a.position - 1 AND a.position + 1""")
 def timeline_band(spark, d):
     rows = _turns(spark, d)
-    return R.neighbours(rows, rows.where("position = 2"), ["conv_id"], 1, 1).select("conv_id", "turn", "position", "anchor")
+    return R.neighbours(rows, rows, ["conv_id"], 1, 1).select("conv_id", "turn", "position", "anchor")
 
 
 @query("""SELECT conv_id, turn, lag(role) OVER w AS before_role, lead(role) OVER w AS after_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)""")
@@ -139,8 +139,9 @@ def chunk_exactness(spark, d):
     parts = chunking.chunks(docs, "doc_id")
     w = Window.partitionBy("doc_id").orderBy("part")
     spans = parts.withColumn("reach", F.coalesce(F.lag("end").over(w), F.lit(0)))
-    whole = spans.groupBy("doc_id").agg(F.min("start").alias("low"), F.max("end").alias("covered"), F.max(F.col("start") - F.col("reach")).alias("gap"))
-    return docs.join(whole, "doc_id").where("low = 0 AND gap <= 0").select("doc_id", X.revision(F.col("text")).alias("revision"), F.col("covered").cast("long").alias("covered"))
+    whole = spans.groupBy("doc_id").agg(F.min("start").alias("low"), F.max("end").alias("covered"), F.max(F.col("start") - F.col("reach")).alias("gap"), F.collect_list(F.struct("start", "end", "body")).alias("all"))
+    exact = F.forall("all", lambda x: F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"]) == x["body"])
+    return docs.join(whole, "doc_id").where("low = 0 AND gap <= 0").where(exact).select("doc_id", X.revision(F.col("text")).alias("revision"), F.col("covered").cast("long").alias("covered"))
 
 
 @query("SELECT doc_id, sha256(text) AS revision FROM documents WHERE length(text) > 0")

@@ -110,9 +110,12 @@ def canonical_root(spark, d):
 @query("""SELECT c_custkey, count(DISTINCT o_orderkey) AS packets, count(DISTINCT l_partkey) AS objects, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS paths
 FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey GROUP BY c_custkey""")
 def provenance_collect(spark, d):
-    rows = table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), F.col("c_custkey") == F.col("o_custkey"))
-    rows = rows.join(table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return rows.groupBy("c_custkey").agg(F.countDistinct("o_orderkey").alias("packets"), F.countDistinct("l_partkey").alias("objects"), F.concat_ws(",", F.array_sort(F.collect_set("o_orderpriority"))).alias("paths"))
+    """Parts are reduced to those of an order, then of a customer, before they are counted; so are orders."""
+    parts = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    orders = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "o_orderkey", "o_orderpriority")
+    packets = orders.join(parts, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").groupBy("c_custkey", "o_orderkey").agg(F.collect_set("o_orderpriority").alias("p")).groupBy("c_custkey").agg(F.count("*").alias("packets"), F.concat_ws(",", F.array_sort(F.array_distinct(F.flatten(F.collect_set("p"))))).alias("paths"))
+    objects = orders.join(parts, F.col("o_orderkey") == F.col("l_orderkey")).select("c_custkey", "l_partkey").distinct().groupBy("c_custkey").agg(F.count("l_partkey").alias("objects"))
+    return packets.join(objects, "c_custkey").select("c_custkey", "packets", "objects", "paths")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 25)")
@@ -144,8 +147,10 @@ def brief_rollup(spark, d):
 
 @query("""SELECT conv_id, count(*) AS messages, count(DISTINCT role) AS speakers, CAST(sum(length(text)) AS BIGINT) AS chars, max(turn) + 1 AS next_ordinal, array_to_string(list(role ORDER BY turn, role, text), '>') AS order_of_roles FROM conversations GROUP BY conv_id""")
 def conversation_rollup(spark, d):
-    order = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: x["role"])
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("messages"), F.countDistinct("role").alias("speakers"), F.sum(F.length("text")).alias("chars"), (F.max("turn") + 1).alias("next_ordinal"), F.concat_ws(">", order).alias("order_of_roles"))
+    """Turns are counted by speaker first, so that a group holds small entries and no text."""
+    turns = table(spark, d, "conversations").groupBy("conv_id", "turn", "role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size"))
+    roles = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "n"))), lambda x: F.array_repeat(x["role"], x["n"].cast("int"))))
+    return turns.groupBy("conv_id").agg(F.sum("n").alias("messages"), F.size(F.collect_set("role")).cast("long").alias("speakers"), F.sum("size").alias("chars"), (F.max("turn") + 1).alias("next_ordinal"), F.concat_ws(">", roles).alias("order_of_roles"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 2")
@@ -181,7 +186,8 @@ def ordered_union(spark, d):
     return a.unionByName(b).groupBy("doc_id").agg(F.min("rank").alias("rank"))
 
 
-@query("SELECT o_orderkey, coalesce(c_custkey, 0) AS c_custkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0 WHERE c_custkey IS NULL OR c_custkey % 2 = 0")
+@query("SELECT o_orderkey, coalesce(c_custkey, 0) AS c_custkey, CASE WHEN c_custkey IS NULL THEN 'missing' WHEN o_totalprice > c_acctbal THEN 'stale' ELSE 'current' END AS state FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
 def stale_or_missing(spark, d):
-    c = table(spark, d, "customer").where("c_acctbal > 0").select("c_custkey")
-    return table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").where("c_custkey IS NULL OR c_custkey % 2 = 0").select("o_orderkey", F.coalesce("c_custkey", F.lit(0)).alias("c_custkey"))
+    c = table(spark, d, "customer").where("c_acctbal > 0").select("c_custkey", "c_acctbal")
+    state = F.when(F.col("c_custkey").isNull(), "missing").when(F.col("o_totalprice") > F.col("c_acctbal"), "stale").otherwise("current")
+    return table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce("c_custkey", F.lit(0)).alias("c_custkey"), state.alias("state"))

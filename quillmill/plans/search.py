@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import lexical, relational, vector
+from ..sources.tables import shared_folder
 from .registry import query, table
 
 QUERY = "tell me about the thonre erst tion que les der"
@@ -37,6 +40,13 @@ def bm25_top_20(spark, d):
     return lexical.bm25(table(spark, d, "documents"), QUERY).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
+@query(f"WITH {_SCORED} SELECT doc_id, round(score, 6) AS score, least > 0 AS whole FROM b WHERE most > 0")
+def bm25_postings(spark, d):
+    """The same scores from a postings table that is built first."""
+    at = f"{shared_folder(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
+    return lexical.Postings.build(table(spark, d, "documents"), at).scored(QUERY)
+
+
 @query(f"""WITH t AS (SELECT doc_id, ' ' || array_to_string({_TOKENS}, '  ') || ' ' AS k FROM documents)
 SELECT doc_id, CAST((len(k) - len(replace(k, ' of  the ', ''))) / len(' of  the ') AS BIGINT) AS n FROM t WHERE k LIKE '% of  the %'""")
 def phrase_match(spark, d):

@@ -2,31 +2,56 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-STATE = "paused boolean"
+from ..functions import text as X
+from ..sources.tables import shared_folder
 
+def privacy_toggle(text: Column) -> Column:
+    """True where a text pauses the capture, false where it lifts the pause, null elsewhere."""
+    return F.when(text.rlike(X.PRIVACY_OFF), True).when(text.rlike(X.PRIVACY_ON), False)
 
-def _carry(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Rows of one session in order; a pause lasts until the row after it is lifted, across batches too."""
-    rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-    paused = state.get[0] if state.exists else False
-    toggles = rows.event_type.map({"purchase": True, "view": False})
-    out = toggles.shift(1).ffill().fillna(paused).astype(bool)
-    known = toggles.dropna()
-    state.update((bool(known.iloc[-1]) if len(known) else bool(paused),))
-    yield pd.DataFrame({"event_id": rows.event_id, "user_id": rows.user_id, "paused": out})
 
+def privacy_sink(at: str, schema: StructType, key: str, order: list[str], toggle: Column) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: writes the rows of each micro-batch to `at`/out with `paused`, the state before each, and `late`.
 
-def privacy_stream(events: DataFrame) -> DataFrame:
-    keyed = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
-    return keyed.groupBy("user_id").applyInPandasWithState(_carry, "event_id long, user_id long, paused boolean", STATE, "append", "NoTimeout")
+    A micro-batch is windowed by key; the state that earlier batches left comes from a table to which each batch adds the
+    last toggle and last place of its keys, under its own number, so that a batch delivered again replaces itself. No key's
+    rows are held in one object. A row is `late` if its place is before one that an earlier batch has seen: it gets the
+    state of its arrival and is marked, not dropped.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
+    place = F.struct(*order)
+    known = f"k {kinds[key]}, seen struct<{', '.join(f'{c}:{kinds[c]}' for c in order)}>, last boolean"
+
+    def sink(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        session.createDataFrame([], known).write.mode("overwrite").parquet(f"{at}/seen/batch=-1")  # so that there is a table to read
+        before = session.read.schema(f"{known}, batch int").option("basePath", f"{at}/seen").parquet(f"{at}/seen").where(F.col("batch") < number)
+        state = before.groupBy("k").agg(F.max("seen").alias("seen"), F.max_by("last", F.when(F.col("last").isNotNull(), F.col("batch"))).alias("last"))
+        rows = batch.withColumn("__toggle", toggle)
+        own = F.last("__toggle", ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+        joined = rows.withColumn("__own", own).join(state, F.col(key) == F.col("k"), "left")
+        out = joined.select(*batch.columns, F.coalesce("__own", "last", F.lit(False)).alias("paused"), F.coalesce(place < F.col("seen"), F.lit(False)).alias("late"))
+        out.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+        ends = rows.groupBy(F.col(key).alias("k")).agg(F.max(place).alias("seen"), F.max_by("__toggle", F.when(F.col("__toggle").isNotNull(), place)).alias("last"))
+        ends.write.mode("overwrite").parquet(f"{at}/seen/batch={number}")
+
+    return sink
+
+
+def run_privacy(spark: SparkSession, path: str, key: str, order: list[str], toggle: Column) -> DataFrame:
+    """The rows of a table, read as a stream over what is there now, with `paused` and `late`."""
+    at = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(path).schema
+    rows = spark.readStream.schema(schema).parquet(f"{path}*")  # as a pattern, it may be a file or a folder
+    rows.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(privacy_sink(at, schema, key, order, toggle)).start().awaitTermination()
+    return spark.read.option("basePath", f"{at}/out").parquet(f"{at}/out").drop("batch")
 
 
 def receipt_stream(events: DataFrame) -> DataFrame:
@@ -40,19 +65,15 @@ def run_to_end(spark: SparkSession, path: str, build: Callable[[DataFrame], Data
     The sink writes each micro-batch to a folder named by its number, so that a batch delivered again replaces itself. State
     and output are kept in the shared folder that the session names for checkpoints.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-stream-")
-    at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     frame = build(spark.readStream.schema(schema).parquet(f"{path}*"))  # as a pattern, it may be a file or a folder
-    mode = "append" if build is privacy_stream else "update"
-
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
-    flow = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(sink).start()
+    flow = frame.writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(sink).start()
     flow.awaitTermination()
     out = spark.read.option("basePath", f"{at}/out").parquet(f"{at}/out")
-    if mode == "update":  # later batches replace what earlier ones said of a key
-        keys = [c for c in columns if c != columns[-1]]
-        out = out.groupBy(*keys).agg(F.max_by(columns[-1], "batch").alias(columns[-1]))
+    keys = columns[:-1]  # later batches replace what earlier ones said of a key
+    out = out.groupBy(*keys).agg(F.max_by(columns[-1], "batch").alias(columns[-1]))
     return out.select(*columns)

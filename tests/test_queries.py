@@ -85,8 +85,9 @@ def test_listing_is_complete(spark):
 @pytest.mark.parametrize("text", ["", "a\n" * 2000, "α" * 4000, "# H\r\ntext\r\n```py\n# no heading\n```\nend", "~~~\n" + "x\n" * 900 + "~~~~\nafter", "é🌊" * 1500 + "\n" + "y" * 30])
 def test_chunks_and_blocks(text):
     blocks = chunking.split_blocks(text)
-    assert "".join(text[a:b] for a, b, _, _ in blocks) == text
-    assert all(b - a <= chunking.BLOCK_CHARS + 1 or kind == "fenced_code" for a, b, kind, _ in blocks)
+    assert "".join(text[a:b] for a, b, *_ in blocks) == text
+    assert all(b - a <= chunking.BLOCK_CHARS or kind == "fenced_code" for a, b, kind, *_ in blocks)
+    assert all(first == 1 + len(chunking._NEWLINE.findall(text[:a])) for a, _, _, _, first, _ in blocks)
     reach = 0
     for _, a, b in chunking.split_text(text):
         assert a <= reach and len(text[a:b].encode()) <= chunking.MAX_BYTES
@@ -94,6 +95,21 @@ def test_chunks_and_blocks(text):
     assert reach == len(text) or not text[reach:].strip()
 
 
+def test_blocks_have_labels_and_lines():
+    text = "intro\n# One\nline\n```py\n# no heading\n~~~\n``` x\n````  \nafter\n ## Two ##\n" + "y" * 30
+    assert [(text[a:b].split("\n")[0], kind, label, first, last) for a, b, kind, label, first, last in chunking.split_blocks(text)] == [
+        ("intro", "section", "Text", 1, 1),
+        ("# One", "section", "One", 2, 3),
+        ("```py", "fenced_code", "Code py", 4, 8),
+        ("after", "section", "Text", 9, 9),
+        (" ## Two ##", "section", "Two ##", 10, 11),
+    ]
+    long = "a" * 1198 + "\r\n" + "b" * 10 + "\u2028" + "c" * 1300
+    assert [(b - a, kind, first, last) for a, b, kind, _, first, last in chunking.split_blocks(long)] == [(1200, "section_window", 1, 1), (11, "section_window", 2, 2), (1200, "section_window", 3, 3), (100, "section_window", 3, 3)]
+    assert [b - a for a, b, *_ in chunking.split_blocks("a" * 1199 + "\r\n" + "b" * 5)] == [1199, 7]
+    assert [(kind, label) for _, _, kind, label, *_ in chunking.split_blocks("~~~~\ncode\n~~~\n")] == [("fenced_code", "Code ")]
+
+
 def test_alignment(spark):
     lists = "c string, p int, k string"
     long = spark.createDataFrame([("u", i, t) for i, t in enumerate("abcd")] + [("v", i, t) for i, t in enumerate("abab")], lists)
@@ -105,13 +121,19 @@ def test_pause_lasts_over_batches(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:00", 7, "click"), (2, "2024-01-01 00:01:00", 7, "purchase"), (3, "2024-01-01 00:02:00", 7, "click"), (4, "2024-01-01 00:03:00", 7, "view"), (5, "2024-01-01 00:04:00", 7, "click")]
     events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", X.F.col("ts").cast("timestamp_ntz"))
     events.where("event_id < 3").coalesce(1).write.parquet(f"{tmp_path}/in/a")
-    out = []
-    flow = capture.privacy_stream(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in/*")).writeStream.option("checkpointLocation", f"{tmp_path}/state").foreachBatch(lambda b, _: out.extend(map(tuple, b.collect()))).start()
+    toggle = X.F.when(X.F.col("event_type") == "purchase", True).when(X.F.col("event_type") == "view", False)
+    sink = capture.privacy_sink(f"{tmp_path}/kept", events.schema, "user_id", ["ts", "event_id"], toggle)
+    flow = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in/*").writeStream.option("checkpointLocation", f"{tmp_path}/state").foreachBatch(sink).start()
     flow.processAllAvailable()
     events.where("event_id >= 3").coalesce(1).write.parquet(f"{tmp_path}/in/b")
     flow.processAllAvailable()
+    events.where("event_id = 3").withColumn("event_id", X.F.lit(6).cast("long")).coalesce(1).write.parquet(f"{tmp_path}/in/c")
+    flow.processAllAvailable()
     flow.stop()
-    assert sorted((e, p) for e, _, p in out) == [(1, False), (2, False), (3, True), (4, True), (5, False)]
+    out = spark.read.parquet(f"{tmp_path}/kept/out").collect()
+    assert sorted((r.event_id, r.paused, r.late) for r in out) == [(1, False, False), (2, False, False), (3, True, False), (4, True, False), (5, False, False), (6, False, True)]
+    texts = spark.createDataFrame([("off the record, please",), ("/memory on",), ("we went off the record then",), (None,)], "t string")
+    assert [r[0] for r in texts.select(capture.privacy_toggle(X.F.col("t"))).collect()] == [True, False, None, None]
 
 
 def test_works_without_the_optional_part():
