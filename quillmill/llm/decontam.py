@@ -1,9 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Fixed masks over consecutive words ignore some positions; the hashes of the words at the others are the seeds of a text.
-Spark joins the seeds of the benchmark with those of the documents; a bit for each seed prefix of the benchmark, in a table
-of fixed size, keeps seeds that cannot join out of the shuffle. Around the hits the two texts are aligned on the hits'
-diagonals and compared word for word, so that substituted words are tolerated.
+Spark joins the seeds of the benchmark with those of the documents; three bits for each seed of the benchmark, in tables of
+fixed size, keep seeds that cannot join, and documents without any other, out of the shuffle. Around the hits the two texts
+are aligned on the hits' diagonals and compared word for word, so that substituted words are tolerated.
 
 One rule holds for items of every length: an aligned window of 20 of the item's words (all, if it has fewer) must agree in
 at least 0.8 of them. The masks for each length find every such window, also one that hangs over an end of the document;
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_steps, map_rows, stored
+from .common import as_lists, in_steps, map_rows, stored
 from .tokens import Words, mix
 
 WINDOW = 20
@@ -32,7 +32,7 @@ MASKS: dict[int, tuple[str, ...]] = {
     2: ("11",),
     1: ("1",),
 }
-#: The table of bits has 2 to the power of this: 2 MB, whatever the size of the benchmark.
+#: Each of three tables has 2 to the power of so many bits: 6 MB in all, whatever the size of the benchmark.
 FILTER_BITS = 24
 #: Words that are compared at once.
 CELLS = 1_000_000
@@ -109,35 +109,47 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     return map_rows(items, each, "seed long, tier long, i1 long, i2 long, offset int")
 
 
-def _document_seeds(texts: DataFrame, tiers: list[int], bits: np.ndarray) -> DataFrame:
-    """(d1, d2, seed, places) of those seeds of (d1, d2, text) whose prefix the benchmark has."""
-    sent = texts.sparkSession.sparkContext.broadcast(bits)  # 2 MB
+def _hit_documents(docs: DataFrame, tiers: list[int], bits: np.ndarray) -> DataFrame:
+    """(doc, d1, d2, seeds, places, hashes) of the rows (doc, d1, d2, text) with seeds that the benchmark may have; hashes are those of all words."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)  # 6 MB
 
     def each(batch: pa.RecordBatch):
-        table = sent.value
-        for first, part in in_steps(batch.column(2).to_pylist()):
+        tables = sent.value
+        for first, part in in_steps(batch.column(3).to_pylist()):
             words = Words(part)
             room = _room(words)
+            places, seeds = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]  # there may be no tier
             for tier in tiers:
                 at, found = seeds_of(words, room, tier)
-                prefix = found >> np.uint64(64 - FILTER_BITS)
-                near = np.flatnonzero(table[prefix >> np.uint64(6)] >> (prefix & np.uint64(63)) & np.uint64(1))
-                at, found = at[near], found[near]
-                doc = words.doc[at]
-                keys = [batch.column(k).take(pa.array(first + doc)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(found.view(np.int64)), pa.array((at - words.first[doc]).astype(np.int32))], ["d1", "d2", "seed", "place"])
+                for table, probe in zip(tables, _PROBES, strict=True):
+                    bit = probe(found)
+                    near = np.flatnonzero(table[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1))
+                    at, found = at[near], found[near]
+                places.append(at)
+                seeds.append(found)
+            places, seeds = np.concatenate(places), np.concatenate(seeds)
+            order = np.argsort(words.doc[places], kind="stable")
+            places, seeds = places[order], seeds[order]
+            own, counts = np.unique(words.doc[places], return_counts=True)
+            keys = [batch.column(k).take(pa.array(first + own)) for k in range(3)]
+            hashes = [words.hash[words.first[d] : words.first[d] + words.counts[d]].tobytes() for d in own.tolist()]
+            columns = [*keys, as_lists(seeds.view(np.int64), counts, pa.int64()), as_lists((places - words.first[words.doc[places]]).astype(np.int32), counts, pa.int32()), pa.array(hashes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "d1", "d2", "seeds", "places", "hashes"])
+
+    return map_rows(docs.select("doc", "d1", "d2", "text"), each, f"doc {docs.schema['doc'].dataType.simpleString()}, d1 long, d2 long, seeds array<long>, places array<int>, hashes binary")
+
 
-    hits = map_rows(texts, each, "d1 long, d2 long, seed long, place int")
-    return hits.groupBy("d1", "d2", "seed").agg(F.collect_set("place").alias("places"))
+_LOW = np.uint64((1 << FILTER_BITS) - 1)
+_PROBES = (lambda h: h >> np.uint64(64 - FILTER_BITS), lambda h: h >> np.uint64(16) & _LOW, lambda h: (h ^ h >> np.uint64(24)) & _LOW)
+_PROBES_SQL = (f"shiftrightunsigned(seed, {64 - FILTER_BITS})", f"shiftrightunsigned(seed, 16) & {_LOW}", f"(seed ^ shiftrightunsigned(seed, 24)) & {_LOW}")
 
 
 def _filter_bits(seeds: DataFrame) -> np.ndarray:
-    """One bit for each seed prefix; at most 2^18 words of 64 bits come to the driver."""
-    prefix = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
-    rows = seeds.select(prefix.alias("b")).selectExpr("shiftright(b, 6) as word", "shiftleft(1L, cast(b & 63 as int)) as bit")
-    found = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(1 << FILTER_BITS - 6, np.int64)
-    out[found.word.to_numpy(np.int64)] = found.bits.to_numpy(np.int64)
+    """Three bits for each seed, one in each table; at most 3 times 2^18 words of 64 bits come to the driver."""
+    bits = seeds.selectExpr(f"posexplode(array({', '.join(_PROBES_SQL)})) as (which, b)").selectExpr("which", "shiftright(b, 6) as word", "shiftleft(1L, cast(b & 63 as int)) as bit")
+    found = bits.groupBy("which", "word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros((len(_PROBES), 1 << FILTER_BITS - 6), np.int64)
+    out[found.which.to_numpy(np.int64), found.word.to_numpy(np.int64)] = found.bits.to_numpy(np.int64)
     return out.view(np.uint64)
 
 
@@ -151,7 +163,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
         for r in range(batch.num_rows):
             key = (batch.column(0)[r].as_py(), batch.column(1)[r].as_py())
             if key != last:
-                last, doc = key, Words([batch.column(4)[r].as_py()]).hash
+                last, doc = key, np.frombuffer(batch.column(4)[r].as_py(), np.uint64)
             item = Words([batch.column(5)[r].as_py()]).hash
             hits = [(np.asarray(h["places"], np.int64), np.asarray(h["offsets"], np.int64)) for h in batch.column(6)[r].as_py()]
             if found := best_match(item, doc, diagonals(hits, len(doc), len(item))):
@@ -176,17 +188,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     An item is found where an aligned window of 20 of its words (all, if it has fewer) agrees in at least 0.8 of them; an
     item of fewer than five words thus only whole. Null texts and texts without words hold nothing and are not sought;
     repeated items each count; equal documents each get their rows, and so do rows without an id. Equal texts are compared
-    once. Columns: id, item id, n_words of the item, n_matched on the best diagonal, overlap (best window's share), word_start.
+    once; the documents are read once. Columns: id, item id, n_words of the item, n_matched on the best diagonal, overlap (best window's share), word_start.
     """
     all_docs, all_items = _keyed(docs, id_col, text_col, "doc", "d"), _keyed(benchmark, item_col, item_text, "item", "i")
     items = stored(all_items.select("i1", "i2", "text").dropDuplicates(["i1", "i2"]))
     seeds = stored(_item_seeds(items))
     tiers = [r.tier for r in seeds.select("tier").distinct().collect()]  # at most as many as MASKS has
-    hits = _document_seeds(all_docs.select("d1", "d2", "text"), sorted(tiers), _filter_bits(seeds))
+    known = stored(_hit_documents(all_docs, sorted(tiers), _filter_bits(seeds)))
+    hits = known.select("d1", "d2", F.explode(F.arrays_zip("seeds", "places")).alias("x")).groupBy("d1", "d2", F.col("x.seeds").alias("seed")).agg(F.collect_set("x.places").alias("places"))
     placed = seeds.groupBy("seed", "i1", "i2").agg(F.collect_set("offset").alias("offsets"))
     shared = stored(hits.join(placed, "seed").groupBy("d1", "d2", "i1", "i2").agg(F.collect_list(F.struct("places", "offsets")).alias("hits")))
-    texts = all_docs.join(shared.select("d1", "d2").distinct(), ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
-    pairs = shared.join(texts.select("d1", "d2", F.col("text").alias("doc_text")), ["d1", "d2"]).join(items.withColumnRenamed("text", "item_text"), ["i1", "i2"])
-    found = stored(_verified(pairs.select("d1", "d2", "i1", "i2", "doc_text", "item_text", "hits")))
-    rows = found.join(all_items.select("item", "i1", "i2"), ["i1", "i2"]).join(all_docs.select("doc", "d1", "d2"), ["d1", "d2"])
+    texts = known.select("d1", "d2", "hashes").dropDuplicates(["d1", "d2"])
+    pairs = shared.join(texts, ["d1", "d2"]).join(items.withColumnRenamed("text", "item_text"), ["i1", "i2"])
+    found = stored(_verified(pairs.select("d1", "d2", "i1", "i2", "hashes", "item_text", "hits")))
+    rows = found.join(all_items.select("item", "i1", "i2"), ["i1", "i2"]).join(known.select("doc", "d1", "d2"), ["d1", "d2"])
     return rows.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_words", "n_matched", "overlap", "word_start")
