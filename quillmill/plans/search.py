@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import lexical, relational, vector
+from ..operators import answers, lexical, relational, vector
 from ..sources.tables import shared_folder
 from .registry import query, table
 
@@ -159,3 +159,35 @@ SELECT event_type, event_id, r AS position FROM s WHERE r <= 3""")
 def diverse_top(spark, d):
     rows = relational.position(table(spark, d, "events"), ["event_type"], [F.desc("value"), F.col("event_id")])
     return rows.where("position <= 3").select("event_type", "event_id", "position")
+
+
+def _scored_sql(name: str, where: str) -> str:
+    """Common tables that score all of a record (text, source and title) among the records that `where` keeps."""
+    return f"""
+t{name} AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text || chr(10) || source || chr(10) || substr(text, 1, 80))), '[\\p{{L}}\\p{{N}}]+') AS k FROM documents WHERE {where}),
+c{name} AS (SELECT doc_id, len(k) AS dl, list_transform({_TERMS}, lambda w: len(list_filter(k, lambda x: x = w))) AS tf FROM t{name}),
+s{name} AS (SELECT count(*) AS n, avg(dl) AS a FROM c{name}),
+i{name} AS (SELECT pos, greatest(ln(((SELECT n FROM s{name}) - df + 0.5) / (df + 0.5)), 1e-6) AS idf FROM (SELECT pos, sum(CASE WHEN tf[pos] > 0 THEN 1 ELSE 0 END) AS df FROM c{name}, range(1, 7) r(pos) GROUP BY pos)),
+b{name} AS (SELECT doc_id, min(tf[pos]) AS least, max(tf[pos]) AS most, round(sum(idf * tf[pos] * 2.2 / (tf[pos] + 1.2 * (0.25 + 0.75 * dl / (SELECT a FROM s{name})))), 6) AS score FROM c{name}, i{name} GROUP BY doc_id)"""
+
+
+def _held(of: str) -> str:
+    return f"list_filter({_TERMS}, lambda w: list_contains({of}, w))"
+
+
+@query(f"""WITH {_scored_sql("1", "true")}, {_scored_sql("2", "source = 'src0'")},
+h AS (SELECT doc_id, 0 AS channel, CASE WHEN least > 0 THEN 2 ELSE 3 END AS tier, score FROM b1 WHERE most > 0 ORDER BY tier, score DESC, doc_id LIMIT 100),
+m AS (SELECT doc_id, 1 AS channel, 0 AS tier, score FROM b2 WHERE most > 0 ORDER BY score DESC, doc_id LIMIT 40),
+u AS (SELECT * FROM (SELECT * FROM h UNION ALL SELECT * FROM m) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY channel) = 1),
+p AS (SELECT doc_id, row_number() OVER (ORDER BY channel, tier, score DESC, doc_id) - 1 AS position FROM u),
+d AS (SELECT p.doc_id, position, text, source, lang, {_TOKENS} AS b, regexp_extract_all(strip_accents(lower(substr(text, 1, 80))), '[\\p{{L}}\\p{{N}}]+') AS t FROM p JOIN documents USING (doc_id)),
+f AS (SELECT *, len({_held("list_concat(b, t)")}) AS n, len({_held("t")}) AS nt, len({_held("b")}) AS nb FROM d),
+g AS (SELECT *, CASE WHEN source = 'src0' AND (nt = 6 OR nb = 6) THEN 1 ELSE 0 END AS preference, CAST(CASE WHEN n < 2 THEN 0.0 WHEN n = 6 THEN CASE WHEN nt > 0 THEN 2.75 ELSE 2.5 END ELSE least(2.0, 0.5 + 1.25 * n / 6 + CASE WHEN nt > 0 THEN 0.25 ELSE 0.0 END) END AS DOUBLE) AS keyword FROM f),
+o AS (SELECT *, row_number() OVER (ORDER BY preference DESC, position - keyword, keyword DESC, position, doc_id) AS place, sha256(text) || CASE WHEN length(text) >= 80 THEN '' WHEN source = 'src1' THEN lang ELSE CAST(doc_id AS VARCHAR) END AS k FROM g),
+r AS (SELECT doc_id, CASE source WHEN 'src0' THEN 'note' WHEN 'src1' THEN 'chat' ELSE 'memory' END AS source_kind, place, count(*) OVER w AS matches, count(DISTINCT CASE WHEN source = 'src1' THEN lang END) OVER w AS chats, row_number() OVER (PARTITION BY k ORDER BY place) AS r FROM o WINDOW w AS (PARTITION BY k))
+SELECT doc_id, source_kind, place, matches, chats FROM r WHERE r = 1 ORDER BY place LIMIT 20""")
+def grouped_search(spark, d):
+    """A search as users call it: tiers, notes, preferences, copies in groups."""
+    kind = F.when(F.col("source") == "src0", "note").when(F.col("source") == "src1", "excerpt")
+    docs = table(spark, d, "documents").select("doc_id", "text", F.substring("text", 1, 80).alias("title"), "source", kind.alias("kind"), F.when(kind == "excerpt", F.col("lang")).alias("conversation_id"))
+    return answers.search(docs, QUERY, 20, "doc_id").select("doc_id", "source_kind", "place", "matches", "chats")
