@@ -1,90 +1,90 @@
-"""The archive as one object: versioned tables, and the calls that readers and writers make."""
+"""The archive as one object: plain Parquet tables under one folder, and the calls that readers and writers make."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
-from .functions import passages
+from .functions import chunking, passages
 from .functions import text as X
-from .operators import discovery, lexical, records, relational
+from .operators import answers, discovery, records, relational
 
 SCHEMAS = {
-    "memories": "id string, text string, source string, title string, created_at string, account_id string, conversation_id string, source_order bigint",
+    "memories": "id string, text string, source string, title string, created_at string, kind string, account_id string, conversation_id string, source_order bigint, saved boolean",
     "receipts": "key string, digest string, id string",
     "labels": "id string, state string",
 }
+#: Blocks on one page of a text's map.
+MAP_PAGE = 5
 
 
 class Archive:
-    """Tables under one folder. A change writes a whole new version and then the mark that makes it the one to read.
+    """Tables to which every write appends; ids are digests of what is written, so a write done twice adds no record.
 
-    A reader keeps the version it has opened, so what it sees doesn't change; a write that breaks off leaves no mark.
+    A frame of a table holds the files that were there when it was made: a reader that keeps it sees no later write.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.version = self._latest()
-
-    def _latest(self) -> str | None:
-        marks = self._list(f"{self.path}/marks")
-        return max(marks)[1] if marks else None
 
-    def _list(self, folder: str) -> list[tuple[int, str]]:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(folder)
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
-        return [(int(n.split("-")[0]), n) for n in names if n.split("-")[0].isdigit()]
+    def _rows(self, name: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
+        except AnalysisException:  # nothing written yet
+            return self.spark.createDataFrame([], SCHEMAS[name])
 
     def table(self, name: str) -> DataFrame:
-        if self.version is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/versions/{self.version}/{name}")
-
-    def publish(self, tables: dict[str, DataFrame]) -> str:
-        """Write all tables as the next version, those not given as they are, and mark it."""
-        number = int(self.version.split("-")[0]) + 1 if self.version else 1
-        name = f"{number:09d}-{uuid.uuid4().hex[:8]}"
-        for t in SCHEMAS:
-            tables.get(t, self.table(t)).write.parquet(f"{self.path}/versions/{name}/{t}")
-        self.spark.range(1).write.json(f"{self.path}/marks/{name}")
-        self.version = name
-        return name
+        return self._rows(name).dropDuplicates(["key"] if name == "receipts" else ["id"])
+
+    def _append(self, name: str, rows: DataFrame) -> None:
+        rows.select(*(c.split()[0] for c in SCHEMAS[name].split(", "))).write.mode("append").parquet(f"{self.path}/{name}")
 
     def store(self, rows: DataFrame) -> DataFrame:
-        """Add rows (key, text, source, title, created_at); (key, status): a key seen before is a replay or a conflict."""
+        """Add rows (key, text, source, title, created_at); (key, status): a key seen before is a replay or a conflict.
+
+        Records go before receipts: a write that breaks off is done again whole, and its records are the same ones.
+        """
         given = rows.select("key", "text", "source", "title", "created_at", F.sha2(F.concat_ws("\u0001", "text", "source", F.coalesce("title", F.lit(""))), 256).alias("digest"))
         old = self.table("receipts").select("key", F.col("digest").alias("old"))
         judged = given.join(old, "key", "left").withColumn("status", F.when(F.col("old").isNull(), "stored").when(F.col("old") == F.col("digest"), "replay").otherwise("conflict"))
         new = judged.where("status = 'stored'").withColumn("id", F.substring(F.sha2(F.concat_ws(":", "key", "digest"), 256), 1, 32))
-        blank = F.lit(None).cast("string")
-        memories = new.select("id", "text", "source", "title", "created_at", blank.alias("account_id"), blank.alias("conversation_id"), F.lit(None).cast("long").alias("source_order"))
         if not new.isEmpty():
-            self.publish({"memories": self.table("memories").unionByName(memories), "receipts": self.table("receipts").unionByName(new.select("key", "digest", "id"))})
-        return judged.select("key", "status")  # still against the version that was current before
-
-    def import_messages(self, messages: DataFrame) -> str:
-        """Add resolved messages (see operators.ingest) whose action is `added`."""
-        new = messages.where("action = 'added'").select(F.col("memory_id").alias("id"), "text", F.concat_ws(" | ", "kind", "conversation_id").alias("source"), "title", F.col("source_date").alias("created_at"), "account_id", "conversation_id", "source_order")
-        return self.publish({"memories": relational.insert_new(self.table("memories"), new, ["id"])})
-
-    def search(self, query: str, limit: int = 20) -> DataFrame:
-        """(id, tier, score, title, preview, passage) of the best records; at most 100."""
-        limit = max(1, min(100, limit))
-        records_ = self.table("memories").withColumn("all", F.concat_ws("\n", "text", "source", "title"))
-        hits = lexical.tiered(records_, query, limit, "id", "all")
-        found = self.table("memories").join(F.broadcast(hits), "id")  # at most 100 rows
+            blank = F.lit(None).cast("string")
+            self._append("memories", new.withColumns({"kind": blank, "account_id": blank, "conversation_id": blank, "source_order": F.lit(None).cast("long"), "saved": F.lit(True)}))
+            self._append("receipts", new)
+        return judged.select("key", "status")  # against the receipts from before
+
+    def import_messages(self, messages: DataFrame) -> None:
+        """Add resolved messages (see operators.ingest) whose action is `added`, and that are not there yet."""
+        new = messages.where("action = 'added'").select(F.col("memory_id").alias("id"), "text", F.concat_ws(" | ", "kind", "conversation_id").alias("source"), "title", F.col("source_date").alias("created_at"), "kind", "account_id", "conversation_id", "source_order", F.lit(False).alias("saved"))
+        self._append("memories", new.join(self.table("memories").select("id"), "id", "left_anti"))
+
+    def search(self, query: str, limit: int = 20, budget: int | None = None) -> DataFrame:
+        """(id, place, source_kind, matches, chats, title, preview, passage): copies in one group, within a budget of characters."""
+        found = answers.search(self.table("memories"), query, max(1, min(100, limit)), "id", budget)
         shown = passages.with_passages(found, query, "id")
-        return found.select("id", "tier", "score", X.bounded(F.col("title"), 240).alias("title")).join(shown.select("id", "preview", "passage"), "id").orderBy("tier", F.desc("score"), "id")
+        return found.select("id", "place", "source_kind", "matches", "chats", "score", X.bounded(F.col("title"), 240).alias("title")).join(shown.select("id", "preview", "passage"), "id").orderBy("place")
 
-    def list(self, after: str | None = None, limit: int = 50) -> DataFrame:
+    def membership(self) -> str:
+        """A fingerprint of the ids in the archive, for pages that belong together."""
+        row = relational.membership_fingerprint(self.table("memories"), "id").first()
+        return f"{row.n}:{row.digest}:{row.total}"
+
+    def list(self, after: str | None = None, limit: int = 50, membership: str | None = None) -> DataFrame:
+        """The next page by id; with the fingerprint of the first page, an error if records have come since."""
+        if membership is not None and membership != self.membership():
+            raise ValueError("the archive has changed since the first page")
         t = F.col("text")
         page = relational.keyset_page(self.table("memories"), "id", after, limit)
         return page.select("id", F.substring("title", 1, 80).alias("title"), F.substring("source", 1, 100).alias("source"), F.substring("created_at", 1, 40).alias("created_at"), F.substring(t, 1, 120).alias("preview"), (F.length(t) > 120).alias("truncated"))
 
+    def map(self, id: str, start: int = 0) -> DataFrame:
+        """(block_id, start, end, first_line, last_line, kind, label, total_blocks) of the next blocks of a text from a place on."""
+        parts = chunking.blocks(self.table("memories").where(F.col("id") == id), "id")
+        total = parts.groupBy("id").agg(F.count("*").alias("total_blocks"))
+        return parts.where(F.col("end") > start).join(total, "id").orderBy("start").limit(MAP_PAGE).select("block_id", "start", "end", "first_line", "last_line", "kind", "label", "total_blocks")
+
     def get(self, id: str, start: int = 0, end: int | None = None, revision: str | None = None) -> DataFrame:
         """(id, revision, status, body): a slice by code points; `stale_revision` if the text is another by now."""
         row = self.table("memories").where(F.col("id") == id).withColumn("revision", X.revision(F.col("text")))
@@ -120,9 +120,9 @@ class Archive:
         return rows.agg(F.count("*").alias("total"), done.alias("complete"), F.count(F.when(F.col("state") == "held", 1)).alias("held"), F.round(F.try_divide(100.0 * done, F.count("*")), 2).alias("pct"))
 
     def health(self) -> DataFrame:
-        """(check, n): repeated ids, receipts without record, labels without record; all 0 in a sound archive."""
+        """(check, n): records with one id and several texts, receipts without record, labels without record; all 0 in a sound archive."""
         m = self.table("memories")
-        checks = [relational.surplus_rows(m, ["id"]).select(F.lit("repeated_ids").alias("check"), F.col("surplus").cast("long").alias("n"))]
+        checks = [relational.surplus_rows(self._rows("memories").select("id", "text").distinct(), ["id"]).select(F.lit("repeated_ids").alias("check"), F.col("surplus").cast("long").alias("n"))]
         for t in ("receipts", "labels"):
             checks.append(self.table(t).join(m, "id", "left_anti").agg(F.count("*").alias("n")).select(F.lit(f"{t}_without_record").alias("check"), "n"))
         return checks[0].unionByName(checks[1]).unionByName(checks[2])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.records import packet_errors
+from .tables import stored
 
 MESSAGE = "struct<text:string,speaker:string,message_id:string,source_order:bigint,source_date:string,source_url:string>"
 PACKET = f"struct<format:string,kind:string,title:string,account_id:string,conversation_id:string,source_url:string,source_date:string,derived_from:array<string>,messages:array<{MESSAGE}>>"
@@ -57,3 +58,42 @@ def messages_of(packets: DataFrame) -> DataFrame:
 def canonical_json(value: Column) -> Column:
     """JSON of a struct whose fields are declared in sorted order; nulls are kept."""
     return F.to_json(value, {"ignoreNullFields": "false"})
+
+
+def halved(packets: DataFrame, max_bytes: int) -> DataFrame:
+    """Packets (packet_key, packet) of which none is over the bytes as JSON: the messages of a larger one are halved until it fits.
+
+    Columns: packet_key, part (the path of halves, `` for a whole packet), packet, oversize (one message that does not fit).
+    Each round looks at the parts that are still too large; a packet of n messages takes log2(n) rounds at most.
+    """
+    p = F.col("packet")
+    open_, done = packets.select("packet_key", F.lit("").alias("part"), "packet"), None
+    while True:
+        sized = stored(open_.withColumns({"fits": F.octet_length(F.to_json(p)) <= max_bytes, "n": F.coalesce(F.size(p["messages"]), F.lit(0))}))
+        ready = sized.where("fits OR n < 2").select("packet_key", "part", "packet", (~F.col("fits")).alias("oversize"))
+        done = ready if done is None else done.unionByName(ready)
+        rest = sized.where("NOT fits AND n >= 2")
+        if rest.isEmpty():
+            return done
+        middle = F.floor(F.col("n") / 2).cast("int")
+        halves = [p.withField("messages", F.slice(p["messages"], a, n)) for a, n in ((F.lit(1), middle), (middle + 1, F.col("n") - middle))]
+        open_ = rest.select("packet_key", "part", F.posexplode(F.array(*halves)).alias("half", "packet")).select("packet_key", F.concat("part", F.col("half").cast("string")).alias("part"), "packet")
+
+
+IMAGES = (".png", ".jpg", ".jpeg", ".webp", ".gif")
+
+
+def images(spark: SparkSession, folder: str, known: DataFrame | None = None, max_bytes: int = MAX_BYTES, settled_before=None) -> DataFrame:
+    """(sha256, path, size, modified, folders, copies) of the distinct images below a folder that `known` (sha256) does not have.
+
+    One row for each content: its smallest path, when it was changed last, and the folders it is in. Empty and oversize
+    files, hidden ones, parts still being written and those changed after `settled_before` wait.
+    """
+    name = F.substring_index("path", "/", -1)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    kept = files.where(F.lower(F.regexp_extract(name, r"\.[^.]+$", 0)).isin(*IMAGES) & ~name.startswith(".") & F.col("length").between(1, max_bytes))
+    if settled_before is not None:
+        kept = kept.where(F.col("modificationTime") <= F.lit(settled_before))
+    rows = kept.select(F.sha2("content", 256).alias("sha256"), "path", "length", "modificationTime", F.element_at(F.split("path", "/"), -2).alias("folder"))
+    found = rows.groupBy("sha256").agg(F.min("path").alias("path"), F.first("length").alias("size"), F.max("modificationTime").alias("modified"), F.array_sort(F.collect_set("folder")).alias("folders"), F.count("*").alias("copies"))
+    return found if known is None else found.join(known.select("sha256"), "sha256", "left_anti")

@@ -21,8 +21,39 @@ def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", F.posexplode(F.split(F.rtrim(whole, F.lit("\n")), "\n")).alias("at", "line")).where("line <> ''")
 
 
-def events(lines: DataFrame) -> DataFrame:
-    """Each line after the header with the reason why it is no message, or none; privacy state runs through each file."""
+def new_lines(spark: SparkSession, folder: str, known: DataFrame, max_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
+    """The complete lines since the last run, and the places to go on from.
+
+    `known` has rows (path, offset, header_sha, edge_sha) from the last run. A file starts anew where its first line is
+    another, it is shorter than the offset, or the up to 1024 bytes before the offset are others. At most `max_bytes` of a
+    file are taken; a longer line waits. Lines are (path, at, line), `at` being the byte where they begin; the first line
+    (at 0) always comes along. Places are (path, offset, header_sha, edge_sha, restarted). Bytes are decoded one to one
+    first, so that places in the string are places in the file.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(folder)
+    edge = lambda at: F.sha2(F.substring(F.col("content"), F.greatest(at - 1024, F.lit(0)).cast("int") + 1, F.least(at, F.lit(1024)).cast("int")), 256)
+    last = lambda x: F.length(x) - F.length(F.substring_index(x, "\n", -1))  # noqa: E731  # end of the last complete line
+    raw = files.select("path", "content", F.decode("content", "ISO-8859-1").alias("raw")).where(F.contains("raw", F.lit("\n")))
+    old = known.select("path", F.col("offset").alias("old"), F.col("header_sha").alias("old_header"), F.col("edge_sha").alias("old_edge"))
+    seen = raw.withColumn("head", F.length(F.substring_index("raw", "\n", 1)) + 1).join(old, "path", "left").withColumn("header_sha", F.sha2(F.substring(F.col("content"), F.lit(1), F.col("head")), 256))
+    other = (F.col("old_header") != F.col("header_sha")) | (F.col("old") > F.length("raw")) | (edge(F.col("old")) != F.col("old_edge"))
+    placed = seen.withColumn("restarted", F.coalesce(other, F.lit(False))).withColumn("start", F.when(F.col("old").isNull() | F.col("restarted"), 0).otherwise(F.col("old")).cast("int"))
+    part = F.substring(F.col("raw"), F.col("start") + 1, F.lit(max_bytes))
+    cut = placed.withColumn("part", part).withColumn("part", F.substring(F.col("part"), F.lit(1), last(F.col("part")))).withColumn("offset", F.col("start") + F.length("part"))
+    places = cut.select("path", F.col("offset").cast("long").alias("offset"), "header_sha", edge(F.col("offset")).alias("edge_sha"), "restarted")
+    pieces = cut.where("part <> ''").select("path", "start", F.posexplode(F.split(F.substring(F.col("part"), F.lit(1), F.length("part") - 1), "\n")).alias("n", "piece"))
+    order = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    own = pieces.select("path", (F.col("start") + F.coalesce(F.sum(F.length("piece") + 1).over(order), F.lit(0))).cast("long").alias("at"), "piece")
+    heads = cut.where("start > 0").select("path", F.lit(0).cast("long").alias("at"), F.substring_index("raw", "\n", 1).alias("piece"))
+    line = F.decode(F.encode("piece", "ISO-8859-1"), "UTF-8")
+    return own.unionByName(heads).select("path", "at", line.alias("line")).where("trim(line) <> ''"), places
+
+
+def events(lines: DataFrame, paused: DataFrame | None = None) -> DataFrame:
+    """Each line after the header with the reason why it is no message, or none; privacy state runs through each file.
+
+    `paused` has rows (path, paused): the state that the last run left.
+    """
     e = lines.select("path", "at", F.from_json("line", EVENT).alias("e"))
     heads = e.where("at = 0").select("path", F.col("e.payload.id").alias("session"), (F.col("e.type") == "session_meta").alias("sound"))
     p, item = F.col("e.payload"), F.col("e.payload.item")
@@ -36,7 +67,10 @@ def events(lines: DataFrame) -> DataFrame:
     user = F.col("shape").isNull() & (F.col("kind") == "UserMessage")
     toggle = F.when(user & F.col("text").rlike(PRIVACY_OFF), True).when(user & F.col("text").rlike(PRIVACY_ON), False)
     before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    told = body.withColumn("toggle", toggle).withColumn("paused", F.coalesce(F.last("toggle", ignorenulls=True).over(before), F.lit(False)))
+    if paused is not None:
+        body = body.join(paused.select("path", F.col("paused").alias("left_paused")), "path", "left")
+    left = F.lit(False) if paused is None else F.coalesce("left_paused", F.lit(False))
+    told = body.withColumn("toggle", toggle).withColumn("paused", F.coalesce(F.last("toggle", ignorenulls=True).over(before), left))
     reason = F.coalesce("shape", F.when(F.col("toggle").isNotNull(), "privacy_switch").when(F.col("paused"), "paused").when(F.col("text").rlike(SECRET), "secret"))
     return told.select("path", "at", "session", "message_id", "kind", "text", reason.alias("reason"))
 

@@ -38,17 +38,25 @@ def test_archive(spark, tmp_path):
     assert {r.status for r in a.store(spark.createDataFrame(writes, schema)).collect()} == {"stored"}
     again = [writes[0], ("k2", "another text", "note | y", None, None)]
     assert sorted((r.key, r.status) for r in a.store(spark.createDataFrame(again, schema)).collect()) == [("k1", "replay"), ("k2", "conflict")]
-    old = Archive(spark, str(tmp_path))
+    before = a.table("memories")
     messages = [(f"m{i}", f"turn {i}", "excerpt", "T", None, "me", c, i, "added") for c in ("c1",) for i in range(5)] + [("z", "other", "excerpt", "T", None, "you", "c1", 2, "added"), ("m1", "turn 1", "excerpt", "T", None, "me", "c1", 1, "reused")]
     a.import_messages(spark.createDataFrame(messages, "memory_id string, text string, kind string, title string, source_date string, account_id string, conversation_id string, source_order long, action string"))
-    assert (old.table("memories").count(), Archive(spark, str(tmp_path)).table("memories").count()) == (2, 8)
+    assert (before.count(), Archive(spark, str(tmp_path)).table("memories").count()) == (2, 8)
+    a.import_messages(spark.createDataFrame(messages, "memory_id string, text string, kind string, title string, source_date string, account_id string, conversation_id string, source_order long, action string"))
+    assert a.table("memories").count() == 8
     hit = a.search("quick foxes").first()
-    assert hit.title == "Foxes" and hit.preview.startswith("The quick brown fox")
+    assert hit.title == "Foxes" and hit.preview.startswith("The quick brown fox") and (hit.source_kind, hit.matches, hit.chats) == ("saved_note", 1, 0)
+    assert a.search("quick foxes", budget=5).count() == 0
+    row = a.map(hit.id).first()
+    assert (row.start, row.first_line, row.label, row.total_blocks) == (0, 1, "Text", 1) and row.block_id.startswith("b")
     row = a.get(hit.id, 4, 9).first()
     assert (row.body, row.status) == ("quick", "ok") and a.get(hit.id, revision="0").first().status == "stale_revision" and a.get("none").count() == 0
     assert a.peek(hit.id, 10, 6, 5).first().body == "quick brown"
     assert [r.id for r in a.timeline("m2", 1, 2).collect()] == ["m1", "m2", "m3", "m4"]
     first = [r.id for r in a.list(limit=5).collect()]
+    assert len(a.list(limit=5, membership=a.membership()).collect()) == 5
+    with pytest.raises(ValueError):
+        a.list(limit=5, membership="0:0:0")
     assert len(first + [r.id for r in a.list(first[-1], 5).collect()]) == 8
     assert {r.check: r.n for r in a.health().collect()} == {"repeated_ids": 0, "receipts_without_record": 0, "labels_without_record": 0}
     assert [(r.label, r.n) for r in a.brief({"animals": ["fox", "hound"]}, "animals").collect()] == [("tested_as_reported", 1), ("unknown", 1)]

@@ -94,3 +94,45 @@ def test_queue_and_versions(spark):
     assert transcripts.acknowledge(queue, ready).count() == 3
     v = transcripts.versions(spark.createDataFrame([("in/plan/v2/a",), ("in/plan/v10/a",), ("in/plan/v2/b",), ("in/other/x",)], "path string")).collect()
     assert [(r.name, r.versions, r.latest) for r in v] == [("plan", [2, 10], 10)]
+
+
+def test_new_lines_of_growing_files(spark, tmp_path):
+    none = spark.createDataFrame([], "path string, offset long, header_sha string, edge_sha string")
+    file = tmp_path / "s.jsonl"
+    put = lambda text: file.write_bytes(text.encode())
+
+    def run(known, **more):
+        lines, places = transcripts.new_lines(spark, str(tmp_path), known, **more)
+        places = spark.createDataFrame(places.collect(), places.schema)
+        return sorted((r.at, r.line) for r in lines.collect()), places
+
+    put("héad\none\ntw")
+    got, places = run(none)
+    assert got == [(0, "héad"), (6, "one")] and places.first().offset == 10
+    put("héad\none\ntwö\nthree\n")
+    got, places = run(places)
+    assert got == [(0, "héad"), (10, "twö"), (15, "three")] and (places.first().offset, places.first().restarted) == (21, False)
+    assert run(places)[0] == [(0, "héad")]
+    put("héad\none\nTWO!\nthree\n")
+    got, again = run(places)
+    assert len(got) == 4 and again.first().restarted
+    assert run(none, max_bytes=12)[0] == [(0, "héad"), (6, "one")]
+
+
+def test_packets_are_halved(spark):
+    kind = f"packet_key string, packet struct<kind:string,messages:array<{packets.MESSAGE}>>"
+    many = lambda n, size: ("note", [("x" * size, None, None, i, None, None) for i in range(n)])
+    out = packets.halved(spark.createDataFrame([("a", many(5, 10)), ("b", many(7, 100)), ("c", many(2, 900))], kind), 400).collect()
+    orders = lambda k: [m.source_order for r in sorted(out, key=lambda r: r.part) if r.packet_key == k for m in r.packet.messages]
+    assert orders("a") == list(range(5)) and orders("b") == list(range(7)) and orders("c") == [0, 1]
+    assert {r.packet_key for r in out if r.oversize} == {"c"} and len([r for r in out if r.packet_key == "a"]) == 1
+
+
+def test_images_by_content(spark, tmp_path):
+    for name, body in {"a/x.png": b"1", "b/y.PNG": b"1", "b/z.jpg": b"2", "b/.h.png": b"3", "b/e.gif": b"", "b/t.txt": b"4"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    got = sorted((r.path.rsplit("/", 2)[-2:], r.folders, r.copies) for r in packets.images(spark, str(tmp_path)).collect())
+    assert got == [(["a", "x.png"], ["a", "b"], 2), (["b", "z.jpg"], ["b"], 1)]
+    known = spark.createDataFrame([(hashlib.sha256(b"2").hexdigest(),)], "sha256 string")
+    assert packets.images(spark, str(tmp_path), known).count() == 1
