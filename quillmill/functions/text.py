@@ -81,6 +81,18 @@ def bounded(text: Column, size: int) -> Column:
     return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size - 1), F.lit("…"))).otherwise(text)
 
 
+def token_bound(value: Column) -> Column:
+    """What no tokenizer of bytes goes over: the UTF-8 bytes of a struct's or array's JSON, the longer of its two layouts."""
+    return F.greatest(F.octet_length(F.to_json(value)), F.octet_length(F.to_json(value, {"pretty": "true"})))
+
+
+def short_text(text: Column, tokens: int = 12, characters: int = 64) -> Column:
+    """The longest beginning, of at most so many characters, whose JSON has no more bytes than tokens; one character at least."""
+    size = lambda i: F.octet_length(F.to_json(F.array(F.substring(text, F.lit(1), i)))) - 2
+    fit = F.filter(F.sequence(F.lit(1), F.lit(characters)), lambda i: (i <= F.length(text)) & (size(i) <= tokens))
+    return F.coalesce(F.substring(text, F.lit(1), F.coalesce(F.array_max(fit), F.lit(1))), F.lit(""))
+
+
 def excerpt(text: Column, pattern: str, size: int = 600, before: int = 200) -> Column:
     """About `size` code points from `before` ahead of the first match, ellipses where text is left out."""
     at = F.greatest(F.lit(1), F.coalesce(F.nullif(F.regexp_instr(text, F.lit(pattern)), F.lit(0)), F.lit(1)) - before)

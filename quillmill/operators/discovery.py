@@ -101,6 +101,17 @@ def within_budget(df: DataFrame, keys: list[str], order: list[Column], size: Col
     return df.withColumn("used", run.cast("long")).where(F.col("used") <= cap)
 
 
+def admitted(requests: DataFrame, ledger: DataFrame, capacity: int) -> DataFrame:
+    """Requests (lookup_id, seq, cost) that a lookup's capacity still covers, in the order of seq, with what is `used` then.
+
+    The ledger has rows (lookup_id, cost) of what was served before; a lookup stops at the first request that goes over.
+    """
+    before = ledger.groupBy("lookup_id").agg(F.sum("cost").alias("__before"))
+    run = F.sum("cost").over(Window.partitionBy("lookup_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    rows = requests.join(before, "lookup_id", "left").withColumn("used", (run + F.coalesce("__before", F.lit(0))).cast("long"))
+    return rows.where(F.col("used") <= capacity).drop("__before")
+
+
 def evenly_spaced(items: Column, n: int) -> Column:
     """n elements from first to last at even steps, all of a shorter array."""
     size = F.size(items)

@@ -77,11 +77,12 @@ def discovery_order(spark, d):
     return D.discovery_order(hits).select("doc_id", "place")
 
 
-@query("""SELECT doc_id, sha256(text) <> sha256(substr(text, 1, 500)) AS stale, contains(text, substr(text, 20, 30)) AS quoted FROM documents""")
+@query("""SELECT page_id, d.doc_id IS NULL AS missing, coalesce(contains(d.text, regexp_extract(html, '<title>(.*?)</title>', 1)), false) AS quoted FROM pages LEFT JOIN documents d ON d.doc_id = TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT)""")
 def derived_validity(spark, d):
-    """Whether a derived row's fingerprint is out of date, and whether its quote still stands in the source."""
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", (X.revision(t) != X.revision(F.substring(t, 1, 500))).alias("stale"), F.contains(t, F.substring(t, 20, 30)).alias("quoted"))
+    """Whether a derived row's source is there, and whether its quote (here a page's title) still stands in it."""
+    pages = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "/([0-9]+)", 1).try_cast("bigint").alias("of"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("quote"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return pages.join(docs, F.col("of") == F.col("doc_id"), "left").select("page_id", F.col("doc_id").isNull().alias("missing"), F.coalesce(F.contains("text", "quote"), F.lit(False)).alias("quoted"))
 
 
 @query("""SELECT user_id, strftime(max(ts), '%Y-%m-%d') AS last_opened FROM events WHERE event_type = 'view' GROUP BY user_id ORDER BY max(ts) DESC, user_id LIMIT 256""")

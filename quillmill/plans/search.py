@@ -191,3 +191,9 @@ def grouped_search(spark, d):
     kind = F.when(F.col("source") == "src0", "note").when(F.col("source") == "src1", "excerpt")
     docs = table(spark, d, "documents").select("doc_id", "text", F.substring("text", 1, 80).alias("title"), "source", kind.alias("kind"), F.when(kind == "excerpt", F.col("lang")).alias("conversation_id"))
     return answers.search(docs, QUERY, 20, "doc_id").select("doc_id", "source_kind", "place", "matches", "chats")
+
+
+@query("SELECT doc_id, substr(text, 1, coalesce(list_max(list_filter(range(1, 65), lambda i: i <= length(text) AND strlen(CAST(to_json(substr(text, 1, i)) AS VARCHAR)) <= 40)), 1)) AS short FROM documents")
+def short_texts(spark, d):
+    """Beginnings that surely fit into so many tokens."""
+    return table(spark, d, "documents").select("doc_id", X.short_text(F.col("text"), 40).alias("short"))

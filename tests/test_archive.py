@@ -30,6 +30,18 @@ def test_previews_and_windows():
     assert lines[slice(*P.best_passage(lines, "adopting a measure"))] == "three adopted measures" and P.best_passage(lines, "zebra") is None
 
 
+def test_places_to_read():
+    text = "# Pump plan\nDate: today\nshort\nThe pump was taken apart on Monday and its seal replaced.\nStatus: pump works again\n\nDid the pump work? Nobody knew. The pump test failed twice, then passed.\nsee pump_v2.cfg for it"
+    read = lambda q, **more: text[slice(*P.select_passage(text, q, **more))]
+    assert read("pump plan") == "Status:" and text[slice(*P.content_anchor(text, 2, 6))] == "Status:"
+    cut = text.replace("Status: ", "")
+    assert cut[slice(*P.content_anchor(cut, 2, 6))] == "The" and P.content_anchor(cut, 30, 34) == (30, 34)
+    assert read('open "pump_v2.cfg" pump') == "pump_v2.cfg"
+    at = text.index("Did the pump")
+    assert read("what happened in the pump test?", chunk=(at, at + 75)) == "The pump test failed twice, then passed."
+    assert read("zebra") == "Status:" and P.select_passage("plain", "zebra") == (0, 0)
+
+
 def test_archive(spark, tmp_path):
     a = Archive(spark, str(tmp_path))
     assert a.status().first().total == 0 and a.search("fox").count() == 0

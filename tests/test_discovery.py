@@ -56,3 +56,9 @@ def test_documents_are_verified(spark):
     assert ask("what does Mill plan v2 say") == [("n0", "ok")]
     assert ask("open Mill plan v9") == [(None, "version_not_found")]
     assert ask("Mill plan v3") == ask("compare Mill plan v2 and v3") == ask("mill") == []
+
+
+def test_ledger(spark):
+    requests = spark.createDataFrame([("a", i, 40) for i in range(4)] + [("b", 0, 500), ("c", 0, 10)], "lookup_id string, seq int, cost long")
+    ledger = spark.createDataFrame([("a", 10), ("a", 5), ("c", 95)], "lookup_id string, cost long")
+    assert sorted((r.lookup_id, r.seq, r.used) for r in D.admitted(requests, ledger, 100).collect()) == [("a", 0, 55), ("a", 1, 95)]
