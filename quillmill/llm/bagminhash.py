@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_lists, cut_lineage, in_steps, map_rows
+from .common import as_lists, cut_lineage, in_steps, map_rows, stored
 from .graph import connected_components, forest
 from .tokens import Words, mix, window_hash
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 TILE_SHINGLES, TILE_ROWS = 150_000, 400
+#: Partners of one text that are compared in one place.
+PARTNERS = 256
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -106,9 +108,15 @@ def _signed(df: DataFrame) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose multisets of shingles have a weighted Jaccard similarity of THRESHOLD or more."""
-    a, b = (docs.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+    """The pairs (a, b) whose multisets of shingles have a weighted Jaccard similarity of THRESHOLD or more.
+
+    A text `a` with many partners is copied once for every `PARTNERS` of them, so that its pairs go to several tasks.
+    """
+    often = stored(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > PARTNERS).select(F.col("a").alias("hot"), F.ceil(F.col("n") / PARTNERS).cast("int").alias("salts")))
+    dealt = pairs.join(often, F.col("a") == F.col("hot"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    kept = stored(docs.select("id", "text"))
+    copies = kept.join(often, F.col("id") == F.col("hot"), "left").select(F.col("id").alias("a"), F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    joined = dealt.join(copies, ["a", "salt"]).join(kept.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def each(batch: pa.RecordBatch):
         n = batch.num_rows
