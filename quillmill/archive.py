@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -113,6 +115,27 @@ class Archive:
         order = F.array_position(F.array(*map(F.lit, discovery.LABEL_ORDER)), F.col("label"))
         return named.groupBy(label.alias("label")).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("id")), 1, 24).alias("ids")).orderBy(order)
 
+    def project_brief(self, projects: dict[str, list[str]], project: str, facts: DataFrame | None = None, cited: DataFrame | None = None) -> DataFrame:
+        """(section, label, n, ids) of a project: coverage by state, claims by label, conflicts between facts.
+
+        Facts are rows (id, subject, value); a subject with more than one value is a conflict. `cited` has rows (id, revision)
+        on which an earlier brief rests: if any text is another by now, the answer is the section `stale` alone.
+        """
+        mine = self.table("memories").withColumn("project", records.project_of(F.concat_ws(" ", "title", "source", "text"), projects)).where(F.col("project") == project)
+        some = lambda x: F.slice(F.array_sort(F.collect_set(x)), 1, 24)
+        state = F.coalesce("state", F.lit("open"))
+        parts = [mine.join(self.table("labels"), "id", "left").groupBy(state.alias("label")).agg(F.count("*").alias("n"), some("id").alias("ids")).select(F.lit("coverage").alias("section"), "label", "n", "ids")]
+        parts.append(self.brief(projects, project).select(F.lit("claim").alias("section"), "label", "n", "ids"))
+        if facts is not None:
+            found = relational.conflicts(facts.join(mine.select("id"), "id", "left_semi"), ["subject"], "value", "id")
+            parts.append(found.select(F.lit("conflict").alias("section"), F.col("subject").alias("label"), F.col("n_values").alias("n"), F.slice("members", 1, 24).alias("ids")))
+        answer = functools.reduce(DataFrame.unionByName, parts)
+        if cited is None:
+            return answer
+        now = self.table("memories").select("id", X.revision(F.col("text")).alias("now"))
+        stale = cited.join(now, "id", "left").where(~F.col("now").eqNullSafe(F.col("revision"))).agg(F.count("*").alias("n"), some("id").alias("ids")).where("n > 0").select(F.lit("stale").alias("section"), F.lit("changed").alias("label"), "n", "ids")
+        return answer if stale.isEmpty() else stale
+
     def status(self) -> DataFrame:
         """Records in all, labelled, held, and the percentage done."""
         rows = self.table("memories").join(self.table("labels"), "id", "left")

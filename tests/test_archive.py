@@ -72,3 +72,9 @@ def test_archive(spark, tmp_path):
     assert len(first + [r.id for r in a.list(first[-1], 5).collect()]) == 8
     assert {r.check: r.n for r in a.health().collect()} == {"repeated_ids": 0, "receipts_without_record": 0, "labels_without_record": 0}
     assert [(r.label, r.n) for r in a.brief({"animals": ["fox", "hound"]}, "animals").collect()] == [("tested_as_reported", 1), ("unknown", 1)]
+    facts = spark.createDataFrame([(hit.id, "Colour", "brown"), (hit.id, "colour", "Brown"), ("none", "colour", "red")] + [(r.id, "colour", "grey") for r in a.table("memories").where("text like '%hound%'").collect()], "id string, subject string, value string")
+    projects = {"animals": ["fox", "hound"]}
+    found = {(r.section, r.label): (r.n, len(r.ids)) for r in a.project_brief(projects, "animals", facts).collect()}
+    assert found == {("coverage", "open"): (2, 2), ("claim", "tested_as_reported"): (1, 1), ("claim", "unknown"): (1, 1), ("conflict", "colour"): (2, 2)}
+    cite = lambda revision: [r.section for r in a.project_brief(projects, "animals", cited=spark.createDataFrame([(hit.id, revision)], "id string, revision string")).collect()]
+    assert cite("0" * 64) == ["stale"] and cite(a.get(hit.id).first().revision) == ["coverage", "claim", "claim"]
