@@ -113,7 +113,7 @@ def tiered(df: DataFrame, query: str, limit: int, id_col: str = "doc_id", text_c
 
 
 class Postings:
-    """A table (bucket, term, id, tf, dl) under one folder, in buckets of the terms' hashes, and one of the totals."""
+    """A table (bucket, term, row, id, tf, dl) under one folder, in buckets of the terms' hashes, and one of the totals."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -126,7 +126,7 @@ class Postings:
         seen = Observation()
         sized = split.select(F.monotonically_increasing_id().alias("row"), "id", F.size("t").cast("long").alias("dl"), "t").observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
         each = sized.select("row", "id", "dl", F.explode("t").alias("term")).groupBy("row", "id", "dl", "term").agg(F.count("*").alias("tf"))
-        rows = each.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), "term", "id", "tf", "dl")
+        rows = each.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), "term", "row", "id", "tf", "dl")
         rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{own.path}/terms")
         df.sparkSession.createDataFrame([(int(seen.get["n"]), int(seen.get["words"]))], "n long, words long").write.parquet(f"{own.path}/totals")
         return own
@@ -142,5 +142,5 @@ class Postings:
         for w in terms:
             n = df_of.get(w, 0)
             value = F.when(F.col("term") == w, _score(F.col("tf"), F.col("dl"), max(math.log((totals.n - n + 0.5) / (n + 0.5)), LEAST_IDF), totals.words / max(1, totals.n))).otherwise(value)
-        by_row = rows.select("id", "term", value.alias("part")).groupBy("id").agg(F.sum("part").alias("s"), F.count("*").alias("k"))
+        by_row = rows.select("row", "id", value.alias("part")).groupBy("row", "id").agg(F.sum("part").alias("s"), F.count("*").alias("k"))
         return by_row.select(F.col("id").alias(id_col), F.round("s", 6).alias("score"), (F.col("k") == len(terms)).alias("whole"))

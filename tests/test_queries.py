@@ -65,6 +65,20 @@ def test_search_cases(spark):
     assert [(r.doc_id, r.tier) for r in lexical.tiered(docs, "quick brown fox", 10).collect()] == [(1, 1), (2, 3)]
 
 
+def test_postings_give_the_same_scores(spark, tmp_path):
+    rows = [(1, "the quick brown fox"), (2, "quick quick fox"), (2, "quick quick fox"), (3, None), (4, ""), (5, "Füchse QUICK, über-brown"), (6, "slow")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    p = lexical.Postings.build(docs, f"{tmp_path}/p")
+    for query in ("quick brown", "fuchse slow", "the of", "nowhere"):
+        assert sorted(map(tuple, p.scored(query).collect())) == sorted(map(tuple, lexical.scored(docs, query).collect()))
+    assert len(p.scored("quick").collect()) == 4
+
+
+def test_search_of_titles_and_ids(spark):
+    docs = spark.createDataFrame([("a", "mill wheel of the river", "x"), ("b", "the mill", "Mill"), ("mill", "nothing", "y"), ("c", "mill mill mill", "z")], "id string, text string, title string")
+    assert [r.id for r in lexical.tiered(docs, "mill", 9, "id", "text", "title").collect()][:2] == ["mill", "b"]
+
+
 def test_cosine_cases(spark):
     rows = spark.createDataFrame([("opposite", [-1.0, 0.0]), ("side", [0.0, 2.0]), ("first", [10.0, 0.0]), ("second", [1.0, 0.0]), ("zero", [0.0, 0.0])], "vec_id string, embedding array<double>")
     assert [(r.vec_id, r.score) for r in vector.top_k(rows, [2.0, 0.0], 3).collect()] == [("first", 1.0), ("second", 1.0), ("side", 0.0)]
