@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, decontam, embed_dedup, html_extract, langid, license_scan, line_dedup, packing, pii, sharding
+from . import bagminhash, bpe, decontam, embed_dedup, html_extract, langid, license_scan, line_dedup, packing, pii, sharding, spelling
 from .common import read, spread
 
 
@@ -64,6 +64,10 @@ def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spread(read(spark, sf_dir, "documents")), tokenizer_path())
 
 
+def op13_reduced_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(spread(read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
