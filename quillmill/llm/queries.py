@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, decontam, embed_dedup, html_extract, langid, license_scan, line_dedup, packing, pii, sharding, spelling
+from . import bagminhash, bpe, conversations, decontam, embed_dedup, html_extract, langid, license_scan, line_dedup, packing, pii, sharding, spelling
 from .common import read, spread
 
 
@@ -60,6 +60,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(spread(read(spark, sf_dir, "documents")), tokenizer_path())
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(read(spark, sf_dir, "conversations"), damage=True)
+
+
 def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spread(read(spark, sf_dir, "documents")), tokenizer_path())
 
