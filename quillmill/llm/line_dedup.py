@@ -8,8 +8,8 @@ share 2^k lines.
 
 From these ranks each suffix gets the length of the longest prefix that it shares with an earlier suffix: the levels are
 walked down from the deepest, and at each the members of a longest-common-prefix interval are split by the rank of what
-follows. All but the earliest of a part move on into it, as their prefix has an earlier copy; the earliest stays and stands
-for its part at the levels below. That prefix, if it has `min_words` words at least, is a later copy of a repeated run; the
+follows, the interval's earliest suffix among them. All but the earliest of a part move on into it, as their prefix has an
+earlier copy; the earliest stays and stands for its part at the levels below. That prefix, if it has `min_words` words at least, is a later copy of a repeated run; the
 union of all such prefixes is deleted.
 """
 
@@ -129,20 +129,26 @@ def prefix_levels(placed: DataFrame) -> list[DataFrame]:
 def earlier_prefixes(levels: list[DataFrame]) -> DataFrame:
     """(p, length): lines of the longest prefix of suffix p that an earlier suffix has too; none where there is no such line."""
     state = None
+    nowhere = F.lit(-1).cast("long")
     for k in reversed(range(len(levels))):
         level = levels[k]
         if state is None:
-            keyed = level.select("p", "run", F.lit(0).cast("long").alias("length"), F.lit(-1).cast("long").alias("first"), "rank")
+            keyed = level.select("p", "run", F.lit(0).cast("long").alias("length"), nowhere.alias("first"), nowhere.alias("home"), "rank")
+            parts = keyed
         else:
-            known = level.select("p", "run").join(state, "p", "left").select("p", "run", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("first", F.lit(-1)).alias("first"))
+            known = level.select("p", "run").join(state, "p", "left").select("p", "run", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("first", nowhere).alias("first"), F.coalesce("home", nowhere).alias("home"))
             ahead = level.select(F.col("p").alias("q"), F.col("run").alias("of"), "rank")
-            keyed = stored(known.join(ahead, (F.col("p") + F.col("length") == F.col("q")) & (F.col("run") == F.col("of")), "left").select("p", "run", "length", "first", "rank"))
+            keyed = stored(known.join(ahead, (F.col("p") + F.col("length") == F.col("q")) & (F.col("run") == F.col("of")), "left").select("p", "run", "length", "first", "home", "rank").where("rank is not null or length > 0"))
+            # the earliest suffix of an interval has a state of its own, and takes part here as well
+            anchors = keyed.where("first >= 0").select(F.col("first").alias("p"), F.col("home").alias("run"), "length", "first", "home").distinct()
+            anchored = anchors.join(ahead, (F.col("p") + F.col("length") == F.col("q")) & (F.col("run") == F.col("of"))).select(*keyed.columns)
+            parts = keyed.where("rank is not null").union(anchored)
         interval = ["first", "length", "rank"]
-        parts = stored(keyed.where("rank is not null").groupBy(*interval).agg(F.min("p").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
+        parts = stored(parts.groupBy(*interval).agg(F.min(F.struct("p", "run")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
         on = keyed.join(parts, interval, "left")
-        later = F.col("least").isNotNull() & (F.col("least") < F.col("p"))
-        state = stored(on.select("p", (F.col("length") + F.when(later, 1 << k).otherwise(0)).alias("length"), F.when(later, F.col("least")).otherwise(F.col("first")).alias("first")))
-    return state.where("length > 0").select("p", "length")
+        later = F.coalesce(F.col("least.p") < F.col("p"), F.lit(False))
+        state = stored(on.select("p", (F.col("length") + F.when(later, 1 << k).otherwise(0)).alias("length"), F.when(later, F.col("least.p")).otherwise(F.col("first")).alias("first"), F.when(later, F.col("least.run")).otherwise(F.col("home")).alias("home")).where("length > 0"))
+    return state.select("p", "length")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -114,6 +114,21 @@ def test_line_dedup(spark, words):
     assert line_dedup.dedup_lines(docs_frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("least", [1, 33, 90])
+def test_runs_with_two_copies_only(spark, least):
+    """Runs of every length up to 40 lines, each in two documents alone, and pairs whose shared start another pair shares in part."""
+    rows = []
+    for n in range(1, 41):
+        run = [f"line {n} {k} of three" for k in range(n)]
+        rows += [(10 * n, "\n".join(["own a", *run, f"end {n}"])), (10 * n + 1, "\n".join([*run, f"other {n}"]))]
+    for n in (3, 6, 11, 23):  # the earliest suffix of one interval is a later one of another
+        run = [f"nested {n} {k} x y" for k in range(n)]
+        rows += [(5000 + 10 * n + i, "\n".join([*run[:m], f"{i} {n} tail"])) for i, m in enumerate((n // 3, n // 2, n, n - 1, n, n // 2 + 1))]
+    want = line_windows(rows, least)
+    found = {r.doc_id: set(r.removed) for r in line_dedup.dedup_lines(docs_frame(spark, rows), min_words=least).collect()}
+    assert found == {d: want.get(d, set()) for d, _ in rows} and sum(map(len, want.values())) > 300
+
+
 def test_line_dedup_of_single_lines_and_taken_names(spark):
     rows = [(1, "a b\nc\na b\n--\nd", 7, "x"), (2, "c\n\nd e\na b\nc", 8, "y"), (3, "q\n" * 300, 9, "z")]
     got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_removed long, __tk string"), min_words=1).collect()}
