@@ -6,6 +6,11 @@ mostly links. The page votes for the generalised tag-class path of the result; S
 every page is extracted again from the elements on its host's winning path. A page without such elements, or where they hold
 less than half of what its own best container holds, falls back on that; pages without a host do not vote and do the same.
 
+Scripts, navigation, footers and controls go whatever they hold. A class or id with a word such as `sidebar`, or a form, only
+suggests that an element is not the article: it stays if it holds the `main` or h1 and a fifth of the page's text outside
+links. A form also stays if it holds half of that text, and so does an element with such a word, unless it speaks of reader
+comments, on a page with neither `main` nor h1. Words of a layout, such as `has-sidebar`, suggest nothing.
+
 No step recurses and none is more than linear in the page, however deep it is nested.
 """
 
@@ -24,12 +29,14 @@ from .common import cut_lineage, map_rows
 # Element names of HTML and the words by which sites name what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object select xmp".split())
-DROPPED = frozenset("nav footer aside form button dialog menu header head".split()) | RAW
+DROPPED = frozenset("nav footer aside button dialog menu header head".split()) | RAW
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article body center div main section table tbody td tr".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 SCOPES = frozenset("article aside body div dl form header footer html main nav ol section table td ul".split())
-UNWANTED = re.compile(r"(?:^|[-_ ])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|side-?bar\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|pagination|pager|masthead|site-?header|page-?header|footer\w*|cookies?\w*|consent|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|sign-?up|login|share|sharing|social\w*|related\w*|recommend\w*|comments?|comment-?list|respond|disqus\w*|widget\w*|skip-?link|toolbar|tags?-?list|author-?box)(?:$|[-_ ])", re.I)
+UNWANTED = re.compile(r"(?:^|[-_ ])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|side-?bar\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|pagination|pager|masthead|site-?header|page-?header|footer\w*|cookies?\w*|consent|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|sign-?up|login|share|sharing|social\w*|related\w*|recommend\w*|widget\w*|skip-?link|toolbar|tags?-?list|author-?box)(?:$|[-_ ])", re.I)
+COMMENTS = re.compile(r"(?:^|[-_ ])(?:comments?|comment-?list|respond|disqus\w*)(?:$|[-_ ])", re.I)
+LAYOUT = re.compile(r"(?<!\S)(?:(?:has|with|without|no|hide|show|is)[-_]\S*|\S*[-_](?:enabled|disabled|open|closed|active|visible|hidden|left|right|layout|page))(?!\S)", re.I)
 WANTED = re.compile(r"article|content|entry|main|post|story|text|body", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
@@ -48,6 +55,7 @@ class Node:
     up: Node | None  # nearest container above
     key: int  # hash of the path
     dropped: bool
+    unlikely: int  # what suggests that it is not the article: 1 its tag, 2 its names, 3 names of comments
     article: bool  # is or stands in an article or main
     score: float = 0.0
     own: int = 0  # characters of text directly in it
@@ -55,6 +63,8 @@ class Node:
     linked: int = 0
     total: int = 0  # characters below it that are not dropped, and those of them in links
     total_linked: int = 0
+    mass: int = 0  # characters below it outside links and of what is dropped by its tag
+    holds: bool = False  # whether a main or h1 stands below
     blocks: bool = False  # whether a block stands below
     heading: bool = False  # whether an h1 stands below
     parts: list = field(default_factory=list)  # strings and Nodes in page order
@@ -95,7 +105,7 @@ class _Open:
 
 def parse(source: str) -> list[Node]:
     """The nodes of the page in page order, the first being the page itself; tags that are never closed end where HTML ends them."""
-    root = Node("", "", "", None, None, 0, False, False)
+    root = Node("", "", "", None, None, 0, False, 0, False)
     nodes, at, opened = [root], 0, _Open(root)
     while True:
         m = _TOKEN.search(source, at)
@@ -106,6 +116,7 @@ def parse(source: str) -> list[Node]:
             top.parts.append(text)
             top.own += len(text.strip())
         if not m:
+            _drop(nodes)
             return nodes
         at = m.end()
         closing, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
@@ -125,8 +136,11 @@ def parse(source: str) -> list[Node]:
             kind = re.sub(r"\d+", "#", re.sub(r"[^\w-]", "_", _first_class(rest))) if rest else ""
             step = f"{tag}.{kind}" if kind else tag
         own = tag in ("article", "main")
-        dropped = tag in DROPPED and not (tag == "header" and parent.article) or bool(names and not own and tag not in ("body", "html") and UNWANTED.search(names))
-        node = Node(tag, names, step, parent, parent if parent.tag in CONTAINERS else parent.up, hash((parent.key, step)) if step else parent.key, parent.dropped or dropped, parent.article or own)
+        dropped = tag in DROPPED and not (tag == "header" and parent.article)
+        unlikely = int(tag == "form")
+        if names and not own and tag not in ("body", "html") and (said := LAYOUT.sub("", names)):
+            unlikely = 3 if COMMENTS.search(said) else 2 if UNWANTED.search(said) else unlikely
+        node = Node(tag, names, step, parent, parent if parent.tag in CONTAINERS else parent.up, hash((parent.key, step)) if step else parent.key, dropped, unlikely, parent.article or own)
         parent.parts.append(node)
         nodes.append(node)
         if tag in VOID or rest.rstrip().endswith("/") and tag not in BLOCKS:
@@ -138,6 +152,20 @@ def parse(source: str) -> list[Node]:
         opened.push(node)
 
 
+def _drop(nodes: list[Node]) -> None:
+    """Settle what is dropped, once it is known what each element holds; all below goes with it."""
+    for node in reversed(nodes):
+        if (above := node.parent) is not None and not node.dropped:
+            if node.tag != "a":
+                above.mass += node.mass + node.own
+            above.holds |= node.holds or node.tag in ("main", "h1")
+    page = nodes[0].mass + nodes[0].own
+    for node in nodes[1:]:
+        mass = node.mass + node.own
+        wrapper = 5 * mass >= page and node.holds or 2 * mass >= page and (node.unlikely == 1 or node.unlikely == 2 and not nodes[0].holds)
+        node.dropped |= node.parent.dropped or bool(node.unlikely) and not (mass and wrapper)
+
+
 def _first_class(rest: str) -> str:
     for name, a, b, c in _NAMES.findall(rest):
         if name.lower() == "class":

@@ -361,6 +361,10 @@ LAYOUTS = {
     "heading beside the content": "<div class='wrap'><h1>{h}</h1><div class='content'><p>{0}</p><p>{1}</p><p>{2}</p></div></div>",
     "table of a page": "<table><tr><td><h1>{h}</h1><p>{0}</p><p>{1}</p><p>{2}</p></td></tr></table>",
     "nested sections": "<article><h1>{h}</h1><section><p>{0}</p></section><section><div class='text'><p>{1}</p></div><div class='text'><p>{2}</p></div></section></article>",
+    **{f"wrapper: {tag} {names}": f"<{tag} {names}><article><h1>{{h}}</h1><p>{{0}}</p><p>{{1}}</p><p>{{2}}</p></article></{tag}>" for tag, names in (("div", "class='layout has-sidebar'"), ("div", "class='content with-sidebar'"), ("form", "id='aspnetForm' method=post"), ("div", "class='post no-comments'"), ("div", "class='single-post social-share-enabled'"), ("div", "class='page-banner-layout banner'"), ("div", "id=modal-root class=modal"))},
+    "wrapper without an article": "<div class='sidebar-right widget'><h1>{h}</h1><div class='content'><p>{0}</p><p>{1}</p><p>{2}</p></div></div>",
+    "form with controls": "<form><div class='text'><h1>{h}</h1><p>{0}</p><p>{1}</p><p>{2}</p></div><input name=q><button>Send it</button><select><option>One</option></select></form>",
+    "title of the site in a banner": "<div class='site-header'><h2>The paper</h2></div><article><h1>{h}</h1><p>{0}</p><p>{1}</p><p>{2}</p></article><div class='related-posts'><article><p>Another story</p></article></div>",
     "breaks and no paragraphs": "<div class='story'><h1>{h}</h1>{0}<br>{1}<br><br>{2}</div>",
 }
 AROUND = "<nav><a href=/>Home</a> <a href=/a>About us</a></nav><div class='sidebar'><p>Read also this and that and many other things.</p></div>{}<div class='comments'><p>What a fine story, I read it twice, thank you all so much for it.</p></div><footer>All about the paper</footer>"
@@ -368,6 +372,10 @@ AROUND = "<nav><a href=/>Home</a> <a href=/a>About us</a></nav><div class='sideb
 
 @pytest.mark.parametrize("layout", LAYOUTS)
 def test_html_layouts(spark, layout):
+    """The same exact text around a few words of comments and around three times as many as the article has."""
+    around = AROUND.replace("What a fine story", "What a fine story, truly, and how well it is told. " * 12)
+    body = LAYOUTS[layout].format(*PROSE, h="Head")
+    assert html_extract.extract(f"<html><body>{around.format(body)}</body></html>", None)[0] == " ".join(["Head", *PROSE])
     pages = [(i, f"http://h.example/{i}", "<html><body>" + AROUND.format(LAYOUTS[layout].format(*(f"{x} {i}" for x in PROSE), h=f"Head {i}")) + "</body></html>") for i in range(3)]
     got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {i: " ".join([f"Head {i}", *(f"{x} {i}" for x in PROSE)]) for i in range(3)}
