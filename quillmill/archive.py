@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .functions import chunking, passages
+from .functions import chunking
 from .functions import text as X
-from .operators import answers, discovery, records, relational
+from .operators import answers, discovery, passages, records, relational
 
 SCHEMAS = {
     "memories": "id string, text string, source string, title string, created_at string, kind string, account_id string, conversation_id string, source_order bigint, saved boolean",

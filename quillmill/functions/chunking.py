@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,22 +73,28 @@ def _units(text: str) -> Iterator[tuple[int, int, int, str, str]]:
 def split_blocks(text: str) -> list[tuple[int, int, str, str, int, int]]:
     """(start, end, kind, label, first line, last line), without gaps: fenced code stays whole, long sections go in windows.
 
-    A window ends after the last line end within `BLOCK_CHARS`; a carriage return and its line feed are never parted.
+    Cuts are looked up in the list of all line ends: a window ends at the last of them within `BLOCK_CHARS`, or there where
+    it has none, but never between a carriage return and its line feed. Lines are numbered by the ends before a place.
     """
+    ends = [b for _, b in _lines(text)]
+
+    def cut(a: int, end: int) -> int:
+        most = a + BLOCK_CHARS
+        if most >= end:
+            return end
+        k = bisect_right(ends, most) - 1
+        if k >= 0 and ends[k] > a:
+            return ends[k]
+        return most - (text[most - 1 : most + 1] == "\r\n")
+
     out = []
-    for begin, end, number, kind, label in _units(text):
-        a = begin
-        while a < end:
-            stop = end if kind == "fenced_code" else min(end, a + BLOCK_CHARS)
-            if stop < end:
-                stop = max((m.end() for m in _NEWLINE.finditer(text, a, stop)), default=stop)
-                if text[stop - 1 : stop + 1] == "\r\n":
-                    stop = stop - 1 if stop - 1 > a else stop + 1
-            ends = [m.end() for m in _NEWLINE.finditer(text[a:stop])]
-            last = number + len(ends) - (ends[-1:] == [stop - a])
-            out.append((a, stop, kind if (a, stop) == (begin, end) else f"{kind}_window", label, number, max(number, last)))
-            number += len(ends)
-            a = stop
+    for begin, end, _, kind, label in _units(text):
+        cuts = [begin, end]
+        if kind != "fenced_code":
+            while cuts[-2] < (at := cut(cuts[-2], end)) < end:
+                cuts.insert(-1, at)
+        windowed = kind if len(cuts) == 2 else f"{kind}_window"
+        out += [(a, b, windowed, label, bisect_right(ends, a) + 1, bisect_left(ends, b) + 1) for a, b in pairwise(cuts)]
     return out
 
 

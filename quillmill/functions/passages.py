@@ -1,4 +1,4 @@
-"""Spans, previews and passages inside one text: small per-row helpers, and the columns that apply them."""
+"""Spans, windows and stems inside one text: small per-row helpers."""
 
 from __future__ import annotations
 
@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 
 from .text import query_plan, words_of
 
-PREVIEW, WINDOW = 240, 240
-_SENTENCE = re.compile(r"[.!?](?=\s)|\n")
+WINDOW = 240
 
 
 def folded(text: str) -> tuple[str, list[int]]:
@@ -42,23 +41,6 @@ def spans(text: str, query: str, most: int = 100) -> list[tuple[int, int]]:
     return found
 
 
-def sentence_preview(text: str, at: int, size: int = PREVIEW) -> str:
-    """The sentence or line around a place; if too long, whole words around it with ellipses."""
-    start = max((m.end() for m in _SENTENCE.finditer(text, 0, at)), default=0)
-    stop = _SENTENCE.search(text, at)
-    end = len(text) if not stop else stop.end()
-    body = text[start:end].strip()
-    if len(body) <= size:
-        return body
-    a = max(start, at - size // 3)
-    b = min(end, a + size - 2)
-    while a > start and not text[a - 1].isspace() and a < at:
-        a += 1
-    while b < end and not text[b].isspace() and b > at + 1:
-        b -= 1
-    return ("…" if a > start else "") + text[a:b].strip() + ("…" if b < end else "")
-
-
 def windows(text: str, size: int = WINDOW) -> list[tuple[int, int]]:
     """Neighbouring lines of a paragraph joined in windows of at most `size` characters; a longer line is one itself."""
     out: list[tuple[int, int]] = []
@@ -84,87 +66,6 @@ def best_passage(text: str, question: str) -> tuple[int, int] | None:
     return (best[2], best[3]) if best and best[0] else None
 
 
-# The lines that say what a section is about, those that are only its particulars, and words of outcomes.
-_STATEMENT = re.compile(r"(?im)^[ \t]*(?:status|summary|purpose|problem|outcome|result)\s*:\s*\S")
-_PARTICULARS = re.compile(r"(?i)(?:requested pickup|prepared (?:for|by)|evidence collected|date\s*:|title\s*:)")
-_ASKS_OUTCOME = re.compile(r"(?i)\b(?:outcome|result|worked|fixed|resolved|confirmed|verified|tested|succeed(?:ed)?|fail(?:ed)?|what happened|root cause|end up|test\b.*\brun|run\b.*\btest)\b")
-_TELLS_OUTCOME = re.compile(r"(?i)\b(?:observed|confirmed|verified|passed|failed|worked|restored|persisted|resolved|unresolved|unknown|untested|unconfirmed|inconclusive|(?:not|never) (?:yet )?(?:established|confirmed|tested|run|fixed|resolved)|(?:status|outcome|result)s?\s*:)")
-_QUESTION = re.compile(r"(?i)\s*(?:how|why|what|when|which|did|does|is|was)\b")
-_LITERAL = re.compile(r"[`\"]([^`\"\n]{1,160})[`\"]|\b(\w+(?:[_.:/\\-]\w+)+)\b")
-_NEAR, _AHEAD, _STATEMENT_SIZE = 160, 1600, 40
-
-
-def content_anchor(text: str, start: int, end: int) -> tuple[int, int]:
-    """A place in a heading moves to what the section says: a line such as `Status: ...`, else its first full sentence."""
-    begin = text.rfind("\n", 0, start) + 1
-    stop = text.find("\n", start)
-    head = text[begin:stop].strip() if stop >= 0 else ""
-    if stop < 0 or len(head) > PREVIEW or not (re.match(r"#{1,6}\s", head) or head.isupper()):
-        return start, end
-    below = text[stop + 1 : stop + _AHEAD]
-    if said := _STATEMENT.search(below):
-        word = re.compile(r"\S+").search(text, stop + 1 + said.start())
-        return word.span()
-    at = stop + 1
-    for line in below.splitlines(keepends=True):
-        body = line.strip()
-        if len(body) >= _STATEMENT_SIZE and not body.isupper() and not body.startswith("#") and not _PARTICULARS.match(body):
-            return re.compile(r"\S+").search(text, at).span()
-        at += len(line)
-    return start, end
-
-
-def select_passage(text: str, query: str, chunk: tuple[int, int] | None = None, record_id: str = "") -> tuple[int, int]:
-    """Where the answer to the query is best read: (start, end) of a place in the text.
-
-    By default the first span of the query's words, moved out of headings. A statement that names a literal goes to the
-    literal. With a chunk that the meaning points to, its sentences compete: for the topic's words, for telling an outcome
-    where one is asked, and against headings and questions.
-    """
-    found = spans(text, query)
-    first = found[0] if found else (chunk[0], chunk[0]) if chunk else (0, 0)
-    default = content_anchor(text, *first)
-    asks, outcome = "?" in query or bool(_QUESTION.match(query)), bool(_ASKS_OUTCOME.search(query))
-    literals = [a or b for a, b in _LITERAL.findall(query)] if not asks else []
-    literal = re.compile(rf"(?i)(?<!\w)(?:{'|'.join(map(re.escape, literals))})(?!\w)") if literals else None
-    if literal:
-        for a, b in found:
-            for m in literal.finditer(text, max(0, a - _NEAR), min(len(text), b + _NEAR + 1)):
-                if m.start() < b and a < m.end():
-                    return default if m.start() <= default[0] < m.end() else m.span()
-    if chunk is None or query.strip() == record_id or (default != first and not asks and not outcome):
-        return default
-    low, high = chunk
-    places = [default, *(content_anchor(text, *pair) for pair in found)]
-    for m in re.finditer(r"(?:\A|(?<=[.!?])\s+|[\r\n]+)[ \t]*(\S+)", text[low:high]):
-        place = (low + m.start(1), low + m.end(1))
-        if place[0] == low and low and not text[low - 1].isspace():  # a chunk may begin within a word
-            word = re.compile(r"\s(\S+)").search(text, place[1], high)
-            if word is None:
-                continue
-            place = word.span(1)
-        places.append(place)
-    topic = {w for w in query_plan(query)[0] if w not in ("happen", "happened", "actually", "ever") and not (outcome and _ASKS_OUTCOME.fullmatch(w))}
-    open_question = sentence_preview(text, default[0]).endswith("?")
-
-    def worth(place: tuple[int, int]) -> tuple[bool, float]:
-        said = sentence_preview(text, place[0])
-        shared = len(topic & set(words_of(said)))
-        value = 3 * shared / max(1, len(topic)) + (low <= place[0] < high)
-        tells = outcome and not said.endswith("?") and _TELLS_OUTCOME.search(said)
-        value += 2 * bool(tells and (shared or not topic or open_question or place == default))
-        if asks:
-            value -= 2 * said.endswith("?") + 3 * (said.startswith("#") or said.isupper() and ":" not in said)
-        return bool(literal and literal.search(said)), value
-
-    best = max(dict.fromkeys(places), key=worth)
-    if best == default:
-        return default
-    said = sentence_preview(text, best[0])
-    at = text.rfind(said, max(0, best[0] - PREVIEW), best[0] + len(said))
-    return (at, at + len(said)) if 0 <= at <= best[0] < at + len(said) else best
-
-
 # The suffixes of the Porter stemmer's second to fourth steps.
 _STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
 _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
@@ -225,8 +126,8 @@ def stem(word: str) -> str:
     return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word
 
 
-def with_passages(hits: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, end, preview, passage) for each hit: its first span with a preview, and its best window; null without one.
+def best_windows(hits: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, start, end, passage) for each hit: its first span, and its best window; null without one.
 
     For the few hits of a search: each text is read by small Python helpers.
     """
@@ -235,11 +136,10 @@ def with_passages(hits: DataFrame, query: str, id_col: str = "doc_id", text_col:
         for pdf in parts:
             rows = []
             for i, text in zip(pdf[id_col], pdf[text_col].fillna(""), strict=True):
-                first = next(iter(spans(text, query, 1)), None)
-                place = select_passage(text, query) if first else None
+                first = next(iter(spans(text, query, 1)), (None, None))
                 best = best_passage(text, query)
-                rows.append({id_col: i, "start": first[0] if first else None, "end": first[1] if first else None, "preview": sentence_preview(text, place[0]) if place else None, "passage": text[best[0] : best[1]] if best else None})
-            yield pd.DataFrame(rows, columns=[id_col, "start", "end", "preview", "passage"]).astype({"start": "Int64", "end": "Int64"})
+                rows.append({id_col: i, "start": first[0], "end": first[1], "passage": text[best[0] : best[1]] if best else None})
+            yield pd.DataFrame(rows, columns=[id_col, "start", "end", "passage"]).astype({"start": "Int64", "end": "Int64"})
 
     kind = hits.schema[id_col].dataType.simpleString()
-    return hits.select(id_col, text_col).mapInPandas(each, f"{id_col} {kind}, start long, end long, preview string, passage string")
+    return hits.select(id_col, text_col).mapInPandas(each, f"{id_col} {kind}, start long, end long, passage string")

@@ -4,6 +4,7 @@ import pytest
 
 from quillmill.archive import Archive
 from quillmill.functions import passages as P
+from quillmill.operators import passages as S
 
 
 @pytest.mark.parametrize(("word", "root"), [("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("relational", "relat"), ("conditional", "condit"), ("formalize", "formal"), ("hopefulness", "hope"), ("adjustment", "adjust"), ("adoption", "adopt"), ("probate", "probat"), ("controlling", "control"), ("sky", "sky"), ("a", "a"), ("größe", "größe")])
@@ -19,27 +20,39 @@ def test_spans_point_into_the_text_as_it_stands():
     assert P.spans("anything", "the of ***") == []
 
 
-def test_previews_and_windows():
-    text = "First one. Here is the needle in a sentence! Last.\n" + "x" * 50
-    assert P.sentence_preview(text, text.index("needle")) == "Here is the needle in a sentence!"
-    long = "word " * 200 + "needle " + "word " * 200
-    seen = P.sentence_preview(long, long.index("needle"))
-    assert "needle" in seen and len(seen) <= P.PREVIEW and seen[0] == seen[-1] == "…"
+def test_windows():
     lines = "one\ntwo\n\nthree adopted measures\n" + "y" * 300
     assert [lines[a:b] for a, b in P.windows(lines)] == ["one\ntwo", "three adopted measures", "y" * 300]
     assert lines[slice(*P.best_passage(lines, "adopting a measure"))] == "three adopted measures" and P.best_passage(lines, "zebra") is None
 
 
-def test_places_to_read():
+def reads(spark, query, *texts, chunk=None):
+    """The preview of each text, whose place must be in the text as it stands; None where there is none."""
+    rows = spark.createDataFrame([(i, t, *(chunk or (None, None))) for i, t in enumerate(texts)], "doc_id long, text string, low long, high long")
+    got = {r.doc_id: r for r in S.select_sentences(rows, query, low="low", high="high").collect()}
+    for i, r in got.items():
+        assert r.preview.strip("…") in texts[i][r.start : r.end]
+    return [got[i].preview if i in got else None for i in range(len(texts))]
+
+
+def test_sentences_and_previews(spark):
+    text = "First one. Here is the needle in a sentence! Last.\n" + "x" * 50
+    long = "word " * 200 + "needle " + "word " * 200
+    own, seen, none, empty, unbroken = reads(spark, "needle", text, long, "🌊 nothing here", "", "é" * 300 + " NEEDLE " + "é" * 300)
+    assert own == "Here is the needle in a sentence!" and none == "🌊 nothing here" and empty is None
+    assert "needle" in seen and len(seen) <= S.PREVIEW and seen[0] == seen[-1] == "…" and set(seen[1:-1].split()) == {"word", "needle"}
+    assert "NEEDLE" in unbroken and len(unbroken) <= S.PREVIEW
+
+
+def test_places_to_read(spark):
     text = "# Pump plan\nDate: today\nshort\nThe pump was taken apart on Monday and its seal replaced.\nStatus: pump works again\n\nDid the pump work? Nobody knew. The pump test failed twice, then passed.\nsee pump_v2.cfg for it"
-    read = lambda q, **more: text[slice(*P.select_passage(text, q, **more))]
-    assert read("pump plan") == "Status:" and text[slice(*P.content_anchor(text, 2, 6))] == "Status:"
     cut = text.replace("Status: ", "")
-    assert cut[slice(*P.content_anchor(cut, 2, 6))] == "The" and P.content_anchor(cut, 30, 34) == (30, 34)
-    assert read('open "pump_v2.cfg" pump') == "pump_v2.cfg"
+    assert reads(spark, "pump plan", text, cut) == ["Status: pump works again", "The pump was taken apart on Monday and its seal replaced."]
+    assert reads(spark, 'open "pump_v2.cfg" pump', text) == ["see pump_v2.cfg for it"]
     at = text.index("Did the pump")
-    assert read("what happened in the pump test?", chunk=(at, at + 75)) == "The pump test failed twice, then passed."
-    assert read("zebra") == "Status:" and P.select_passage("plain", "zebra") == (0, 0)
+    assert reads(spark, "what happened in the pump test?", text, chunk=(at, at + 75)) == ["The pump test failed twice, then passed."]
+    assert reads(spark, "nobody", text, chunk=(at, at + 75)) == ["Nobody knew."]
+    assert reads(spark, "zebra", text, "plain") == ["Status: pump works again", "plain"]
 
 
 def test_archive(spark, tmp_path):
