@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PRIVACY_OFF, PRIVACY_ON, SECRET
+from . import byte_ranges
 
 CONTENT = "array<struct<type:string,text:string>>"
 EVENT = f"struct<timestamp:string,type:string,payload:struct<id:string,source:string,thread_source:string,cwd:string,type:string,thread_id:string,item:struct<type:string,id:string,phase:string,content:{CONTENT}>>>"
@@ -14,39 +17,41 @@ BATCH = 200
 
 
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, at, line): each complete line of each file with its place; a last line without its end waits for a later run."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(folder)
-    text = F.decode("content", "UTF-8")
-    whole = F.substring(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, "\n", -1)))
-    return files.select("path", F.posexplode(F.split(F.rtrim(whole, F.lit("\n")), "\n")).alias("at", "line")).where("line <> ''")
+    """(path, at, line): each complete line of each file with the byte where it begins; a last line without its end waits for a later run."""
+    byte_ranges.register(spark)
+    return spark.read.format("transcript_lines").option("path", folder).load()
+
+
+def line_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as a stream: each micro-batch reads the bytes that came since, and the first line of each file that grew."""
+    byte_ranges.register(spark)
+    return spark.readStream.format("transcript_lines").option("path", folder).load()
 
 
 def new_lines(spark: SparkSession, folder: str, known: DataFrame, max_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
-    """The complete lines since the last run, and the places to go on from.
+    """The complete lines since the last run, and the places to go on from, for runs that keep their own places.
 
-    `known` has rows (path, offset, header_sha, edge_sha) from the last run. A file starts anew where its first line is
-    another, it is shorter than the offset, or the up to 1024 bytes before the offset are others. At most `max_bytes` of a
-    file are taken; a longer line waits. Lines are (path, at, line), `at` being the byte where they begin; the first line
-    (at 0) always comes along. Places are (path, offset, header_sha, edge_sha, restarted). Bytes are decoded one to one
-    first, so that places in the string are places in the file.
+    `known` has rows (path, offset, header_sha, edge_sha) from the last run, one a file. A file starts anew where its first
+    line is another, it is shorter than the offset, or the up to 1024 bytes before the offset are others. At most
+    `max_bytes` of a file are read; a longer line waits. Lines are (path, at, line), `at` being the byte where they begin;
+    the first line (at 0) always comes along. Places are (path, offset, header_sha, edge_sha, restarted).
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(folder)
-    edge = lambda at: F.sha2(F.substring(F.col("content"), F.greatest(at - 1024, F.lit(0)).cast("int") + 1, F.least(at, F.lit(1024)).cast("int")), 256)
-    last = lambda x: F.length(x) - F.length(F.substring_index(x, "\n", -1))  # noqa: E731  # end of the last complete line
-    raw = files.select("path", "content", F.decode("content", "ISO-8859-1").alias("raw")).where(F.contains("raw", F.lit("\n")))
-    old = known.select("path", F.col("offset").alias("old"), F.col("header_sha").alias("old_header"), F.col("edge_sha").alias("old_edge"))
-    seen = raw.withColumn("head", F.length(F.substring_index("raw", "\n", 1)) + 1).join(old, "path", "left").withColumn("header_sha", F.sha2(F.substring(F.col("content"), F.lit(1), F.col("head")), 256))
-    other = (F.col("old_header") != F.col("header_sha")) | (F.col("old") > F.length("raw")) | (edge(F.col("old")) != F.col("old_edge"))
-    placed = seen.withColumn("restarted", F.coalesce(other, F.lit(False))).withColumn("start", F.when(F.col("old").isNull() | F.col("restarted"), 0).otherwise(F.col("old")).cast("int"))
-    part = F.substring(F.col("raw"), F.col("start") + 1, F.lit(max_bytes))
-    cut = placed.withColumn("part", part).withColumn("part", F.substring(F.col("part"), F.lit(1), last(F.col("part")))).withColumn("offset", F.col("start") + F.length("part"))
-    places = cut.select("path", F.col("offset").cast("long").alias("offset"), "header_sha", edge(F.col("offset")).alias("edge_sha"), "restarted")
-    pieces = cut.where("part <> ''").select("path", "start", F.posexplode(F.split(F.substring(F.col("part"), F.lit(1), F.length("part") - 1), "\n")).alias("n", "piece"))
-    order = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    own = pieces.select("path", (F.col("start") + F.coalesce(F.sum(F.length("piece") + 1).over(order), F.lit(0))).cast("long").alias("at"), "piece")
-    heads = cut.where("start > 0").select("path", F.lit(0).cast("long").alias("at"), F.substring_index("raw", "\n", 1).alias("piece"))
-    line = F.decode(F.encode("piece", "ISO-8859-1"), "UTF-8")
-    return own.unionByName(heads).select("path", "at", line.alias("line")).where("trim(line) <> ''"), places
+    byte_ranges.register(spark)
+    old = {r.path: [r.offset, r.header_sha, r.edge_sha] for r in known.select("path", "offset", "header_sha", "edge_sha").collect()}
+    ranges, places = [], []
+    for path, size, _ in byte_ranges.listed(folder, ".jsonl"):
+        low, restarted = byte_ranges.resumed(path, size, old.get(path))
+        found = byte_ranges.entry(path, size, low, max_bytes)
+        if found is None:
+            continue
+        places.append((path, *found, restarted))
+        if low:
+            with byte_ranges.opened(path) as file:
+                ranges.append((path, 0, file.read(min(byte_ranges.HEAD, low)).find(b"\n") + 1))
+        if found[0] > low:
+            ranges.append((path, low, found[0]))
+    lines = spark.read.format("transcript_lines").option("path", folder).option("ranges", json.dumps(ranges)).load()
+    return lines, spark.createDataFrame(places, "path string, offset long, header_sha string, edge_sha string, restarted boolean")
 
 
 def events(lines: DataFrame, paused: DataFrame | None = None) -> DataFrame:
@@ -86,10 +91,13 @@ def batches(found: DataFrame, size: int = BATCH) -> DataFrame:
 
 
 def pending(files: DataFrame, cap: int = 8 << 20, most: int = 200) -> DataFrame:
-    """Queued packets of (name, sha256, length) whose name is their digest, in name order, as many as the caps allow."""
-    w = Window.orderBy("sha256").rowsBetween(Window.unboundedPreceding, 0)  # a queue folder of bounded length
-    rows = files.where(F.regexp_extract("name", r"^([0-9a-f]{64})\.json$", 1) == F.col("sha256"))
-    return rows.withColumn("used", F.sum("length").over(w)).withColumn("n", F.row_number().over(w)).where((F.col("used") <= cap) & (F.col("n") <= most)).drop("used", "n")
+    """Queued packets of (name, sha256, length) whose name is their digest, in name order, as many as the caps allow.
+
+    The first `most` names are taken by a top-k, however long the queue is; the window runs over those only.
+    """
+    first = files.where(F.regexp_extract("name", r"^([0-9a-f]{64})\.json$", 1) == F.col("sha256")).orderBy("sha256").limit(most)
+    w = Window.orderBy("sha256").rowsBetween(Window.unboundedPreceding, 0)
+    return first.withColumn("used", F.sum("length").over(w)).where(F.col("used") <= cap).drop("used")
 
 
 def acknowledge(queue: DataFrame, done: DataFrame) -> DataFrame:

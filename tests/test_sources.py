@@ -4,8 +4,10 @@ import hashlib
 import json
 import zipfile
 
+import pytest
+
 from quillmill.operators import ingest, relational
-from quillmill.sources import exports, packets, transcripts
+from quillmill.sources import byte_ranges, exports, packets, transcripts
 
 
 def test_packets_and_identity(spark, tmp_path):
@@ -119,6 +121,78 @@ def test_new_lines_of_growing_files(spark, tmp_path):
     assert run(none, max_bytes=12)[0] == [(0, "héad"), (6, "one")]
 
 
+def plain(path):
+    """All complete lines of a file with their places, by hand."""
+    at, out = 0, []
+    for line in path.read_bytes().splitlines(keepends=True):
+        if line.endswith(b"\n") and line.strip():
+            out.append((at, line.rstrip(b"\n").decode()))
+        at += len(line)
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1000])
+def test_spans_part_a_file(tmp_path, monkeypatch, size):
+    """Every line is in exactly one span, wherever the ranges are cut, and steps of reading do not show."""
+    monkeypatch.setattr(byte_ranges, "STEP", 16)
+    file = tmp_path / "a.jsonl"
+    file.write_bytes("".join(f"{'é' * (i % 9)}{i}\n" + "\n" * (i % 4 == 3) for i in range(60)).encode() + b"cut")
+    found = byte_ranges.entry(str(file), file.stat().st_size)
+    assert found[0] == file.stat().st_size - 3
+    for low in (0, 3, found[0] // 2):
+        low = byte_ranges.line_end(open(file, "rb"), 0, low) if low else 0
+        got = [(at, line.decode()) for s in byte_ranges.spans(str(file), low, found[0], size) for at, line in byte_ranges.lines_of(s) if line.strip()]
+        assert got == [x for x in plain(file) if x[0] >= low]
+
+
+def test_stream_reads_new_bytes_only(tmp_path, monkeypatch):
+    read = []
+    real = byte_ranges._bytes
+    monkeypatch.setattr(byte_ranges, "_bytes", lambda f, a, b: (read.append(b - a), real(f, a, b))[1])
+    file = tmp_path / "big.jsonl"
+    with open(file, "wb") as f:
+        f.write(b"head\n")
+        f.truncate(3 << 30)  # three GB, of which the file system keeps nothing
+        f.seek(0, 2)
+        f.write(b"\nlast\n")
+    reader = byte_ranges.TranscriptLines({"path": str(tmp_path), "header": "false"}).streamReader(None)
+    start = reader.latestOffset()
+    assert start[str(file)][0] == (3 << 30) + 6
+    with open(file, "ab") as f:
+        f.write("neu ä\nhalf".encode())
+    read.clear()
+    end = reader.latestOffset()
+    got = [r for p in reader.partitions(start, end) for b in reader.read(p) for r in b.to_pylist()]
+    assert [(r["at"], r["line"]) for r in got] == [((3 << 30) + 6, "neu ä")] and sum(read) < 4 * byte_ranges.HEAD + byte_ranges.STEP
+    assert reader.partitions(end, reader.latestOffset()) == [] and len(reader.partitions({}, end)) == 97
+
+
+def test_line_stream(spark, tmp_path):
+    folder, at = tmp_path / "in", str(tmp_path)
+    folder.mkdir()
+    a, b = folder / "a.jsonl", folder / "b.jsonl"
+
+    def run():
+        flow = transcripts.line_stream(spark, str(folder)).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(availableNow=True).start()
+        flow.awaitTermination()
+        now = sorted((r.path[-7:], r.at, r.line) for r in spark.read.parquet(f"{at}/out").collect())
+        new = now.copy()
+        for x in seen:
+            new.remove(x)
+        seen[:] = now
+        return new
+
+    seen = []
+    a.write_bytes("héad\none\ntw".encode())
+    assert run() == [("a.jsonl", 0, "héad"), ("a.jsonl", 6, "one")]
+    a.write_bytes("héad\none\ntwo\n".encode())
+    b.write_bytes(b"x\n")
+    assert run() == [("a.jsonl", 0, "héad"), ("a.jsonl", 10, "two"), ("b.jsonl", 0, "x")]
+    b.write_bytes(b"cut")  # nothing complete
+    a.write_bytes(b"new\n")  # truncated: from the beginning
+    assert run() == [("a.jsonl", 0, "new")]
+
+
 def test_packets_are_halved(spark):
     kind = f"packet_key string, packet struct<kind:string,messages:array<{packets.MESSAGE}>>"
     many = lambda n, size: ("note", [("x" * size, None, None, i, None, None) for i in range(n)])
