@@ -10,6 +10,7 @@ which need no padding.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import struct
@@ -23,6 +24,9 @@ from .bpe import WordBpe
 
 #: Words in each of the two generations that a task remembers.
 REMEMBERED_WORDS = 500_000
+#: Code points of a word that needs no queue.
+SHORT = 24
+_NEVER = 1 << 62
 _NOT = "\t-\r \x85\xa00-9a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe"
 #: The words of a lower-case text of Latin-1 code points; the same as the vocabulary's own pattern, which this one replaces there.
 _latin_words = re.compile(f"[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^{_NOT}]+").findall
@@ -30,6 +34,56 @@ _latin_words = re.compile(f"[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|'(?:s|
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+class _Known(dict):
+    """Word to its packed ids, in two generations: when the young one is full, the old one is forgotten."""
+
+    def __init__(self, bpe: WordBpe):
+        self.bpe, self.old = bpe, {}
+        self.inner = [bpe.vocab[s] for s in bpe.symbols]
+        self.final = [bpe.vocab[s + bpe.suffix] for s in bpe.symbols]
+        #: Both ids in one number, to rank and merged id in one number, which sorts as the rank does.
+        self.merges = {a << 20 | b: rank << 20 | merged for (a, b), (rank, merged) in bpe.merges.items()}
+
+    def short(self, word: str) -> list[int]:
+        """The ids of a short word: the lowest of its ranks is sought anew after each merge, which takes less than a queue."""
+        raw = word.encode("utf-8", "surrogatepass")
+        inner, rank = self.inner, self.merges.get
+        ids = [inner[b] for b in raw]
+        ids[-1] = self.final[raw[-1]]
+        ranks = [rank(a << 20 | b, _NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            least = min(ranks)
+            if least == _NEVER:
+                break
+            i = ranks.index(least)
+            merged = ids[i] = least & 0xFFFFF
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(merged << 20 | ids[i + 1], _NEVER)
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 20 | merged, _NEVER)
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        packed = self.old.get(word)
+        if packed is None:
+            ids = [self.bpe.added[word]] if word in self.bpe.added else self.short(word) if len(word) <= SHORT else self.bpe.encode_word(word)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) >= REMEMBERED_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = packed
+        return packed
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Token ids of whole texts as packed little-endian unsigned 32-bit integers."""
 
@@ -37,27 +91,27 @@ class Encoder:
         self.bpe = WordBpe(spec)
         pattern = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"]
         self.latin = pattern == _PATTERN
-        self.young: dict[str, bytes] = {w: struct.pack("<I", i) for w, i in self.bpe.added.items()}
-        self.old: dict[str, bytes] = {}
-
-    def _miss(self, word: str) -> bytes:
-        packed = self.old.get(word)
-        if packed is None:
-            ids = [self.bpe.added[word]] if word in self.bpe.added else self.bpe.encode_word(word)
-            packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.young) >= REMEMBERED_WORDS:
-            self.old, self.young = self.young, {}
-        self.young[word] = packed
-        return packed
+        self.known = _Known(self.bpe)
 
     def words(self, text: str) -> list[str]:
-        if self.latin and (text.isascii() or max(text) < "\u0100") and "<|" not in text:
-            return _latin_words(self.bpe.normalize(text))
+        if self.latin and "<|" not in text and _is_latin(text):
+            return _latin_words(text.lower())  # Latin-1 is composed, and has no capital sigma
         return list(self.bpe.parts(text))
 
     def encode(self, text: str) -> bytes:
-        known, miss = self.young.get, self._miss
-        return b"".join([known(w) or miss(w) for w in self.words(text)])
+        known = self.known
+        return b"".join([known[w] for w in self.words(text)])
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(spec: dict, digest: str) -> Encoder:
+    """The encoder of a vocabulary; the tasks that one Python process runs share it and the words it knows."""
+    if digest not in _encoders:
+        _encoders.clear()
+        _encoders[digest] = Encoder(spec)
+    return _encoders[digest]
 
 
 def piece_lengths(n: int, capacity: int, least: int) -> list[int]:
@@ -129,8 +183,9 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
     if capacity < 1 or capacity & (capacity - 1) or least < 1 or least & (least - 1) or least > capacity:
         raise ValueError("capacity and least must be powers of two, least at most capacity")
     rows = docs.select(id_col, text_col)
-    with open(path, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(json.load(f))  # the vocabulary: the same size for any input
+    with open(path, "rb") as f:
+        raw = f.read()
+    spec, digest = docs.sparkSession.sparkContext.broadcast(json.loads(raw)), hashlib.sha256(raw).hexdigest()  # the vocabulary: the same size for any input
     kind = rows.schema[id_col].dataType.simpleString()
     end = struct.pack("<I", end_id)
 
@@ -138,7 +193,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 32
-        encoder, bins, n_sequences = Encoder(spec.value), Bins(capacity, least), 0
+        encoder, bins, n_sequences = _encoder(spec.value, digest), Bins(capacity, least), 0
 
         def table(sequences: list[list[tuple]], id_type: pa.DataType) -> pa.RecordBatch:
             nonlocal n_sequences

@@ -1,8 +1,10 @@
 """Harmonic packing against the library's ids and what every packing must keep."""
 
+import json
 import struct
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import public_tokenizers
 import pytest
@@ -86,13 +88,17 @@ def test_packing(spark, words):
         packing.pack_documents(docs_frame(spark, []), PATH, capacity=1000)
 
 
+@lru_cache
+def encoders():
+    from tokenizers import Tokenizer
+
+    with open(PATH, encoding="utf-8") as f:
+        return packing.Encoder(json.load(f)), Tokenizer.from_file(PATH)
+
+
 @given(st.text(alphabet=st.characters(max_codepoint=0x17F), max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_encoder_equals_the_library(text):
-    import json
-
-    from tokenizers import Tokenizer
-
-    own = test_encoder_equals_the_library.__dict__.setdefault("own", (packing.Encoder(json.load(open(PATH))), Tokenizer.from_file(PATH)))
-    ids = own[1].encode(text, add_special_tokens=False).ids
-    assert own[0].encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+    own, theirs = encoders()
+    ids = theirs.encode(text, add_special_tokens=False).ids
+    assert own.encode(text) == struct.pack(f"<{len(ids)}I", *ids)
