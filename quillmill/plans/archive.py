@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import records
 from ..operators import relational as R
-from ..streaming import capture
+from ..streaming import capture, ledger
 from .registry import query, table
 
 
@@ -118,3 +118,30 @@ def stream_privacy_text(spark, d):
 def stream_dedup(spark, d):
     """One row for each receipt (user, type), however often it is delivered."""
     return capture.run_to_end(spark, f"{d}/events.parquet", capture.receipt_stream, ["user_id", "event_type", "event_id"])
+
+
+def _requests(events):
+    """Views are searches that give the source k % 9, all other events read it; costs and capacities are taken from the row."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    return events.select(F.col("user_id").alias("lookup"), F.col("event_id").alias("event"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") == "view").alias("search"), (k % 9).cast("string").alias("source"), F.ceil(F.col("value") * 8).cast("long").alias("cost"), (k * 20 + 300).cast("long").alias("capacity"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id AS event, user_id AS lookup, epoch_ms(ts) AS at, event_type = 'view' AS search, CAST(CAST(json_extract_string(props, '$.k') AS INT) % 9 AS VARCHAR) AS source,
+    CAST(ceil(value * 8) AS BIGINT) AS cost, least(2000, greatest(512, CAST(json_extract_string(props, '$.k') AS INT) * 20 + 300)) AS capacity, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+r AS (SELECT DISTINCT lookup, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS BIGINT) AS used, CAST(NULL AS BIGINT) AS opened, CAST(NULL AS BIGINT) AS room, CAST([] AS VARCHAR[]) AS sources FROM e
+UNION ALL SELECT lookup, n, event, status, CASE WHEN status = 'admitted' THEN used + cost ELSE used END, opened, room, CASE WHEN status = 'admitted' AND search AND NOT list_contains(sources, source) THEN list_append(sources, source) ELSE sources END FROM
+    (SELECT *, CASE WHEN opened IS NULL THEN 'unknown_lookup' WHEN NOT search AND NOT list_contains(sources, source) THEN 'outside_lookup' WHEN cost > room - used - 64 THEN 'over_budget' ELSE 'admitted' END AS status FROM
+    (SELECT e.lookup, e.n, e.event, e.search, e.source, e.cost, CASE WHEN live THEN r.opened WHEN e.search THEN e.at END AS opened, CASE WHEN live THEN r.room WHEN e.search THEN e.capacity END AS room, CASE WHEN live THEN r.used WHEN e.search THEN 0 END AS used, CASE WHEN live THEN r.sources ELSE [] END AS sources
+    FROM r JOIN e ON r.lookup = e.lookup AND e.n = r.n + 1, LATERAL (SELECT coalesce(e.at <= r.opened + 604800000, false) AS live) v)))
+SELECT lookup, event, status, coalesce(used, 0) AS used FROM r WHERE n > 0""")
+def stream_lookup_ledger(spark, d):
+    """Admissions of requests to lookups with a capacity, sources and seven days to live, kept as keyed state with timers."""
+    return ledger.run_ledger(spark, f"{d}/events.parquet", _requests).fillna(0, "used")
+
+
+@query("""WITH o AS (SELECT json_extract_string(props, '$.k') || ':' || user_id AS source, max(ts) AS opened FROM events WHERE event_type <> 'error' GROUP BY 1)
+SELECT source, strftime(opened, '%Y-%m-%d %H:%M:%S') AS opened FROM o WHERE o.opened >= (SELECT max(ts) FROM events WHERE event_type <> 'error') - INTERVAL 7 DAY ORDER BY o.opened DESC, source LIMIT 256""")
+def retrieval_hints(spark, d):
+    """The 256 sources opened last within seven days, from which background work begins."""
+    opened = table(spark, d, "events").where("event_type <> 'error'").select(F.concat_ws(":", F.get_json_object("props", "$.k"), F.col("user_id").cast("string")).alias("source"), F.col("ts").alias("at"))
+    return ledger.recent(opened).select("source", F.date_format("opened", "yyyy-MM-dd HH:mm:ss").alias("opened"))
