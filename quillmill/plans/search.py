@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import answers, lexical, relational, vector
+from ..operators import answers, block_index, lexical, relational, vector
 from ..sources.tables import shared_folder
 from .registry import query, table
 
@@ -197,3 +197,25 @@ def grouped_search(spark, d):
 def short_texts(spark, d):
     """Beginnings that surely fit into so many tokens."""
     return table(spark, d, "documents").select("doc_id", X.short_text(F.col("text"), 40).alias("short"))
+
+
+def _line_blocks(records):
+    """(id, block_id, start, end, body): each line that is not blank."""
+    lines = records.select("id", F.posexplode(F.split("text", "\n", -1)).alias("n", "body")).where("trim(body) <> ''")
+    return lines.select("id", F.col("n").cast("string").alias("block_id"), F.col("n").alias("start"), (F.col("n") + 1).alias("end"), "body")
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, n, {_TOKENS.replace("text", "line")} AS t FROM l WHERE trim(line) <> ''),
+s AS (SELECT doc_id, count(*) AS blocks, avg(len(t)) AS mean FROM k GROUP BY doc_id),
+w AS (SELECT doc_id, n, len(t) AS dl, x.w AS w, len(list_filter(t, lambda y: y = x.w)) AS tf FROM k, (SELECT unnest({_TERMS}) AS w) x),
+f AS (SELECT *, count(*) OVER (PARTITION BY doc_id, w) AS df FROM w WHERE tf > 0),
+b AS (SELECT doc_id, n, round(sum(greatest(ln((blocks - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 12) AS score FROM f JOIN s USING (doc_id) GROUP BY doc_id, n)
+SELECT doc_id, CAST(n AS BIGINT) AS line, round(score, 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, n) AS place FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, n) <= 2""")
+def best_blocks(spark, d):
+    """The two best blocks of each record from an index that was built for earlier texts and brought up to date."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    index = block_index.BlockIndex(spark, f"{shared_folder(spark).rstrip('/')}/blocks-{uuid.uuid4().hex}")
+    index.update(docs.withColumn("text", F.when(F.crc32("id") % 4 == 0, F.concat(F.lit("les les "), "text")).otherwise(F.col("text"))), blocks=_line_blocks)
+    index.update(docs, blocks=_line_blocks)
+    return index.best(QUERY).select(F.col("id").cast("long").alias("doc_id"), F.col("start").cast("long").alias("line"), F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
