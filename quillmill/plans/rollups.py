@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import records
+from ..operators import records, views
 from ..operators import relational as R
+from ..sources.tables import shared_folder
 from .registry import query, table
 
 
@@ -191,3 +194,18 @@ def stale_or_missing(spark, d):
     c = table(spark, d, "customer").where("c_acctbal > 0").select("c_custkey", "c_acctbal")
     state = F.when(F.col("c_custkey").isNull(), "missing").when(F.col("o_totalprice") > F.col("c_acctbal"), "stale").otherwise("current")
     return table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce("c_custkey", F.lit(0)).alias("c_custkey"), state.alias("state"))
+
+
+@query("""WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS grp, conv_id || ':' || turn AS id, turn, length(text) AS size, left(text, 20) AS summary FROM conversations),
+l AS (SELECT grp, summary, min(id) AS id FROM c WHERE summary IS NOT NULL GROUP BY grp, summary), m AS (SELECT grp, string_agg(id, ',' ORDER BY id) AS members FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY grp ORDER BY id) <= 3) GROUP BY grp)
+SELECT c.grp, count(*) AS n, CAST(sum(size) AS BIGINT) AS size, min(turn) AS first_at, max(turn) AS last_at, any_value(m.members) AS members FROM c LEFT JOIN m ON c.grp = m.grp GROUP BY c.grp""")
+def incremental_view(spark, d):
+    """A view of conversations, made from other rows first (some missing, some longer, some of another conversation) and brought up to date."""
+    now = table(spark, d, "conversations").select(F.lit("put").alias("op"), F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("conv_id").cast("string").alias("grp"), F.col("turn").cast("long").alias("at"), F.length("text").cast("long").alias("size"), F.left("text", F.lit(20)).alias("summary"))
+    fate = F.crc32("id") % 10
+    before = now.where(fate != 0).withColumns({"size": F.when(fate == 1, F.col("size") + 7).otherwise(F.col("size")), "grp": F.when(fate == 2, F.concat(F.lit("x"), "grp")).otherwise(F.col("grp"))})
+    extra = now.where(fate == 3).withColumn("id", F.concat("id", F.lit("-old")))
+    view = views.GroupView(spark, f"{shared_folder(spark).rstrip('/')}/view-{uuid.uuid4().hex}")
+    view.apply(0, before.union(extra))
+    view.apply(1, now.where(fate <= 2).union(extra.withColumn("op", F.lit("delete"))))
+    return view.view().select("grp", "n", "size", "first_at", "last_at", F.array_join("members.id", ",").alias("members"))
