@@ -30,8 +30,8 @@ BLOCK_ROWS = 512
 STEPS = (8, 16, 32)
 #: Leading components on which boxes are kept.
 BOX = 4
-#: Principal axes are worked out for so many vector lengths, the most frequent ones, and up to so many components; others keep their own axes.
-AXES, AXES_LENGTH = 32, 2048
+#: Principal axes are worked out for the most frequent vector lengths, as long as their matrices hold no more values than this in all (32 MB); others keep their own axes.
+AXES_VALUES = 1 << 22
 #: What rounding may take from a bound; survivors are decided exactly.
 _SLACK = 1e-9
 _BANDS = 256
@@ -45,20 +45,27 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     """For each of the chosen vector lengths, the eigenvectors of the second moments of all unit vectors, largest eigenvalue first."""
-    chosen = [r.d for r in vectors.select(F.size("v").alias("d")).where(f"d <= {AXES_LENGTH}").groupBy("d").count().orderBy(F.desc("count"), "d").limit(AXES).collect()]
-
-    def each(batch: pa.RecordBatch):
-        sums: dict[int, list] = {}
-        for row in batch.column(0).to_pylist():
-            sums.setdefault(len(row), []).append(row)
-        for d, rows in sums.items():
-            m = unit(np.asarray(rows, float))
-            m = m.T @ m
-            i, j = np.divmod(np.arange(d * d), d)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(d * d, d)), pa.array(i), pa.array(j), pa.array(m.ravel())], ["d", "i", "j", "s"])
+    chosen, left = [], AXES_VALUES
+    for r in vectors.select(F.size("v").alias("d")).where(f"d * d <= {AXES_VALUES}").groupBy("d").count().orderBy(F.desc("count"), "d").limit(AXES_VALUES.bit_length()).collect():
+        if r.d * r.d <= left:
+            chosen.append(r.d)
+            left -= r.d * r.d
+
+    def each(batches):
+        sums: dict[int, np.ndarray] = {}  # one matrix of each length for a whole partition
+        for batch in batches:
+            lengths = batch.column(0).value_lengths().to_numpy()
+            for d in np.unique(lengths):
+                m = unit(np.asarray(batch.column(0).take(pa.array(np.flatnonzero(lengths == d))).to_pylist(), float))
+                sums[int(d)] = sums.get(int(d), 0.0) + m.T @ m
+        for d, m in sums.items():
+            for begin in range(0, d, max(1, (1 << 18) // d)):
+                part = m[begin : begin + max(1, (1 << 18) // d)]
+                i, j = np.divmod(np.arange(part.size), d)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.size, d)), pa.array(i + begin), pa.array(j), pa.array(part.ravel())], ["d", "i", "j", "s"])
 
     some = vectors.where(F.size("v").isin(chosen)).select("v") if chosen else vectors.select("v").limit(0)
-    moments = map_rows(some, each, "d long, i long, j long, s double").groupBy("d", "i", "j").agg(F.sum("s").alias("s")).toPandas()
+    moments = some.mapInArrow(each, "d long, i long, j long, s double").groupBy("d", "i", "j").agg(F.sum("s").alias("s")).toPandas()
     axes = {}
     for d, rows in moments.groupby("d"):
         m = np.zeros((d, d))
@@ -119,6 +126,18 @@ def tile_links(x: np.ndarray, y: np.ndarray, axes: np.ndarray | None, threshold:
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def tiled(flat: DataFrame, tile_rows: int | None = None) -> DataFrame:
+    """(label, d, tile, p, rep, copies, v): rows in bands of the first component `p`, each parted by hash into tiles of the planned size."""
+    cuts = [k / _BANDS for k in range(1, _BANDS)]
+    spread = flat.groupBy("label", "d").agg(F.count("*").alias("n"), F.percentile_approx("p", cuts).alias("cuts"))
+    tiles = F.ceil(F.col("n") / (F.lit(tile_rows) if tile_rows else F.greatest(F.floor(F.lit(TILE_VALUES) / F.col("d")), F.lit(LEAST_TILE))))
+    parts = F.ceil(tiles / _BANDS)
+    below, upto = (F.size(F.filter("cuts", is_under)) for is_under in (lambda c: c < F.col("p"), lambda c: c <= F.col("p")))
+    tied = F.pmod(F.xxhash64("rep", F.lit(3)), upto - below + 1)  # rows on a cut, or on many, are dealt over the bands that meet there
+    band = F.floor((below + tied) * F.least(tiles, F.lit(_BANDS)) / _BANDS)
+    return flat.join(spread, ["label", "d"]).select("label", "d", (band * parts + F.pmod(F.xxhash64("rep"), parts)).cast("long").alias("tile"), "p", "rep", "copies", "v")
+
+
 def embedding_classes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tile_rows: int | None = None) -> DataFrame:
     """For each vector: n_links (others of its label with cosine >= threshold), component_id (smallest reachable id), kept.
 
@@ -132,7 +151,7 @@ def embedding_classes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "
     sound = F.expr(f"id is not null and label is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < {element}('infinity')) and exists(v, x -> x != 0)")
     valid = rows.where(F.coalesce(sound, F.lit(False)))
     axes_of = principal_axes(valid)
-    axes = df.sparkSession.sparkContext.broadcast(axes_of)  # at most AXES square matrices of bounded size
+    axes = df.sparkSession.sparkContext.broadcast(axes_of)  # AXES_VALUES numbers at most
     reps = cut_lineage(valid.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     first = F.lit(0.0)
     for d, v in axes_of.items():
@@ -140,12 +159,7 @@ def embedding_classes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "
         dot = F.aggregate(F.zip_with("v", F.array(*map(F.lit, v[:, 0].tolist())), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
         first = F.when(F.size("v") == d, F.coalesce(F.try_divide(dot, norm), F.lit(0.0))).otherwise(first)  # only deals the rows out
     flat = reps.withColumns({"d": F.size("v"), "p": first})
-    cuts = [k / _BANDS for k in range(1, _BANDS)]
-    spread = flat.groupBy("label", "d").agg(F.count("*").alias("n"), F.percentile_approx("p", cuts).alias("cuts"))
-    tiles = F.ceil(F.col("n") / (F.lit(tile_rows) if tile_rows else F.greatest(F.floor(F.lit(TILE_VALUES) / F.col("d")), F.lit(LEAST_TILE))))
-    parts = F.ceil(tiles / _BANDS)
-    band = F.floor(F.size(F.filter("cuts", lambda c: c <= F.col("p"))) * F.least(tiles, F.lit(_BANDS)) / _BANDS)
-    dealt = flat.join(spread, ["label", "d"]).select("label", "d", (band * parts + F.pmod(F.xxhash64("rep"), parts)).cast("long").alias("tile"), "p", "rep", "copies", "v")
+    dealt = tiled(flat, tile_rows)
     id_type = df.schema[id_col].dataType.simpleString()
     label_type = df.schema[label_col].dataType.simpleString()
 

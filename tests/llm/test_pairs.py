@@ -45,6 +45,27 @@ def test_forest():
 EMBEDDINGS = "vec_id long, embedding array<float>, label int, id long, v string, rep long"
 
 
+@pytest.mark.parametrize("d", [3072, 8])
+def test_tiles_of_tied_rows(spark, d):
+    """Rows without an axis, or alike on it, are dealt over tiles of the planned size all the same."""
+    from pyspark.sql import functions as F
+
+    flat = spark.range(20_000).select(F.lit(1).alias("label"), F.col("id").alias("rep"), F.lit(1).alias("copies"), F.lit(d).alias("d"), F.when(F.lit(d) > 2000, 0.0).otherwise((F.col("id") % 3).cast("double")).alias("p"), F.array(F.lit(0.0)).alias("v"))
+    planned = 128 if d == 3072 else 1000
+    sizes = [r["count"] for r in embed_dedup.tiled(flat, None if d == 3072 else planned).groupBy("tile").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) <= 2 * planned and len(sizes) >= 0.8 * 20_000 / planned
+
+
+def test_long_vectors(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(4, 2100))
+    rows = [(i, (base[i % 4] + rng.normal(size=2100) * (0.1 if i % 5 else 0.6)).tolist(), 0, 1, "x", 2) for i in range(60)]
+    got = {r.vec_id: r.n_links for r in embed_dedup.embedding_classes(spark.createDataFrame(rows, EMBEDDINGS), tile_rows=10).collect()}
+    v = np.asarray([r[1] for r in rows], np.float32).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    assert got == dict(enumerate(((v @ v.T >= 0.93).sum(axis=1) - 1).tolist())) and sum(got.values()) > 100
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(12, 24))
