@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -45,11 +45,14 @@ class Archive:
     def store(self, rows: DataFrame) -> DataFrame:
         """Add rows (key, text, source, title, created_at); (key, status): a key seen before is a replay or a conflict.
 
-        Records go before receipts: a write that breaks off is done again whole, and its records are the same ones.
+        Of several rows with one key that is new, the one with the least digest is stored; the same again is a replay, any
+        other a conflict. Records go before receipts: a write that breaks off is done again whole, and its records are the same ones.
         """
         given = rows.select("key", "text", "source", "title", "created_at", F.sha2(F.concat_ws("\u0001", "text", "source", F.coalesce("title", F.lit(""))), 256).alias("digest"))
         old = self.table("receipts").select("key", F.col("digest").alias("old"))
-        judged = given.join(old, "key", "left").withColumn("status", F.when(F.col("old").isNull(), "stored").when(F.col("old") == F.col("digest"), "replay").otherwise("conflict"))
+        own = Window.partitionBy("key").orderBy("digest")
+        turn, first = F.row_number().over(own), F.coalesce("old", F.first("digest").over(own))
+        judged = given.join(old, "key", "left").withColumn("status", F.when(F.col("digest") != first, "conflict").when(F.col("old").isNull() & (turn == 1), "stored").otherwise("replay"))
         new = judged.where("status = 'stored'").withColumn("id", F.substring(F.sha2(F.concat_ws(":", "key", "digest"), 256), 1, 32))
         if not new.isEmpty():
             blank = F.lit(None).cast("string")

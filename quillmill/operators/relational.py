@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..sources.tables import stored
 
 
-def newest_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
-    """The first n rows of each key in the given order."""
+def newest_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, place: str | None = None) -> DataFrame:
+    """The first n rows of each key in the given order, with their `place` from 1 if it has a name."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+    first = df.withColumn("__rank", rank).where(F.col("__rank") <= n)
+    return first.drop("__rank") if place is None else first.withColumn(place, F.col("__rank").cast("long")).drop("__rank")
 
 
 def position(df: DataFrame, keys: list[str], order: list[Column], name: str = "position") -> DataFrame:
@@ -36,9 +37,11 @@ def islands(df: DataFrame, keys: list[str], order: list[Column], starts: Column,
 
 
 def fair_queue(df: DataFrame, group: str, order: list[Column], limit: int) -> DataFrame:
-    """Round robin over groups: all first rows, then all second rows, ..., up to `limit`."""
-    turn = F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long")
-    return df.withColumn("turn", turn).orderBy("turn", *order).limit(limit)
+    """Round robin over groups: all first rows, then all second rows, ..., up to `limit`.
+
+    No group gives more than `limit` rows: that filter makes Spark cut each group down before it is shuffled.
+    """
+    return newest_per_key(df, [group], order, limit, "turn").orderBy("turn", *order).limit(limit)
 
 
 def keyset_page(df: DataFrame, id_col: str, after, limit: int) -> DataFrame:

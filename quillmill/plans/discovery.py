@@ -106,7 +106,7 @@ def work_queue(spark, d):
     """Opened projects first, then turn by turn; rows in error wait."""
     opened = (F.col("user_id") % 5 == 0).cast("int")
     rows = table(spark, d, "events").where("event_type <> 'error'")
-    turned = R.position(rows, ["event_type"], [opened.desc(), F.col("value"), F.col("event_id")])
+    turned = R.newest_per_key(rows, ["event_type"], [opened.desc(), F.col("value"), F.col("event_id")], 100, "position")  # what is later than that is in no page
     return turned.orderBy(opened.desc(), "position", "event_id").limit(100).select("event_id", "event_type", "position")
 
 

@@ -68,9 +68,11 @@ def retention_keep_n(spark, d):
 
 @query("""SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 2 OR row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3""")
 def head_tail_sample(spark, d):
-    up, down = Window.partitionBy("user_id").orderBy("ts", "event_id"), Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    rows = table(spark, d, "events").select("user_id", "event_id", F.row_number().over(up).alias("a"), F.row_number().over(down).alias("b"))
-    return rows.where("a <= 2 OR b <= 3").select("user_id", "event_id")
+    """Two group limits, so that neither sort moves more than a few rows of a user."""
+    rows = table(spark, d, "events").select("user_id", "event_id", "ts")
+    head = R.newest_per_key(rows, ["user_id"], [F.col("ts"), F.col("event_id")], 2)
+    tail = R.newest_per_key(rows, ["user_id"], [F.desc("ts"), F.desc("event_id")], 3)
+    return head.union(tail).select("user_id", "event_id").distinct()
 
 
 @query("""SELECT event_id FROM (SELECT event_id, event_id <= 9990 AS wrapped FROM events) ORDER BY wrapped, event_id LIMIT 24""")

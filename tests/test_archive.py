@@ -55,6 +55,16 @@ def test_places_to_read(spark):
     assert reads(spark, "zebra", text, "plain") == ["Status: pump works again", "plain"]
 
 
+def test_a_key_is_written_once(spark, tmp_path):
+    """In one call, in two, and with the same or other texts."""
+    a = Archive(spark, str(tmp_path))
+    write = lambda *rows: sorted((r.key, r.status) for r in a.store(spark.createDataFrame([(k, t, "s", None, None) for k, t in rows], "key string, text string, source string, title string, created_at string")).collect())
+    assert write(("k", "one"), ("k", "two"), ("l", "same"), ("l", "same")) == [("k", "conflict"), ("k", "stored"), ("l", "replay"), ("l", "stored")]
+    assert a.table("memories").count() == a.table("receipts").count() == a._rows("receipts").count() == 2
+    kept = a.table("memories").where("text <> 'same'").first().text
+    assert write(("k", "one"), ("k", "two"), ("k", kept)) == [("k", "conflict"), ("k", "replay"), ("k", "replay")] and a.table("memories").count() == 2
+
+
 def test_archive(spark, tmp_path):
     a = Archive(spark, str(tmp_path))
     assert a.status().first().total == 0 and a.search("fox").count() == 0
