@@ -126,6 +126,47 @@ def stem(word: str) -> str:
     return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word
 
 
+def snippet_window(hits: list[tuple[int, str]], n: int, size: int) -> tuple[int, int, int]:
+    """(first token, distinct terms, hits) of the window of `size` of n tokens that holds most terms, then most hits, then begins first.
+
+    `hits` are (token, term) in order. One pass: a window begins at a hit, the counts of its terms move along, and a window over
+    the end of the text is moved back.
+    """
+    best, held, end = (0, 0, 0), {}, 0
+    for k, (at, term) in enumerate(hits):
+        while end < len(hits) and hits[end][0] < at + size:
+            held[hits[end][1]] = held.get(hits[end][1], 0) + 1
+            end += 1
+        if (len(held), end - k) > best[1:]:
+            best = at, len(held), end - k
+        held[term] -= 1
+        if not held[term]:
+            del held[term]
+    return max(0, min(best[0], n - size)), *best[1:]
+
+
+def snippets(hits: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", size: int = 64) -> DataFrame:
+    """(id, token, n_terms, n_hits, snippet): the `size` words of each text that hold most of the query's terms, as they stand, with ellipses where text is left out."""
+    terms = {folded(t)[0] for t in query_plan(query)[0]}
+
+    def each(parts):
+        for pdf in parts:
+            rows = []
+            for i, text in zip(pdf[id_col], pdf[text_col].fillna(""), strict=True):
+                low, places = folded(text)
+                words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\W_]+", low)]
+                token, n_terms, n_hits = snippet_window([(k, w) for k, (_, _, w) in enumerate(words) if w in terms], len(words), size)
+                if not n_hits:
+                    continue
+                cut = words[token : token + size]
+                a, b = places[cut[0][0]], places[cut[-1][1] - 1] + 1
+                left, right = token > 0, token + size < len(words)
+                rows.append((i, token, n_terms, n_hits, ("… " if left else "") + text[a if left else 0 : b if right else len(text)].strip() + (" …" if right else "")))
+            yield pd.DataFrame(rows, columns=[id_col, "token", "n_terms", "n_hits", "snippet"])
+
+    return hits.select(id_col, text_col).mapInPandas(each, f"{id_col} {hits.schema[id_col].dataType.simpleString()}, token long, n_terms long, n_hits long, snippet string")
+
+
 def best_windows(hits: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, end, passage) for each hit: its first span, and its best window; null without one.
 

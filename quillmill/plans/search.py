@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import passages
 from ..functions import text as X
 from ..operators import answers, block_index, lexical, relational, vector
 from ..sources.tables import shared_folder
@@ -219,3 +220,22 @@ def best_blocks(spark, d):
     index.update(docs.withColumn("text", F.when(F.crc32("id") % 4 == 0, F.concat(F.lit("les les "), "text")).otherwise(F.col("text"))), blocks=_line_blocks)
     index.update(docs, blocks=_line_blocks)
     return index.best(QUERY).select(F.col("id").cast("long").alias("doc_id"), F.col("start").cast("long").alias("line"), F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+
+
+@query("""WITH v AS (SELECT vec_id, vec_id // 4 AS record, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS size FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query, v.record, v.vec_id AS vec, round(greatest(-1.0, least(1.0, list_dot_product(q.e, v.e) / (q.size * v.size))), 6) AS score FROM v AS q JOIN v ON len(q.e) = len(v.e) WHERE q.vec_id % 20 = 0),
+b AS (SELECT * FROM s WHERE score >= 0.35 QUALIFY row_number() OVER (PARTITION BY query, record ORDER BY score DESC, vec) = 1)
+SELECT query, record, vec, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, record) AS rank FROM b QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, record) <= 10""")
+def search_many(spark, d):
+    """Every twentieth vector as a query against all: the ten records (of four vectors each) with the best vector, from the floor on."""
+    rows = table(spark, d, "embeddings").withColumn("record", F.floor(F.col("vec_id") / 4).cast("long"))
+    queries = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    return vector.search_many(rows, queries, 10, "record").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_TOKENS} AS k FROM documents), h AS (SELECT doc_id, k, unnest(list_filter(range(1, len(k) + 1), lambda i: list_contains({_TERMS}, k[i]))) AS p FROM t),
+w AS (SELECT doc_id, p, len(k) AS n, list_filter(k[p:p + 63], lambda x: list_contains({_TERMS}, x)) AS found FROM h)
+SELECT doc_id, greatest(0, least(p - 1, n - 64)) AS token, len(list_distinct(found)) AS n_terms, len(found) AS n_hits FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len(list_distinct(found)) DESC, len(found) DESC, p) = 1""")
+def snippet_windows(spark, d):
+    """The 64 words of each text that hold most of the query's terms."""
+    return passages.snippets(table(spark, d, "documents"), QUERY).drop("snippet")

@@ -1,5 +1,7 @@
 """The archive's calls, and passages inside texts."""
 
+import random
+
 import pytest
 
 from quillmill.archive import Archive
@@ -55,6 +57,20 @@ def test_places_to_read(spark):
     assert reads(spark, "zebra", text, "plain") == ["Status: pump works again", "plain"]
 
 
+def test_snippet_windows_against_all_windows(spark):
+    rng = random.Random(1)
+    for _ in range(400):
+        n, size = rng.randrange(1, 40), rng.randrange(1, 12)
+        words = [rng.choice("abcxyz") for _ in range(n)]
+        hits = [(k, w) for k, w in enumerate(words) if w in "abc"]
+        at, terms, count = P.snippet_window(hits, n, size)
+        scores = [(len({w for k, w in hits if s <= k < s + size}), sum(s <= k < s + size for k, _ in hits)) for s in range(max(1, n - size + 1))]
+        assert (terms, count) == max(scores) and (not hits or scores[min(at, len(scores) - 1)] == (terms, count))
+    text = "Où est, the " + "mill " * 80 + "ÉTÉ wheel_été"
+    got = {r.doc_id: r for r in P.snippets(spark.createDataFrame([(1, text), (2, "short été"), (3, None), (4, "none")], "doc_id long, text string"), "ete wheel", size=5).collect()}
+    assert got[1].snippet == "… mill mill ÉTÉ wheel_été" and (got[1].n_terms, got[1].n_hits) == (2, 3) and got[2].snippet == "short été" and set(got) == {1, 2}
+
+
 def test_a_key_is_written_once(spark, tmp_path):
     """In one call, in two, and with the same or other texts."""
     a = Archive(spark, str(tmp_path))

@@ -87,6 +87,29 @@ def test_cosine_cases(spark):
             vector.top_k(rows, bad, 3)
 
 
+def test_search_of_many_vectors(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 6)).round(1)
+    rows = [(i, i // 3, x.tolist()) for i, x in enumerate(v)] + [(900, 900, None), (901, 901, [0.0] * 6), (902, 902, [float("nan")] + [1.0] * 5), (903, 903, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (904, None, [1.0] * 6), (905, 905, [1.0] * 4), (906, 7, v[0].tolist())]
+    q = rng.normal(size=(23, 6))
+    asked = [(i, x.tolist()) for i, x in enumerate(q)] + [(50, None), (51, [0.0] * 6), (52, [2.0] * 4), (53, [1.0] * 9)]
+    frames = spark.createDataFrame(rows, "vec_id long, record long, embedding array<double>"), spark.createDataFrame(asked, "query long, vector array<double>")
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = np.round(unit(q) @ unit(np.vstack([v, v[:1]])).T, 6)
+    want = []
+    for i in range(len(q)):
+        best = {}
+        for j, (vec, record, _) in enumerate([*rows[:300], rows[-1]]):
+            if scores[i, j] >= 0.35:
+                best[record] = min(best.get(record, (9, 0)), (-scores[i, j], vec))
+        want += [(i, r, vec, -s, n + 1) for n, (s, r, vec) in enumerate(sorted((s, r, vec) for r, (s, vec) in best.items())[:4])]
+    want.append((52, 905, 905, 1.0, 1))
+    for size in (1 << 20, 200):
+        got = sorted(map(tuple, vector.search_many(*frames, 4, "record", wave_bytes=size).collect()))
+        assert [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in sorted(want)] and np.allclose([g[3] for g in got], [w[3] for w in sorted(want)])
+    assert vector.search_many(frames[0], frames[1].where("query = 50"), 4).count() == 0
+
+
 def test_listing_is_complete(spark):
     ids = spark.createDataFrame([(i,) for i in range(257, 0, -1)], "id long")
     after, seen = None, []
