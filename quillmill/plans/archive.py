@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import records
+from ..operators import aliases, records
 from ..operators import relational as R
+from ..sources.tables import stored
 from ..streaming import capture, ledger
 from .registry import query, table
 
@@ -145,3 +147,24 @@ def retrieval_hints(spark, d):
     """The 256 sources opened last within seven days, from which background work begins."""
     opened = table(spark, d, "events").where("event_type <> 'error'").select(F.concat_ws(":", F.get_json_object("props", "$.k"), F.col("user_id").cast("string")).alias("source"), F.col("ts").alias("at"))
     return ledger.recent(opened).select("source", F.date_format("opened", "yyyy-MM-dd HH:mm:ss").alias("opened"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM conversations),
+q AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM conversations WHERE turn IN (1, 2)),
+f AS (SELECT q.conv_id, a.position AS k FROM q JOIN q r ON q.conv_id = r.conv_id AND q.position = 0 AND r.position = 1 JOIN c a ON a.conv_id = q.conv_id AND a.text = q.text AND a.role = q.role JOIN c b ON b.conv_id = a.conv_id AND b.position = a.position + 1 AND b.text = r.text AND b.role = r.role),
+o AS (SELECT conv_id, min(k) AS k FROM f GROUP BY conv_id HAVING count(*) = 1)
+SELECT q.conv_id, q.position, CASE WHEN o.k IS NULL THEN 'own' ELSE 'linked' END AS link, coalesce('m' || c.turn, '') AS message_id FROM q LEFT JOIN o ON q.conv_id = o.conv_id LEFT JOIN c ON c.conv_id = q.conv_id AND c.position = o.k + q.position""")
+def late_identities(spark, d):
+    """Anonymous excerpts (turns 1 and 2) that came first, and the packets with ids that come later: which message each turns out to be."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.lit("excerpt").alias("kind"), F.lit("me").alias("account_id"), F.col("conv_id").cast("string").alias("conversation_id"), F.col("role").alias("speaker"), "text")
+
+    def packet(rows, key, ids):
+        place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+        own = F.concat(F.lit("m"), F.col("turn").cast("string")) if ids else F.lit(None).cast("string")
+        return rows.select(F.concat(F.lit(key), "conversation_id").alias("packet_key"), place.alias("position"), "kind", "account_id", "conversation_id", own.alias("message_id"), "speaker", F.lit(None).cast("int").alias("source_order"), "text")
+
+    first = aliases.late_identities(packet(turns.where("turn in (1, 2)"), "q", False))
+    now = stored(aliases.arrived(first, packet(turns, "p", True)))
+    ids = now.where("message_id is not null").select("entity_id", F.col("message_id").alias("found"))
+    out = now.where("message_id is null").join(ids, "entity_id", "left")
+    return out.select(F.col("conversation_id").cast("long").alias("conv_id"), F.col("position").cast("long").alias("position"), "link", F.coalesce("found", F.lit("")).alias("message_id"))
