@@ -227,10 +227,11 @@ def _replaced(m: Column, key: str) -> Column:
     return _let(cards, lambda c: F.struct(kind.otherwise("card").alias("kind"), new.otherwise(F.when(c["n"] > 0, c["new"])).alias("new"), F.coalesce(c["n"], F.lit(1)).alias("n")))
 
 
-def pseudonymize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "quillmill") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text with pseudonyms, n_pii, kinds in text order) of each row. A null text stays null with nothing found.
 
-    The key is a secret of the caller; the same key gives the same pseudonyms in every run. Matches that are not valid in
+    The key is a secret of the caller: who has it can turn pseudonyms back. The same key gives the same pseudonyms in every
+    run. Matches that are not valid in
     their format (a card without its check digit, an octet over 255) are no personal data and stay.
     """
     text = F.col(text_col)

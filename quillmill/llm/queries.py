@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,9 @@ def op1_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(spread(read(spark, sf_dir, "documents")))
+    """With the key that the session names; where it names none, one drawn for this run, which nobody can turn back."""
+    key = spark.conf.get("spark.quillmill.pii.key", None) or secrets.token_hex(32)
+    return pii.pseudonymize(spread(read(spark, sf_dir, "documents")), key)
 
 
 def op3_suffix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -445,7 +445,7 @@ def test_pseudonyms(spark):
     assert got[302].text == rows[[r[0] for r in rows].index(302)][1] and got[302].n_pii == 0
     assert got[303].kinds == ["ssn", "email", "secret", "secret"] and not re.search(r"123-45|me\.too|ABCDEFGH|hunter", got[303].text)
     assert got[304].text == "$1 \\ (x)" and got[900].text is None and got[901].text == ""
-    assert pii.pseudonymize(docs_frame(spark, [])).count() == 0
+    assert pii.pseudonymize(docs_frame(spark, []), KEY).count() == 0
 
 
 def test_cards_beside_other_numbers(spark):
