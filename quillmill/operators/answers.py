@@ -48,7 +48,11 @@ def source_kind(kind: Column, saved: Column, document: Column, notice: Column) -
 
 
 def ranked(hits: DataFrame, query: str, id_col: str = "id", text_col: str = "text", title_col: str = "title") -> DataFrame:
-    """The hits (records with `position`) with source_kind, preference, keyword, notice, group_key and their final place."""
+    """The hits (records with `position`) with source_kind, preference, keyword, notice, group_key and their final place.
+
+    Where the hits have `document_name` and `document_version` (null for what is no document), chats that only point to one
+    of the preferred documents make one group for each document and account, however they are worded (`pointed_at`).
+    """
     rows = complete(hits, id_col)
     if "document" not in rows.columns:
         rows = rows.withColumn("document", F.lit(False))
@@ -63,6 +67,14 @@ def ranked(hits: DataFrame, query: str, id_col: str = "id", text_col: str = "tex
     same_place = F.when(F.length(text) < 80, F.coalesce(F.concat_ws("|", F.coalesce("account_id", F.lit("")), "conversation_id"), F.col(id_col).cast("string")) if "conversation_id" in rows.columns else F.col(id_col).cast("string")).otherwise("")
     key = F.when(notice, F.concat_ws("|", F.lit("notice"), F.col("__n.event"), F.concat_ws(" ", X.tokens(F.col("__n.subject"))), F.coalesce("account_id", F.lit("")))).otherwise(F.concat_ws("|", F.lit("copy"), "revision", same_place))
     marked = rows.withColumns({"relevance": relevance, "preference": F.when(relevance.isNotNull(), worth).otherwise(0), "keyword": discovery.keyword_preference(query, F.col("__t"), F.col("__b")), "notice": notice, "named": F.col(id_col).cast("string") == query.strip(), "group_key": key})
+    marked = marked.withColumn("pointed_at", F.lit(None).cast("string"))
+    if "document_name" in rows.columns:
+        entry = F.struct(F.col("document_name").alias("name"), X.tokens(F.col("document_name")).alias("tokens"), F.col("document_version").alias("version"))
+        known = marked.agg(F.collect_set(F.when(F.col("document") & (F.col("preference") > 0), entry)).alias("__documents"))
+        marked = marked.drop("pointed_at").join(F.broadcast(known))  # one row, of the hits' documents
+        at = F.when(F.col("source_kind") == "chat", discovery.pointed_at(text, F.col("__b"), F.col("__documents")))
+        mention = F.concat_ws("|", F.lit("mentions"), at["name"], F.concat_ws(",", at["versions"]), F.coalesce("account_id", F.lit("")))
+        marked = marked.withColumn("pointed_at", at["name"]).withColumn("group_key", F.when(F.col("pointed_at").isNotNull(), mention).otherwise(F.col("group_key"))).drop("__documents")
     return discovery.discovery_order(marked, id_col).drop("__b", "__t", "__n")
 
 
@@ -91,10 +103,17 @@ def within(answers: DataFrame, size: Column, cap: int) -> DataFrame:
     return answers.join(F.broadcast(listed.select(F.explode(take["kept"]).alias("place"))), "place", "left_semi")
 
 
-def search(records: DataFrame, query: str, limit: int = 10, id_col: str = "id", budget: int | None = None) -> DataFrame:
-    """The whole way from a query to grouped answers (id, place, source_kind, matches, chats, group_key, score, title, text, ...)."""
+def search(records: DataFrame, query: str, limit: int = 10, id_col: str = "id", budget: int | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """The whole way from a query to grouped answers (id, place, source_kind, matches, chats, group_key, score, title, text, ...).
+
+    `documents` has the records that are verified documents, as `verified_documents` gives them: they come first where the
+    query is about them, and messages that only point to them are one group.
+    """
     found = candidates(records, query, id_col)
     hits = complete(records, id_col).join(F.broadcast(found), id_col)  # at most CANDIDATES + SAVED rows
+    if documents is not None:
+        named = documents.groupBy(F.col("id").alias(id_col)).agg(F.min("name").alias("document_name"), F.min("version").alias("document_version"), F.lit(True).alias("document"))
+        hits = hits.join(named, id_col, "left").withColumn("document", F.coalesce("document", F.lit(False)))
     answers = grouped(ranked(hits, query, id_col), limit, id_col)
     return answers if budget is None else within(answers, F.length(X.bounded(F.coalesce("title", F.lit("")), 240)) + F.length(X.bounded(F.coalesce("text", F.lit("")), 240)), budget)
 

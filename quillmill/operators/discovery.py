@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import query_plan
+from ..functions.text import STOP_WORDS, query_plan
 
 # Textual cues of claims.
 QUALIFIED = r"\b(?:not|never|no|failed|fails|failure|unverified|untested|maybe|might|could|if|would|should|will|plan|planned|proposed|says?|prints?|example|expected|hypothetical)\b|n't\b"
@@ -134,6 +134,36 @@ def navigation_notice(text: Column) -> Column:
     return F.when(F.length(text) <= 400, found)
 
 
+# The words of a message that only points to a document, those that say so, and those that tell something.
+POINTING = """save saved open read load retrieve find see pickup file files document documents handoff handoffs note notes
+    please available ready here there attached again start continue session project named called version link use access
+    located stored reference references that this it its the for in on from to and of a an my our your is was has have been now""".split()
+POINTERS = ("handoff", "handoffs", "saved", "pickup", "file", "document")
+TELLING = r"(?i)```|\b(?:wrong|incorrect|correct(?:ed|ion)?|supersed\w*|retract\w*|fail\w*|error\w*|test\w*|result\w*|worked|works|broken|fix\w*|changed|updated|instead|not|never|must|should|because|measured|voltage|threshold|deadband)\b"
+_VERSION = "^v[1-9][0-9]*$"
+
+
+def pointed_at(text: Column, words: Column, documents: Column) -> Column:
+    """struct(name, versions) of the one document to which a text only points; null for a text that says anything else, or points to several.
+
+    `words` are the text's tokens; `documents` is an array of (name, tokens of the name, version). A text points to a
+    document if it holds all of its name's words and is made of these, its version and words of pointing alone.
+    """
+    given = lambda values: F.array(*map(F.lit, values))
+    idle, common = given(sorted(STOP_WORDS | set(INTENT))), given(sorted(STOP_WORDS | set(POINTING)))
+    versions = F.array_sort(F.array_distinct(F.filter(words, lambda w: w.rlike(_VERSION))))
+
+    def fits(d: Column) -> Column:
+        subject = F.array_except(d["tokens"], idle)
+        own = (F.size(versions) == 0) | (versions == F.array(F.lower(d["version"])))
+        rest = F.array_except(F.array_except(F.array_except(words, common), versions), subject)
+        return (F.size(subject) > 0) & (F.size(F.array_except(subject, words)) == 0) & own & (F.size(rest) == 0)
+
+    plain = (F.length(text) <= 400) & ~F.contains(text, F.lit("\0")) & ~text.rlike(TELLING) & F.arrays_overlap(words, given(POINTERS))
+    names = F.array_distinct(F.transform(F.filter(documents, fits), lambda d: F.lower(d["name"])))
+    return F.when(plain & (F.size(names) == 1), F.struct(names[0].alias("name"), versions.alias("versions")))
+
+
 # Words by which a question asks for more than one version.
 COMPARING = frozenset("compare compared versus vs between difference differences changed changes and or".split())
 
