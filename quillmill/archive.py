@@ -10,12 +10,13 @@ from pyspark.sql.utils import AnalysisException
 
 from .functions import chunking
 from .functions import text as X
-from .operators import answers, discovery, passages, records, relational
+from .operators import aliases, answers, discovery, passages, records, relational
 
 SCHEMAS = {
     "memories": "id string, text string, source string, title string, created_at string, kind string, account_id string, conversation_id string, source_order bigint, saved boolean",
     "receipts": "key string, digest string, id string",
     "labels": "id string, state string",
+    "aliases": "id string, canonical string",
 }
 #: Blocks on one page of a text's map.
 MAP_PAGE = 5
@@ -65,9 +66,19 @@ class Archive:
         new = messages.where("action = 'added'").select(F.col("memory_id").alias("id"), "text", F.concat_ws(" | ", "kind", "conversation_id").alias("source"), "title", F.col("source_date").alias("created_at"), "kind", "account_id", "conversation_id", "source_order", F.lit(False).alias("saved"))
         self._append("memories", new.join(self.table("memories").select("id"), "id", "left_anti"))
 
+    def supersede(self, rows: DataFrame) -> None:
+        """Add (memory_id, canonical_id), as `aliases.repointed` gives them: the first leave the search and stay readable by id."""
+        new = rows.where("memory_id <> canonical_id").select(F.col("memory_id").alias("id"), F.col("canonical_id").alias("canonical")).distinct()
+        self._append("aliases", new.join(self.table("aliases"), ["id", "canonical"], "left_anti"))
+
+    def canonical_id(self, id: str) -> str:
+        """The record that an id stands for by now."""
+        row = aliases.canonical(self.table("aliases")).where(F.col("id") == id).first()
+        return id if row is None else row.root
+
     def search(self, query: str, limit: int = 20, budget: int | None = None) -> DataFrame:
         """(id, place, source_kind, matches, chats, title, preview, passage): copies in one group, within a budget of characters."""
-        found = answers.search(self.table("memories"), query, max(1, min(100, limit)), "id", budget)
+        found = answers.search(aliases.current(self.table("memories"), self.table("aliases")), query, max(1, min(100, limit)), "id", budget)
         shown = passages.with_passages(found, query, "id")
         return found.select("id", "place", "source_kind", "matches", "chats", "score", X.bounded(F.col("title"), 240).alias("title")).join(shown.select("id", "preview", "passage"), "id").orderBy("place")
 

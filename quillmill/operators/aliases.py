@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import stored
 from .ingest import identities
 from .records import compatible
+from .relational import canonical_roots
 
 #: Messages of the shortest packet that alignment may link.
 LEAST = 2
@@ -108,3 +109,17 @@ def repointed(before: DataFrame, after: DataFrame) -> DataFrame:
     """(memory_id, canonical_id): memories of earlier runs that are another's by now; they leave the search and stay readable."""
     a, b = before.select("packet_key", "position", "memory_id"), after.select("packet_key", "position", F.col("memory_id").alias("canonical_id"))
     return a.join(b, ["packet_key", "position"]).where("memory_id <> canonical_id").select("memory_id", "canonical_id").distinct()
+
+
+def canonical(aliases: DataFrame) -> DataFrame:
+    """(id, root): the record that each superseded id stands for at last, by pointer jumping; a ring is an error."""
+    once = aliases.where("id is not null and canonical is not null and id <> canonical").groupBy("id").agg(F.max("canonical").alias("canonical"))
+    ends = once.select(F.col("canonical").alias("id")).distinct().join(once.select("id"), "id", "left_anti").withColumn("canonical", F.lit(None).cast(once.schema["canonical"].dataType))
+    roots = canonical_roots(aliases.sparkSession, once.union(ends), "id", "canonical")
+    checked = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("aliases form a ring at "), F.col("id").cast("string")))).otherwise(F.col("root"))
+    return roots.select("id", checked.alias("root")).where("id <> root")
+
+
+def current(records: DataFrame, aliases: DataFrame, id_col: str = "id") -> DataFrame:
+    """The records without superseded ones, which stay readable where they are asked for by id."""
+    return records.join(aliases.where("id <> canonical").select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti").select(records.columns)

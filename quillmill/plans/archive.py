@@ -168,3 +168,14 @@ def late_identities(spark, d):
     ids = now.where("message_id is not null").select("entity_id", F.col("message_id").alias("found"))
     out = now.where("message_id is null").join(ids, "entity_id", "left")
     return out.select(F.col("conversation_id").cast("long").alias("conv_id"), F.col("position").cast("long").alias("position"), "link", F.coalesce("found", F.lit("")).alias("message_id"))
+
+
+@query("""SELECT max(doc_id) AS doc_id, count(*) - 1 AS n_aliases FROM documents GROUP BY lang, source, n_chars""")
+def alias_scan(spark, d):
+    """Records without superseded ones (each stands for the one before it of its language, source and size), and how many each stands for."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars")
+    chained = docs.withColumn("canonical", F.lead("id").over(Window.partitionBy("lang", "source", "n_chars").orderBy("id")))
+    known = stored(chained.where("canonical is not null").select("id", "canonical"))
+    counts = aliases.canonical(known).groupBy(F.col("root").alias("doc_id")).agg(F.count("*").alias("n_aliases"))
+    live = aliases.current(docs.select("id"), known)
+    return live.withColumnRenamed("id", "doc_id").join(counts, "doc_id", "left").fillna(0, "n_aliases")

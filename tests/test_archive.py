@@ -81,6 +81,20 @@ def test_a_key_is_written_once(spark, tmp_path):
     assert write(("k", "one"), ("k", "two"), ("k", kept)) == [("k", "conflict"), ("k", "replay"), ("k", "replay")] and a.table("memories").count() == 2
 
 
+def test_superseded_records(spark, tmp_path):
+    a = Archive(spark, str(tmp_path))
+    a.store(spark.createDataFrame([(k, f"fox {k}", "s", None, None) for k in "abc"], "key string, text string, source string, title string, created_at string"))
+    ids = {r.text[-1]: r.id for r in a.table("memories").collect()}
+    pairs = lambda *p: spark.createDataFrame([(ids[x], ids[y]) for x, y in p], "memory_id string, canonical_id string")
+    a.supersede(pairs("ab", "cc"))
+    a.supersede(pairs("ab", "bc"))
+    assert {r.id for r in a.search("fox").collect()} == {ids["c"]} and a.get(ids["a"]).first().body == "fox a"
+    assert [a.canonical_id(ids[x]) for x in "abc"] == [ids["c"]] * 3 and a._rows("aliases").count() == 2
+    a.supersede(pairs("ca"))
+    with pytest.raises(Exception, match="ring"):
+        a.canonical_id(ids["a"])
+
+
 def test_archive(spark, tmp_path):
     a = Archive(spark, str(tmp_path))
     assert a.status().first().total == 0 and a.search("fox").count() == 0
