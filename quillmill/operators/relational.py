@@ -49,9 +49,12 @@ def keyset_page(df: DataFrame, id_col: str, after, limit: int) -> DataFrame:
 
 
 def membership_fingerprint(df: DataFrame, id_col: str) -> DataFrame:
-    """Count and an order-free digest of the ids: two sums and a xor, so that it needs no single task."""
+    """Count and an order-free digest of the ids: two sums and a xor, so that it needs no single task.
+
+    The hashes have 48 bits: some 65,000 of them go over a long, so they are added as decimals.
+    """
     h = F.conv(F.substring(F.sha2(F.col(id_col).cast("string"), 256), 1, 12), 16, 10).cast("long")
-    return df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("digest"), F.sum(h).cast("decimal(38,0)").cast("string").alias("total"))
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("digest"), F.sum(h.cast("decimal(20,0)")).cast("string").alias("total"))
 
 
 def diff(old: DataFrame, new: DataFrame, id_col: str, fingerprint: str) -> DataFrame:

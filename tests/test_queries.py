@@ -1,5 +1,7 @@
 """Every registered query against its SQL, and the cases that fix the operators' meaning."""
 
+import functools
+import hashlib
 import math
 import os
 
@@ -119,6 +121,12 @@ def test_listing_is_complete(spark):
     assert seen == list(range(1, 258))
 
 
+def test_fingerprint_of_many_ids(spark):
+    got = relational.membership_fingerprint(spark.range(200_000), "id").first()
+    want = [int(hashlib.sha256(str(i).encode()).hexdigest()[:12], 16) for i in range(200_000)]
+    assert (got.n, got.digest, got.total) == (200_000, functools.reduce(int.__xor__, want), str(sum(want))) and sum(want) > 1 << 63
+
+
 @pytest.mark.parametrize("text", ["", "a\n" * 2000, "α" * 4000, "# H\r\ntext\r\n```py\n# no heading\n```\nend", "~~~\n" + "x\n" * 900 + "~~~~\nafter", "é🌊" * 1500 + "\n" + "y" * 30])
 def test_chunks_and_blocks(text):
     blocks = chunking.split_blocks(text)
