@@ -36,10 +36,9 @@ def import_counters(spark, d):
 @query("""SELECT c_custkey, c_nationkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND (c_acctbal < 0 OR s_acctbal < 0 OR abs(c_acctbal - s_acctbal) < 10)""")
 def compatible_pairs(spark, d):
     """Equal key and a residual test in which an unknown side agrees with anything."""
-    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
-    known = lambda x: F.when(x >= 0, x)
-    near = F.abs(known(c.c_acctbal) - known(s.s_acctbal)) < 10
-    return c.join(s, (c.c_nationkey == s.s_nationkey) & F.coalesce(near, F.lit(True))).select("c_custkey", "c_nationkey", "s_suppkey")
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return records.near_pairs(c, s, ("c_nationkey", "s_nationkey"), ("c_acctbal", "s_acctbal"), 10).select("c_custkey", "c_nationkey", "s_suppkey")
 
 
 @query("""WITH o AS (SELECT doc_id, lang, source FROM documents WHERE lang = 'en'), n AS (SELECT doc_id, lang, 'new' AS source FROM documents WHERE source = 'src0')

@@ -162,6 +162,23 @@ def test_alignment(spark):
     assert [(r.c, r.offset) for r in records.align(short, long, "c", "k", "p").collect()] == [("u", 1)]
 
 
+def test_pairs_of_one_key_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "TASK_PAIRS", 1000, raising=False)
+    monkeypatch.setattr(records, "TILE_ROWS", 30, raising=False)
+    rng = np.random.default_rng(5)
+    odd = [None, -0.0, 0.0, -1.0, 10.0, math.inf, math.nan, 1e300, 15.999, 16.0, 5.999]
+    c = [(i, None if i == 20 else 7, v) for i, v in enumerate([*odd, *(float(x) for x in rng.uniform(-40, 300, 300).round(2))])] + [(900, 8, 5.0)]
+    s = [(i, None if i == 20 else 7, v) for i, v in enumerate([*odd, *(float(x) for x in rng.uniform(-40, 300, 200).round(2))])] + [(900, 9, 5.0)]
+    for name, rows, p in (("customer", c, "c_custkey long, c_nationkey int, c_acctbal double"), ("supplier", s, "s_suppkey long, s_nationkey int, s_acctbal double")):
+        spark.createDataFrame(rows, p).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = registry.queries()["compatible_pairs"](spark, str(tmp_path))
+    near = lambda a, b: a is not None and a < 0 or b is not None and b < 0 or a is not None and b is not None and abs(a - b) < 10
+    want = sorted((i, k, j) for i, k, a in c for j, n, b in s if k is not None and k == n and near(a, b))
+    assert sorted(map(tuple, found.collect())) == want
+    most = found.groupBy(X.F.spark_partition_id()).count().agg(X.F.max("count")).first()[0]
+    assert most < len(want) / 4
+
+
 def test_pause_lasts_over_batches(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:00", 7, "click"), (2, "2024-01-01 00:01:00", 7, "purchase"), (3, "2024-01-01 00:02:00", 7, "click"), (4, "2024-01-01 00:03:00", 7, "view"), (5, "2024-01-01 00:04:00", 7, "click")]
     events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", X.F.col("ts").cast("timestamp_ntz"))
