@@ -4,10 +4,13 @@ import functools
 import hashlib
 import math
 import os
+import tracemalloc
+from unittest import mock
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from quillmill.functions import chunking
@@ -140,6 +143,24 @@ def test_chunks_and_blocks(text):
     assert reach == len(text) or not text[reach:].strip()
 
 
+@pytest.mark.parametrize("split", [chunking.chunks, chunking.blocks])
+def test_parts_are_given_away_by_size(split):
+    """Of a batch of 40 MB no more than a few MB are held in Python at once; a text of many parts is given away in pieces."""
+    frame = mock.MagicMock()
+    split(frame, "id")
+    run = frame.select.return_value.mapInArrow.call_args[0][0]
+    texts = [("line of words\n" * 100 + str(i)) * 3 for i in range(8000)] + [None, "", "x y " * 1_000_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    tracemalloc.start()
+    bodies, largest, before = 0, 0, tracemalloc.get_traced_memory()[0]
+    for out in run([batch]):
+        size = out.column(out.schema.get_field_index("body")).nbytes
+        bodies, largest = bodies + size, max(largest, size)
+    most = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert bodies > 30 << 20 and largest < 2 << 20 and most < 16 << 20
+
+
 def test_blocks_have_labels_and_lines():
     text = "intro\n# One\nline\n```py\n# no heading\n~~~\n``` x\n````  \nafter\n ## Two ##\n" + "y" * 30
     assert [(text[a:b].split("\n")[0], kind, label, first, last) for a, b, kind, label, first, last in chunking.split_blocks(text)] == [
