@@ -8,12 +8,16 @@ searched often get a postings table, of which a query reads the buckets of its t
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import counts
 from ..functions.text import fold, query_plan, tokens
 from ..sources.tables import spread, stored
 
@@ -112,22 +116,42 @@ def tiered(df: DataFrame, query: str, limit: int, id_col: str = "doc_id", text_c
     return placed.orderBy(*order).limit(limit).select(id_col, "tier", "score")
 
 
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, base, at, id, tf, dl) of runs of rows (row, id, dl, t), whose row numbers follow each other."""
+    for batch in batches:
+        row, ids, dl, lists = batch.columns
+        for a, b in counts.slices(lists.value_lengths().to_numpy(zero_copy_only=False)):
+            owner, code, n, words = counts.counted(lists[a:b])
+            if not len(owner):
+                continue
+            order = np.argsort(code, kind="stable")
+            code, owner = code[order], owner[order]
+            starts = np.flatnonzero(np.diff(code, prepend=-1))
+            place, base = pa.array(owner + a), row[a].as_py()
+            columns = (pa.array(row.to_numpy()[owner + a] - base, pa.int32()), ids.take(place), pa.array(n[order], pa.int32()), dl.take(place).cast(pa.int32()))
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(code[starts])), pa.array(np.full(len(starts), base)), *(counts.grouped(starts, x) for x in columns)], ["term", "base", "at", "id", "tf", "dl"])
+
+
 class Postings:
-    """A table (bucket, term, row, id, tf, dl) under one folder, in buckets of the terms' hashes, and one of the totals."""
+    """A table (bucket, term, base, at, id, tf, dl) under one folder, in buckets of the terms' hashes, and one of the totals.
+
+    A row has what a run of texts says of a term: `base` + `at` number them, and `at`, `id`, `tf` and `dl` are lists of equal length.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     @classmethod
     def build(cls, df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> Postings:
-        """One pass over the texts and one shuffle of their distinct terms to the buckets."""
+        """One pass over the texts, which inverts runs of them within the tasks, and one shuffle of the lists to the buckets."""
         own = cls(df.sparkSession, path)
         split = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("t"))
         seen = Observation()
         sized = split.select(F.monotonically_increasing_id().alias("row"), "id", F.size("t").cast("long").alias("dl"), "t").observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
-        each = sized.select("row", "id", "dl", F.explode("t").alias("term")).groupBy("row", "id", "dl", "term").agg(F.count("*").alias("tf"))
-        rows = each.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), "term", "row", "id", "tf", "dl")
-        rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{own.path}/terms")
+        kind = sized.schema["id"].dataType.simpleString()
+        lists = sized.mapInArrow(_inverted, f"term string, base long, at array<int>, id array<{kind}>, tf array<int>, dl array<int>")
+        rows = lists.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        rows.repartition("bucket", F.pmod(F.xxhash64("base"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{own.path}/terms")
         df.sparkSession.createDataFrame([(int(seen.get["n"]), int(seen.get["words"]))], "n long, words long").write.parquet(f"{own.path}/totals")
         return own
 
@@ -136,8 +160,10 @@ class Postings:
         terms, _ = query_plan(query)
         totals = self.spark.read.parquet(f"{self.path}/totals").first()
         wanted = self.spark.createDataFrame([(w,) for w in terms], "term string").select("term", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")).collect()
-        rows = self.spark.read.parquet(f"{self.path}/terms").where(F.col("bucket").isin(sorted({r.bucket for r in wanted})) & F.col("term").isin(terms))
-        df_of = {r.term: r.n for r in rows.groupBy("term").agg(F.count("*").alias("n")).collect()}  # at most 32 terms
+        lists = self.spark.read.parquet(f"{self.path}/terms").where(F.col("bucket").isin(sorted({r.bucket for r in wanted})) & F.col("term").isin(terms))
+        df_of = {r.term: r.n for r in lists.groupBy("term").agg(F.sum(F.size("at")).alias("n")).collect()}  # at most 32 terms
+        each = lists.select("term", "base", F.explode(F.arrays_zip("at", "id", "tf", "dl")).alias("x"))
+        rows = each.select("term", (F.col("base") + F.col("x.at")).alias("row"), "x.id", "x.tf", "x.dl")
         value = F.lit(0.0)
         for w in terms:
             n = df_of.get(w, 0)

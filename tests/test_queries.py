@@ -79,6 +79,22 @@ def test_postings_give_the_same_scores(spark, tmp_path):
     assert len(p.scored("quick").collect()) == 4
 
 
+def test_postings_are_lists_of_a_run_of_texts(spark, tmp_path, monkeypatch):
+    """A row for each word of a run of texts: what is shuffled has no row for each word of each text."""
+    texts = [f"mill wheel {'mill ' * (i % 3)} w{i % 7}" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    p = lexical.Postings.build(docs, f"{tmp_path}/p")
+    assert spark.read.parquet(f"{tmp_path}/p/terms").count() <= 9 * spark.sparkContext.defaultParallelism
+    for query in ("mill w3", "wheel w5 nowhere"):
+        assert sorted(map(tuple, p.scored(query).collect())) == sorted(map(tuple, lexical.scored(docs, query).collect()))
+    monkeypatch.setattr(lexical.counts, "SLICE_WORDS", 6)
+    lists = [["b", "a", "b"], [], ["a"] * 9, ["c"], ["a", "c"], []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(70, 76)), pa.array(list("uvwxyz")), pa.array([len(x) for x in lists]), pa.array(lists, pa.list_(pa.string()))], ["row", "id", "dl", "t"])
+    found = [r for out in lexical._inverted([batch, batch.slice(0, 0)]) for r in out.to_pylist()]
+    flat = sorted((r["base"] + at, i, r["term"], tf, dl) for r in found for at, i, tf, dl in zip(r["at"], r["id"], r["tf"], r["dl"], strict=True))
+    assert flat == sorted((70 + k, "uvwxyz"[k], w, x.count(w), len(x)) for k, x in enumerate(lists) for w in set(x)) and len({r["base"] for r in found}) > 1
+
+
 def test_search_of_titles_and_ids(spark):
     docs = spark.createDataFrame([("a", "mill wheel of the river", "x"), ("b", "the mill", "Mill"), ("mill", "nothing", "y"), ("c", "mill mill mill", "z")], "id string, text string, title string")
     assert [r.id for r in lexical.tiered(docs, "mill", 9, "id", "text", "title").collect()][:2] == ["mill", "b"]
