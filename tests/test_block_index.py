@@ -24,3 +24,13 @@ def test_only_changed_records_are_written(spark, tmp_path):
     again = index.compact(f"{tmp_path}/j")
     assert sorted(map(tuple, again.best("fox hen", 9).collect())) == sorted(map(tuple, index.best("fox hen", 9).collect()))
     assert again._read("postings", "id string, generation int").agg(F.max("generation")).first()[0] == 0
+
+
+def test_a_row_has_the_postings_of_a_record_and_bucket(spark, tmp_path):
+    """Not one row for each word of each block: what is sorted and written grows by records and buckets."""
+    index = BlockIndex(spark, f"{tmp_path}/i")
+    text = "\n".join(f"# Part {i}\n" + " ".join(f"w{j}" for j in range(200)) for i in range(20))
+    index.update(spark.createDataFrame([("a", text), ("b", text + " fox fox"), ("b", text + " fox fox")], "id string, text string"))
+    rows = spark.read.parquet(f"{tmp_path}/i/postings/generation=0")
+    assert rows.count() == rows.select("id", "bucket").distinct().count() <= 128
+    assert [(r.id, r.place) for r in index.best("fox").collect()] == [("b", 1)]
