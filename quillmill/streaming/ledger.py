@@ -46,27 +46,31 @@ class Ledger(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self.lookup.get() if self.lookup.exists() else None
-        changed, out = False, []
+        given = set() if state is None else {source for (source,) in self.sources.keys()}  # read once, as each call goes over a socket
+        changed, fresh, out = False, set(), []
         for event, at, search, source, cost, capacity in _rows(rows)[["event", "at_ms", "search", "source", "cost", "capacity"]].itertuples(index=False):
             if state is not None and at > state[0] + self.ttl_ms:
                 self._forget()
-                state, changed = None, True
+                state, changed, given, fresh = None, True, set(), set()
             if state is None and search:
                 state, changed = (int(at), int(min(CAPACITY, max(LEAST_CAPACITY, capacity))), 0), True
                 self.handle.registerTimer(int(at) + self.ttl_ms + 1)
             if state is None:
                 status = "unknown_lookup"
-            elif not search and not self.sources.containsKey((source,)):
+            elif not search and source not in given:
                 status = "outside_lookup"
             elif cost > state[1] - state[2] - self.reserve:
                 status = "over_budget"
             else:
                 status, state, changed = "admitted", (*state[:2], state[2] + int(cost)), True
-                if search:
-                    self.sources.updateValue((source,), (True,))
+                if search and source not in given:
+                    given.add(source)
+                    fresh.add(source)
             out.append((key[0], int(event), status, None if state is None else state[2]))
         if changed and state is not None:
             self.lookup.update(state)
+        for source in fresh:
+            self.sources.updateValue((source,), (True,))
         yield pd.DataFrame(out, columns=["lookup", "event", "status", "used"]).astype({"used": "Int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -1,7 +1,9 @@
 """Keyed state with expiry: lookups and hints, in one go, in pieces, and delivered again."""
 
 import datetime
+from unittest import mock
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quillmill.streaming import ledger
@@ -46,6 +48,19 @@ def test_the_same_admissions_in_pieces(spark, tmp_path):
     assert sorted(map(str, one.collect())) == sorted(map(str, many.collect())) and one.select("status").distinct().count() == 4
 
 
+def test_state_is_called_once_for_a_source():
+    rows = pd.DataFrame([(i, 1000 + i, i % 2 == 0, str(i // 2 % 3), 1, 2000) for i in range(300)], columns=["event", "at_ms", "search", "source", "cost", "capacity"])
+    one = ledger.Ledger()
+    one.init(mock.MagicMock())
+    one.lookup, one.sources = mock.MagicMock(), mock.MagicMock()
+    one.lookup.exists.return_value, one.lookup.get.return_value = True, (500, 2000, 10)
+    one.sources.keys.return_value = iter([("0",)])
+    (out,) = one.handleInputRows(("u",), iter([rows[:100], rows[100:]]), None)
+    assert set(out["status"]) == {"admitted"} and out["used"].iloc[-1] == 310
+    assert sorted(c.args[0][0] for c in one.sources.updateValue.call_args_list) == ["1", "2"]
+    assert len(one.sources.method_calls) == 3 and one.lookup.update.call_args.args == ((500, 2000, 310),)
+
+
 def test_hints(spark, tmp_path):
     schema = "source string, at timestamp"
     batches = [[("a", at(0)), ("b", at(1)), ("a", at(0, 5))], [("a", at(5)), ("a", at(4)), (None, at(5))], [("z", at(11))], [("z", at(11, 1))]]
