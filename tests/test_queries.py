@@ -177,6 +177,22 @@ def test_parts_are_given_away_by_size(split):
     assert bodies > 30 << 20 and largest < 2 << 20 and most < 16 << 20
 
 
+def test_blocks_of_one_text_are_not_gathered():
+    """A text of 50,000 sections takes a few times its own size, not hundreds of bytes for each section."""
+    frame = mock.MagicMock()
+    chunking.blocks(frame, "id")
+    run = frame.select.return_value.mapInArrow.call_args[0][0]
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array(["# a\n" * 50_000])], ["id", "text"])
+    tracemalloc.start()
+    rows, before = 0, tracemalloc.get_traced_memory()[0]
+    for out in run([batch]):
+        assert out.column(6)[-1].as_py() == "a" and out.column(3)[0].as_py() == rows + 1 and out.column(8)[-1].as_py() == "# a\n"
+        rows += out.num_rows
+    most = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert rows == 50_000 and most < 6 << 20
+
+
 def test_blocks_have_labels_and_lines():
     text = "intro\n# One\nline\n```py\n# no heading\n~~~\n``` x\n````  \nafter\n ## Two ##\n" + "y" * 30
     assert [(text[a:b].split("\n")[0], kind, label, first, last) for a, b, kind, label, first, last in chunking.split_blocks(text)] == [
